@@ -41,9 +41,9 @@ def test_fences_adapt_and_keep_clean(spark):
     data = [(i, "en", "s", clean_text(rng)) for i in range(150)]
     data += [(1000 + i, "en", "s", clean_text(rng).replace(" ", "*** ")) for i in range(40)]
     code = [(2000 + i, "en", "code", clean_text(rng).replace(" ", "| ")) for i in range(150)]
-    rows = [(*r, "x") for r in data + code] + [(9, None, None, t, "x") for t in TEXTS]
+    rows = [(*r, "x") for r in data + code] + [(-9, None, None, t, "x") for t in TEXTS]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.doc_id: r.kept for r in rules.judge(df).collect() if r.doc_id != 9}
+    got = {r.doc_id: r.kept for r in rules.judge(df).collect() if r.doc_id != -9}
     assert all(got[i] for i in range(150)) and not any(got[1000 + i] for i in range(40))
     assert all(got[2000 + i] for i in range(150))
     kept = rules.keep(df)
