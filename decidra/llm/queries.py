@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, rules, sharding
-from .common import read_table
+from . import chat, decontaminate, licenses, pieces, quality_cnn, rules, sharding, simhash, urls, warc
+from .common import read_table, shared_dir
+
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+KEEP_SCORE = 0.3
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,20 +18,77 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_cnn.fit(docs, read_table(spark, sf_dir, "labels"))
+    scored = quality_cnn.with_score(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(quality_cnn.fold(F.col("doc_id")) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digest(turns.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.fit(urls.default_labelled(spark))
+    judged = urls.judge(read_table(spark, sf_dir, "pages"), URL_RULES, model)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_warc(warc.page_records(read_table(spark, sf_dir, "pages")), path)
+    back = warc.read_warc(spark, path)
+    return back.select(
+        warc.page_of("record_id").alias("page_id"),
+        "payload_length",
+        F.coalesce(F.sha2("payload", 256), "payload_digest").alias("payload_digest"),
+        "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    ).withColumnRenamed("payload_length", "payload_bytes")
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    items = F.col("items")
+    return judged.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "licence.*").drop("spans")
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.sampled(read_table(spark, sf_dir, "documents"), k=2)
+    ids = F.sha2(F.array_join(F.col("ids"), ","), 256)
+    return found.select("doc_id", "rank", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), "log_prob", "log_inclusion", "decoded")
+
+
 QUERIES = {
     "op1_shard": op1_shard,
+    "op2_quality": op2_quality,
+    "op3_chat": op3_chat,
+    "op4_urls": op4_urls,
+    "op5_simhash": op5_simhash,
+    "op6_warc": op6_warc,
     "op7_rules": op7_rules,
+    "op8_decontaminate": op8_decontaminate,
     "op9_licenses": op9_licenses,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLE: dict[str, str] = {}
