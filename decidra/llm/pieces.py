@@ -20,9 +20,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 import re
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -40,6 +40,8 @@ BYTE_WEIGHT = -12.0
 #: Characters of texts whose lattices are held at once.
 SLICE_CHARS = 2_000_000
 STEPS = 1 << 20
+#: Ends a chunk where chunks are joined; in no piece.
+STOP = "\0"
 
 
 class Vocabulary:
@@ -51,8 +53,8 @@ class Vocabulary:
         self.bytes_of: list[bytes] = [b""] * size
         self.byte_id = np.full(256, -1, dtype=np.int64)
         self.weight = np.full(size + 1, BYTE_WEIGHT)
-        self.machine = ahocorasick.Automaton()
-        self.single: set[str] = set()
+        trie: dict[int, int] = {}  # node and code point: the next node
+        piece_at = [-1]
         plain = 0
         for i in range(size):
             piece = self.processor.id_to_piece(i)
@@ -64,14 +66,44 @@ class Vocabulary:
                 self.weight[i] = -np.log(plain + OFFSET)
                 plain += 1
                 if not re.search(f"[^{MARK}]{MARK}", piece):  # else it would cross a chunk
-                    self.machine.add_word(piece, (i, len(piece)))
-                    if len(piece) == 1:
-                        self.single.add(piece)
-        self.machine.make_automaton()
+                    node = 0
+                    for char in piece:
+                        node = trie.setdefault(node << 21 | ord(char), len(piece_at))
+                        if node == len(piece_at):
+                            piece_at.append(-1)
+                    piece_at[node] = i
+        self.trie_keys = np.array(sorted(trie), dtype=np.int64)
+        self.trie_next = np.array([trie[k] for k in self.trie_keys.tolist()], dtype=np.int32)
+        self.piece_at = np.array(piece_at, dtype=np.int32)
+        self.root = np.full(0x110000, -1, dtype=np.int32)
+        firsts = self.trie_keys < 1 << 21
+        self.root[self.trie_keys[firsts]] = self.trie_next[firsts]
         self.fallback = size  # the edge of a character that no piece covers
 
-    def char_ids(self, char: str) -> list[int]:
-        return self.byte_id[list((MARK if char == OWN_MARK else char).encode("utf-8", "replace"))].tolist()
+    def pieces_in(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of every piece in the code points, by walking the trie from all places at once."""
+        start, node, depth = np.arange(len(points), dtype=np.int32), self.root[points], 1
+        out = []
+        while True:
+            inner = node >= 0
+            start, node = start[inner], node[inner]
+            if not len(start):
+                break
+            piece = self.piece_at[node]
+            whole = piece >= 0
+            out.append((start[whole], start[whole] + np.int32(depth), piece[whole]))
+            inner = start + depth < len(points)
+            start, node = start[inner], node[inner]
+            key = node.astype(np.int64) << 21 | points[start + depth]
+            at = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
+            node = np.where(self.trie_keys[at] == key, self.trie_next[at], np.int32(-1))
+            depth += 1
+        if not out:
+            return (np.zeros(0, np.int32),) * 3
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def char_ids(self, char: str) -> np.ndarray:
+        return self.byte_id[list((MARK if char == OWN_MARK else char).encode("utf-8", "replace"))]
 
 
 @functools.lru_cache(maxsize=2)
@@ -93,27 +125,28 @@ class Lattice:
     def __init__(self, vocab: Vocabulary, chunks: list[str]) -> None:
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         self.first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(chunks) else np.zeros(0, np.int64)
-        self.chunks = chunks
-        nodes, ends, pieces = [], [], []
-        for base, chunk in zip(self.first.tolist(), chunks):
-            for end, (piece, size) in vocab.machine.iter(chunk):
-                nodes.append(base + end + 1 - size)
-                ends.append(base + end + 1)
-                pieces.append(piece)
-            for at, char in enumerate(chunk):
-                if char not in vocab.single:
-                    nodes.append(base + at)
-                    ends.append(base + at + 1)
-                    pieces.append(vocab.fallback)
         total = int((sizes + 1).sum())
-        node, end, piece = (np.array(x, dtype=np.int64) for x in (nodes, ends, pieces))
+        joined = "".join([c + STOP for c in chunks])
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        inner = np.ones(total, dtype=bool)
+        inner[self.first + sizes] = False  # a STOP that is part of a text is an ordinary character
+        node, end, piece = vocab.pieces_in(points)
+        covered = np.zeros(total, dtype=bool)
+        covered[node[end == node + 1]] = True
+        bare = np.flatnonzero(~covered & inner).astype(np.int32)
         left = np.zeros(total, dtype=np.int64)  # characters from a node to the end of its chunk
         if total:
             left = np.repeat(self.first + sizes, sizes + 1) - np.arange(total)
-        weight = vocab.weight[piece]
-        # nodes nearest to the end first; of one distance all chunks at once
-        order = np.lexsort((node, left[node])) if len(node) else np.zeros(0, np.int64)
-        by_node, by_end, by_weight = node[order], end[order], weight[order]
+        node, end = np.concatenate([node, bare]), np.concatenate([end, bare + 1])
+        piece = np.concatenate([piece, np.full(len(bare), vocab.fallback, dtype=np.int32)])
+        order = np.argsort(node, kind="stable")
+        self.node, self.end, self.piece = node[order], end[order], piece[order]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=total))])
+        weight = vocab.weight[self.piece]
+        # nodes nearest to the end of their chunk first; of one distance all chunks at once
+        distance = left[self.node]
+        order = np.argsort(distance.astype(np.uint16) if total and left.max() < 1 << 16 else distance, kind="stable")
+        by_node, by_end, by_weight = self.node[order], self.end[order], weight[order]
         beta = np.zeros(total)
         bounds = np.searchsorted(left[by_node], np.arange(1, (left.max() if total else 0) + 2))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -125,16 +158,22 @@ class Lattice:
             top = np.maximum.reduceat(value, starts)
             sizes_here = np.diff(np.concatenate([starts, [b - a]]))
             beta[group[starts]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, sizes_here)), starts))
-        order = np.argsort(node, kind="stable")
-        self.node, self.end, self.piece = node[order], end[order], piece[order]
-        self.logp = weight[order] + beta[self.end] - beta[self.node]
-        self.start = np.searchsorted(self.node, np.arange(total + 1))
+        self.logp = weight + beta[self.end] - beta[self.node]
         upto = np.cumsum(np.exp(self.logp)) if len(node) else np.zeros(0)
         before = np.concatenate([[0.0], upto])[self.start[self.node]] if len(node) else upto
         self.mass = np.minimum(upto - before, 1.0)
         if len(node):
             self.mass[self.start[self.node + 1] - 1] = 1.0
-        self.sorted_mass = self.node + self.mass
+        # ids of an edge: its piece, or the bytes of a character that no piece covers
+        spelled = [vocab.char_ids(chr(c)) for c in np.unique(points[bare]).tolist()]
+        self.flat_ids = np.concatenate([np.arange(vocab.fallback), *spelled]).astype(np.int32)
+        lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        which = np.searchsorted(np.unique(points[bare]), points[self.node]) if len(bare) else np.zeros(len(node), np.int64)
+        own = self.piece == vocab.fallback
+        which = np.where(own, which, 0)
+        at = vocab.fallback + np.concatenate([[0], np.cumsum(lengths)])
+        self.id_at = np.where(own, at[which], self.piece)
+        self.id_count = np.where(own, lengths[which] if len(bare) else 1, 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -146,37 +185,41 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def uniform(key: np.ndarray, sample: int, place: np.ndarray, step: np.ndarray | int) -> np.ndarray:
+def uniform(key, sample: int, place: np.ndarray, step) -> np.ndarray:
     """Draws in (0, 1) fixed by row key, sample, place in the row and step."""
     at = place.astype(np.uint64) * np.uint64(STEPS) + np.asarray(step).astype(np.uint64)
-    mixed = _mix(key.astype(np.uint64) + _mix(at + np.uint64(sample + 1) * np.uint64(0x9E3779B97F4A7C15)))
+    salt = np.uint64((sample + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    mixed = _mix(key + _mix(at + salt))
     return ((mixed >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
-def _walk(lattice: Lattice, doc: np.ndarray, place: np.ndarray, node: np.ndarray, key: np.ndarray, sample: int):
-    """Random edges from each node to the end of its chunk: (doc, place, edge), in order of place."""
-    docs, places, edges, steps = [], [], [], []
-    live = np.arange(len(node))
-    at, step = node.copy(), 0
-    while len(live):
-        inner = lattice.start[at[live]] < lattice.start[at[live] + 1]
-        live = live[inner]
+def _walk(lattice: Lattice, occurrence: np.ndarray, place: np.ndarray, node: np.ndarray, key: np.ndarray, sample: int):
+    """Random edges from each node to the end of its chunk: (occurrence, edge), in order of occurrence and step.
+
+    occurrence: numbers of the chunks in the batch, ascending; place: their numbers within the row."""
+    occurrences, edges, steps = [], [], []
+    live, at, step = np.arange(len(node)), node, 0
+    while True:
+        inner = lattice.start[at] < lattice.start[at + 1]
+        live, at = live[inner], at[inner]
         if not len(live):
             break
         draw = uniform(key[live], sample, place[live], step)
-        edge = np.searchsorted(lattice.sorted_mass, at[live] + draw, side="left")
-        edge = np.minimum(edge, lattice.start[at[live] + 1] - 1)
-        docs.append(doc[live])
-        places.append(place[live])
+        edge = lattice.start[at]
+        late = np.flatnonzero(lattice.mass[edge] < draw)
+        while len(late):  # the last edge of a node has mass 1
+            edge[late] += 1
+            late = late[lattice.mass[edge[late]] < draw[late]]
+        occurrences.append(occurrence[live])
         edges.append(edge)
         steps.append(np.full(len(live), step))
-        at[live] = lattice.end[edge]
+        at = lattice.end[edge]
         step += 1
-    if not docs:
-        return (np.zeros(0, np.int64),) * 3
-    doc, place, edge, step = (np.concatenate(x) for x in (docs, places, edges, steps))
-    order = np.lexsort((step, place, doc))
-    return doc[order], place[order], edge[order]
+    if not edges:
+        return (np.zeros(0, np.int64),) * 2
+    occurrence, edge = np.concatenate(occurrences), np.concatenate(edges)
+    order = np.argsort(occurrence * step + np.concatenate(steps), kind="stable")
+    return occurrence[order], edge[order]
 
 
 def _log_rest(logp: np.ndarray) -> np.ndarray:
@@ -193,19 +236,23 @@ def _truncated(location, bound, draw):
     return np.where(np.isneginf(location), -np.inf, np.minimum(out, bound))
 
 
+def _truncated_one(location: float, bound: float, draw: float) -> float:
+    return min(bound, location - math.log(math.exp(min(location - bound, 700.0)) - math.log(draw)))
+
+
 class _Path:
-    """One segmentation of a row: its edges, the log-probability before each, and its chunk places."""
+    """One segmentation of a row: its edges, their chunks' numbers in the batch, the log-probability before each."""
 
-    __slots__ = ("edges", "places", "before", "logp")
+    __slots__ = ("edges", "occurrences", "before", "logp")
 
-    def __init__(self, edges, places, logs):
-        self.edges, self.places = edges, places
+    def __init__(self, edges, occurrences, logs):
+        self.edges, self.occurrences = edges, occurrences
         upto = np.cumsum(logs)
         self.before = upto - logs
         self.logp = float(upto[-1]) if len(logs) else 0.0
 
 
-def sample_rows(texts: list[str], keys: np.ndarray, k: int, path: str = MODEL) -> list[list[tuple[list[int], float, float]]]:
+def sample_rows(texts: list[str], keys: np.ndarray, k: int, path: str = MODEL) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text up to k distinct segmentations (ids, log p, log inclusion score), best value first.
 
     A text with fewer than k segmentations yields all of them, each with inclusion score 1 (log 0).
@@ -221,37 +268,42 @@ def sample_rows(texts: list[str], keys: np.ndarray, k: int, path: str = MODEL) -
     nodes = lattice.first[flat] if len(flat) else flat
     keys = keys.astype(np.uint64)
     every = np.repeat(np.arange(len(rows)), counts)
-    place = np.arange(len(flat)) - np.repeat(doc_at[:-1], counts)
+    occurrence = np.arange(len(flat))
+    place = occurrence - doc_at[every]
 
     found: list[list[_Path]] = [[] for _ in rows]
-    # frontier entries of each row: value, path, decision, edges of its node already followed, bound's draw number
+    # frontier entries of each row: value, path, decision, edges of its node that were followed
     frontier: list[list[list]] = [[] for _ in rows]
     root = -np.log(-np.log(uniform(keys, 0, np.zeros(len(rows)), STEPS - 1)))
 
-    def add(sample: int, parts, prefix, bounds) -> None:
-        """Take up paths: parts are the walked (doc, place, edge), prefix the edges and places before."""
-        doc, where, edge = parts
-        at = np.searchsorted(doc, np.arange(len(rows) + 1))
-        for d in prefix:
-            head_e, head_p = prefix[d]
-            edges = np.concatenate([head_e, edge[at[d] : at[d + 1]]])
-            places = np.concatenate([head_p, where[at[d] : at[d + 1]]])
-            route = _Path(edges, places, lattice.logp[edges])
+    def add(sample: int, parts, prefix: dict, bound: np.ndarray) -> None:
+        """Take up paths: parts are the walked (occurrence, edge), prefix the (edges, occurrences) before, bound
+        the value of each row's path. The best k siblings along the new part join the frontier."""
+        where, edge = parts
+        at = np.searchsorted(where, doc_at)
+        logs, before, number = lattice.logp[edge], np.zeros(len(edge)), np.zeros(len(edge), np.int64)
+        for d, (head_e, head_o) in prefix.items():
+            a, b, n = at[d], at[d + 1], len(head_e)
+            new = edge[a:b]
+            route = _Path(np.concatenate([head_e, new]) if n else new, np.concatenate([head_o, where[a:b]]) if n else where[a:b], np.concatenate([lattice.logp[head_e], logs[a:b]]) if n else logs[a:b])
             found[d].append(route)
-            n = len(head_e)
-            if n == len(edges):
-                continue
-            location = route.before[n:] + _log_rest(lattice.logp[edges[n:]])
-            draw = uniform(np.broadcast_to(keys[d], len(location)), sample, np.arange(n, len(edges)), STEPS - 2)
-            value = _truncated(location, bounds[d], draw)
-            for t in np.argsort(-value, kind="stable")[:k].tolist():
-                if value[t] > -np.inf:
-                    frontier[d].append([float(value[t]), route, n + t, {int(edges[n + t])}])
+            before[a:b], number[a:b] = route.before[n:], np.arange(n, n + b - a)
+        row = every[where]
+        draw = uniform(keys[row], sample, number, STEPS - 2)
+        value = _truncated(before + _log_rest(logs), bound[row], draw)
+        for d, (head_e, _) in prefix.items():
+            here = value[at[d] : at[d + 1]]
+            for _ in range(min(k, len(here))):
+                t = int(here.argmax())
+                if here[t] == -np.inf:
+                    break
+                frontier[d].append([float(here[t]), found[d][-1], len(head_e) + t, {int(edge[at[d] + t])}])
+                here[t] = -np.inf
 
     none = np.zeros(0, np.int64)
-    add(0, _walk(lattice, every, place, nodes, keys[every] if len(every) else none, 0), {d: (none, none) for d in range(len(rows))}, root)
+    add(0, _walk(lattice, occurrence, place, nodes, keys[every], 0), dict.fromkeys(range(len(rows)), (none, none)), root)
     for sample in range(1, k):
-        prefix, bounds, docs, places, starts = {}, {}, [], [], []
+        prefix, bound, firsts, starts = {}, np.zeros(len(rows)), [], []
         for d, entries in enumerate(frontier):
             if not entries:
                 continue
@@ -260,32 +312,29 @@ def sample_rows(texts: list[str], keys: np.ndarray, k: int, path: str = MODEL) -
             node = int(lattice.node[route.edges[t]])
             options = [e for e in range(lattice.start[node], lattice.start[node + 1]) if e not in used]
             mass = np.exp(lattice.logp[options])
-            draws = uniform(np.broadcast_to(keys[d], 2), sample, np.array([t, t]), np.array([STEPS - 3, STEPS - 4]))
+            draws = uniform(keys[d], sample, np.array([t, t]), np.array([STEPS - 3, STEPS - 4]))
             edge = options[min(int(np.searchsorted(np.cumsum(mass) / mass.sum(), draws[0])), len(options) - 1)]
-            used = used | {edge}
             rest = [e for e in options if e != edge]
             if rest:
                 location = route.before[t] + np.log(np.exp(lattice.logp[rest]).sum())
-                entries[best] = [float(_truncated(location, value, draws[1])), route, t, used]
+                entries[best] = [_truncated_one(float(location), value, float(draws[1])), route, t, used | {edge}]
             else:
                 entries.pop(best)
-            prefix[d] = (np.append(route.edges[:t], edge), route.places[: t + 1])
-            bounds[d] = value
-            at = int(route.places[t])
-            docs.append(np.full(counts[d] - at, d))
-            places.append(np.arange(at, counts[d]))
-            start = nodes[doc_at[d] + at : doc_at[d + 1]].copy()
-            start[0] = lattice.end[edge]
-            starts.append(start)
+            prefix[d] = (np.append(route.edges[:t], edge), route.occurrences[: t + 1])
+            bound[d] = value
+            firsts.append(int(route.occurrences[t]))
+            starts.append(int(lattice.end[edge]))
         if not prefix:
             break
-        doc, where, start = (np.concatenate(x) for x in (docs, places, starts))
-        add(sample, _walk(lattice, doc, where, start, keys[doc], sample), prefix, bounds)
+        todo = np.concatenate([np.arange(a, doc_at[d + 1]) for d, a in zip(prefix, firsts)])
+        start = nodes[todo]
+        start[np.searchsorted(todo, firsts)] = starts
+        add(sample, _walk(lattice, todo, place[todo], start, keys[every[todo]], sample), prefix, bound)
 
     out = []
     for d, paths in enumerate(found):
         kappa = max((e[0] for e in frontier[d]), default=-np.inf)
-        out.append([(_ids(vocab, lattice, p, rows[d]), p.logp, inclusion(p.logp, kappa)) for p in paths])
+        out.append([(_ids(lattice, p.edges), p.logp, inclusion(p.logp, kappa)) for p in paths])
     return out
 
 
@@ -299,18 +348,10 @@ def inclusion(logp: float, kappa: float) -> float:
     return float(np.log(-np.expm1(-np.exp(min(x, 30.0)))))
 
 
-def _ids(vocab: Vocabulary, lattice: Lattice, route: _Path, row: list[int]) -> list[int]:
-    pieces = lattice.piece[route.edges]
-    if not (pieces == vocab.fallback).any():
-        return pieces.tolist()
-    out = []
-    for edge, place, piece in zip(route.edges.tolist(), route.places.tolist(), pieces.tolist()):
-        if piece == vocab.fallback:
-            chunk = row[place]
-            out += vocab.char_ids(lattice.chunks[chunk][int(lattice.node[edge] - lattice.first[chunk])])
-        else:
-            out.append(piece)
-    return out
+def _ids(lattice: Lattice, edges: np.ndarray) -> np.ndarray:
+    count = lattice.id_count[edges]
+    within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return lattice.flat_ids[np.repeat(lattice.id_at[edges], count) + within]
 
 
 def encode(text: str, path: str = MODEL) -> list[int]:
@@ -318,10 +359,10 @@ def encode(text: str, path: str = MODEL) -> list[int]:
     return vocabulary(path).processor.encode(text)
 
 
-def decode(ids: list[int], path: str = MODEL) -> str:
+def decode(ids, path: str = MODEL) -> str:
     """The text of any segmentation; exact for every id list that sample_rows() returns."""
     table = vocabulary(path).bytes_of
-    return b"".join([table[i] for i in ids])[1:].decode("utf-8", "replace")
+    return b"".join([table[i] for i in np.asarray(ids).tolist()])[1:].decode("utf-8", "replace")
 
 
 def _row_key(doc_id) -> int:
@@ -352,7 +393,7 @@ def sampled(docs: DataFrame, k: int = 2, path: str = MODEL) -> DataFrame:
                 out = []
                 for i, text, paths in zip(ids[at:to], texts[at:to], sample_rows(texts[at:to], keys, k, path)):
                     for rank, (tokens, logp, included) in enumerate(paths):
-                        out.append((i, rank, np.array(tokens, dtype=np.int32), logp, included, decode(tokens, path) == text))
+                        out.append((i, rank, tokens, logp, included, decode(tokens, path) == text))
                 columns = zip(*out, strict=True)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema)
                 at = to
