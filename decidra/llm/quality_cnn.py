@@ -102,7 +102,7 @@ class _Adam:
             params[k] -= (self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)).astype(params[k].dtype)
 
 
-def _train_filters(bodies: list[bytes], labels: np.ndarray, rng: np.random.Generator, epochs: int, chunks_per_row: int):
+def _train_filters(bodies: list[bytes], labels: np.ndarray, rng: np.random.Generator, steps: int, chunks_per_row: int):
     """Filters from a linear read-out of single chunks; a chunk carries the label of its document."""
     windows, marks = [], []
     for body, y in zip(bodies, labels, strict=True):
@@ -122,7 +122,7 @@ def _train_filters(bodies: list[bytes], labels: np.ndarray, rng: np.random.Gener
         "c": np.zeros(1),
     }
     adam, size, span = _Adam(0.02), 128, CHUNK
-    for _ in range(epochs):
+    for _ in range(-(-steps * size // len(x))):
         order = rng.permutation(len(x))
         for at in range(0, len(order), size):
             rows = order[at : at + size]
@@ -144,7 +144,7 @@ def _train_filters(bodies: list[bytes], labels: np.ndarray, rng: np.random.Gener
     return p["filters"], p["bias"]
 
 
-def train(bodies: list[bytes], labels: list[int], seed: int = 11, filter_epochs: int = 4, chunks_per_row: int = 8, epochs: int = 150) -> Model:
+def train(bodies: list[bytes], labels: list[int], seed: int = 11, filter_steps: int = 600, chunks_per_row: int = 8, epochs: int = 150) -> Model:
     """A model from labelled texts. Without rows of both labels it returns the constant share of label 1
     (0.5 without any row)."""
     rng = np.random.default_rng(seed)
@@ -154,7 +154,7 @@ def train(bodies: list[bytes], labels: list[int], seed: int = 11, filter_epochs:
         share = 0.5 if len(y) == 0 else min(0.99, max(0.01, float(y.mean())))
         flat = np.zeros((TAPS, 256, FILTERS), dtype=np.float32)
         return Model(flat, np.zeros(FILTERS, dtype=np.float32), np.zeros(size), np.ones(size), np.zeros((size, 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share))))
-    filters, bias = _train_filters(bodies, y, rng, filter_epochs, chunks_per_row)
+    filters, bias = _train_filters(bodies, y, rng, filter_steps, chunks_per_row)
     x = np.stack([describe(pooled(filters, bias, b)) for b in bodies])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = (x - mean) / scale
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_train_byte
     usable = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id")) != 0))
     sample = usable.select(F.col("doc_id").alias("_id"), "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     body = F.substring(utf8(F.col("text")), 1, max_train_bytes)
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", body.alias("body"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", body.alias("body"))
     # repeated ids could bring more rows than the sample has
     found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "body").limit(max_rows).collect()
     return train([bytes(r["body"]) for r in found], [int(r["quality"] > 0) for r in found])
