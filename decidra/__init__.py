@@ -1,0 +1 @@
+"""Calibrated, typed decisions over data, as DataFrame operations."""
