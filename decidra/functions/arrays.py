@@ -20,7 +20,7 @@ def total(array: Column) -> Column:
 
 
 def normalise(weights: Column) -> Column:
-    return let(F.struct(weights.alias("w"), total(weights).alias("s")), lambda v: F.transform(v["w"], lambda x: x / v["s"]))
+    return let(F.struct(weights.alias("w"), total(weights).alias("s")), lambda v: F.transform(v["w"], lambda x: F.try_divide(x, v["s"])))
 
 
 def softmax(logits: Column) -> Column:
