@@ -1,0 +1,178 @@
+"""The registered queries at the smallest scale: against SQL where there is some, else against plain Python."""
+
+import binascii
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import corpus_pipeline
+import duckdb
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from decidra.llm import pieces, quality_cnn, rules, simhash
+from decidra.llm import queries as Q
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
+
+
+def table(name):
+    return pq.read_table(f"{SF}/{name}.parquet").to_pylist()
+
+
+def canonical(rows, names):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(tuple(str(r[i]) for i in order) for r in rows)
+
+
+@pytest.mark.parametrize("name", list(Q.ORACLE))
+def test_against_sql(spark, name):
+    duck = duckdb.connect()
+    for p in Path(SF).glob("*.parquet"):
+        duck.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    df = Q.QUERIES[name](spark, SF)
+    found = duck.execute(Q.ORACLE[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert canonical(df.collect(), df.columns) == canonical(found.fetchall(), names)
+
+
+def test_op1(spark):
+    rows, docs = Q.op1_shard(spark, SF).collect(), {d["doc_id"]: (d["text"] or "").encode() for d in table("documents")}
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    slots = defaultdict(list)
+    for r in rows:
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(docs[r.doc_id]) + 1, binascii.crc32(docs[r.doc_id]), "rows", None)
+        slots[r.shard].append(r.slot)
+    assert set(slots) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_op2_held_out_accuracy(spark):
+    rows = {r.doc_id: r for r in Q.op2_quality(spark, "/root/testdata/sf0.01").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()}
+    assert all(r.held_out == quality_cnn.held_out(i) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for i, r in rows.items())
+    test = [(rows[i].score, y) for i, y in labels.items() if i in rows and rows[i].held_out]
+    good, bad = [s for s, y in test if y], [s for s, y in test if not y]
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
+
+
+def test_op4(spark):
+    rows = Q.op4_urls(spark, SF).collect()
+    assert sorted(r.page_id for r in rows) == sorted(p["page_id"] for p in table("pages"))
+    assert {r.verdict for r in rows} <= {"allow", "block"}
+    for r in rows:
+        if r.rule is None:
+            assert r.verdict == ("block" if r.score >= 0.5 else "allow")
+
+
+def test_op5(spark):
+    from test_simhash import brute_components
+
+    rows = sorted((tuple(r) for r in Q.op5_simhash(spark, SF).collect()), key=str)
+    assert rows == brute_components([(d["doc_id"], d["text"]) for d in table("documents")])
+
+
+def test_op9(spark):
+    from test_licenses import brute
+
+    rows = {r.doc_id: r for r in Q.op9_licenses(spark, SF).collect()}
+    for d in table("documents"):
+        r = rows[d["doc_id"]]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(d["text"])
+
+
+def test_op10(spark):
+    rows = Q.op10_pieces(spark, SF).collect()
+    assert all(r.decoded and r.log_prob <= 0 and r.log_inclusion <= 0 for r in rows)
+    found = {(r.doc_id, r["rank"]): r for r in rows}
+    for d in table("documents")[:40]:
+        own = pieces.sample_rows([d["text"]], np.array([pieces._row_key(d["doc_id"])], dtype=np.uint64), 2)[0]
+        for rank, (ids, logp, _) in enumerate(own):
+            r = found[d["doc_id"], rank]
+            assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest() and math.isclose(r.log_prob, logp)
+
+
+# --- the pipeline, stage by stage in plain Python
+
+
+def brute_rules(docs):
+    counts = {d["doc_id"]: dict(zip(rules.COUNTS, rules.count_text((d["text"] or "").encode()))) for d in docs}
+    ratio = lambda c, a, b: c[a] / c[b] if c[b] else 0.0
+    bin_ = lambda r: 0 if r <= rules.LEAST else math.ceil(math.log(r / rules.LEAST) / math.log(rules.GAMMA))
+    sketch = defaultdict(Counter)
+    for d in docs:
+        for name, a, b, _ in rules.METRICS:
+            for key in ((d["lang"], d["source"]), (d["lang"],), ()):
+                sketch[key, name][bin_(ratio(counts[d["doc_id"]], a, b))] += 1
+
+    def fence(key, name, spread):
+        s, n = sketch[key, name], sum(sketch[key, name].values())
+
+        def quantile(q):
+            upto = 0
+            for b in sorted(s):
+                upto += s[b]
+                if upto >= q * n:
+                    return 0.0 if b == 0 else rules.LEAST * rules.GAMMA**b
+
+        return quantile(0.5) + rules.REACH * max(quantile(0.5) - quantile(0.25), spread)
+
+    out = []
+    for d in docs:
+        c = counts[d["doc_id"]]
+        keys = [(d["lang"], d["source"]), (d["lang"],), ()]
+        ok = c["n_words"] >= 50 and 100 * c["n_repeat_words"] <= 50 * c["n_words"]
+        for name, a, b, spread in rules.METRICS:
+            key = next(k for k in keys if k == () or sum(sketch[k, name].values()) >= rules.MIN_GROUP)
+            ok = ok and ratio(c, a, b) <= fence(key, name, spread)
+        if ok:
+            out.append(d)
+    return out
+
+
+def brute_clean(docs, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    windows = set()
+    for item in items:
+        w = words(item["text"])
+        n = min(13, len(w))
+        windows |= {tuple(w[i : i + n]) for i in range(len(w) - n + 1) if n}
+    sizes = {len(w) for w in windows}
+    out = []
+    for d in docs:
+        w, hit = words(d["text"]), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit |= set(range(i, i + n))
+        if not hit or 20 * len(hit) < len(w):
+            out.append(d)
+    return out
+
+
+def test_pipeline_matches_plain_python(spark):
+    from test_simhash import brute_components
+
+    docs = table("documents")
+    kept = brute_rules(docs)
+    model = quality_cnn.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    kept = [d for d in kept if quality_cnn.score(model, d["text"].encode()) >= Q.KEEP_SCORE]
+    firsts = {c for _, _, c in brute_components([(d["doc_id"], d["text"]) for d in kept])}
+    kept = brute_clean([d for d in kept if d["doc_id"] in firsts], table("benchmark"))
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert sorted({r.doc_id for r in rows}) == sorted(d["doc_id"] for d in kept) and len(kept) > 50
+    texts = {d["doc_id"]: d["text"] for d in kept}
+    assert all(pieces.decode(r.ids) == texts[r.doc_id] for r in rows)
+
+
+def test_stages_return_the_columns_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert stage(spark, docs.limit(0), SF).collect() == []
+    assert simhash.fingerprint(b"") == 0
