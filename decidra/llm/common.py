@@ -41,3 +41,12 @@ def ascii_lower(text: Column) -> Column:
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of text; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")
+
+
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and all columns of docs inside a struct _row, where no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *columns)
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("_row.*")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, packed, unpacked
 
 WINDOW = 13
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,7 +50,7 @@ def windows_of(benchmark: DataFrame) -> DataFrame:
     return cut_out.groupBy("win", "len").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def _sized(df: DataFrame, windows: DataFrame) -> DataFrame:
+def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
@@ -64,7 +64,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         parts = own.select("win", "len", "items", F.posexplode(_places("win", size)).alias("off", "p")).withColumn("s", _shingle("p", size))
         wanted = cut(parts.select(F.col("s").alias("k")).distinct())
         seen = base.select(F.explode(_places("w", size)).alias("p")).select(_shingle("p", size).alias("s"))
-        counts = seen.join(_sized(wanted, windows), F.col("s") == F.col("k")).groupBy("k").agg(F.count("*").alias("n"))
+        counts = seen.join(_sized(wanted), F.col("s") == F.col("k")).groupBy("k").agg(F.count("*").alias("n"))
         # a window with a shingle that is in no document occurs in none
         rated = parts.join(cut(counts), F.col("s") == F.col("k"), "left")
         rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "s")).alias("r")
@@ -74,7 +74,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         start = F.col("pos") - F.col("off")
         fits = (start >= 0) & (start + F.col("len") <= F.size("w"))
         same = F.slice(F.col("w"), F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win")
-        found = each.join(_sized(prefix, windows), (F.col("s") == F.col("k")) & fits & same)
+        found = each.join(_sized(prefix), (F.col("s") == F.col("k")) & fits & same)
         found = found.select("doc_id", "tag", start.alias("start"), "len", "items")
         out = found if out is None else out.union(found)
     if out is None:
@@ -124,4 +124,4 @@ def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = cut(_hits(occurrences(docs, benchmark)).select("_id", "_tag", F.col("n_hit").alias("_hit")))
     words = F.size(words_of(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tag")) & (20 * F.col("_hit") >= words)
-    return docs.join(_sized(hits, hits), same, "left_anti")
+    return unpacked(packed(docs, "doc_id", "text").join(_sized(hits), same, "left_anti"))

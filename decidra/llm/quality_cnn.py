@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import packed, unpacked, utf8
 
 TAPS = 6
 FILTERS = 16
@@ -205,5 +205,10 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     return docs.withColumn(name, F.arrow_udf(run, returnType="double").asNondeterministic()(utf8(F.col("text"))))
 
 
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The documents that score at least least, with all columns of docs."""
+    return unpacked(with_score(packed(docs, "text"), model).where(F.col("score") >= least))
+
+
 def held_out(doc_id) -> bool:
     return binascii.crc32(str(doc_id).encode()) % FOLDS == 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import cut, packed, unpacked, utf8
 
 GAMMA = 1.02
 LEAST = 1e-4
@@ -172,4 +172,5 @@ def keep(docs: DataFrame) -> DataFrame:
     """The documents that judge() keeps, with all columns of docs. Texts are counted twice, once for the
     sketches and once to decide, so that no text is shuffled."""
     fences = thresholds(text_counts(docs))
-    return _with_fences(with_counts(docs), fences).where(_clean("_counts.")).select(*docs.columns)
+    counted = with_counts(packed(docs, "lang", "source", "text")).drop("text")
+    return unpacked(_with_fences(counted, fences).where(_clean("_counts.")))

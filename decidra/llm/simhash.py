@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, utf8
+from .common import cut, packed, unpacked, utf8
 from .components import components
 
 LIMIT = 4
@@ -240,8 +240,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = cut(fingerprints(docs.select("doc_id", "text")).select("doc_id", *key, "_fp"))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k", "_j").alias("rank")
     firsts = cut(classes(found.select("_fp", rank), "rank").select("first").distinct().select("first._k", "first._j"))
-    kept = docs.select("*", *key).join(firsts, ["_k", "_j"], "left_semi")
+    kept = packed(docs, "doc_id", "text").select("_row", *key).join(firsts, ["_k", "_j"], "left_semi")
     repeats = found.join(firsts, ["_k", "_j"], "left_semi").groupBy("_k", "_j").count().where("count > 1")
     if not repeats.isEmpty():  # a second shuffle of texts only where whole rows repeat
         kept = kept.dropDuplicates(["_k", "_j"])
-    return kept.select(*docs.columns)
+    return unpacked(kept)

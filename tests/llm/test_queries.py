@@ -14,6 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from decidra.llm import pieces, quality_cnn, rules, simhash
 from decidra.llm import queries as Q
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -171,8 +172,12 @@ def test_pipeline_matches_plain_python(spark):
 
 def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for name in ("_row", "_k", "_j", "_h", "_id", "_tag", "_hit", "_counts", "_fp", "score", "t_lang", "t_symbols", "k", "w"):
+        docs = docs.withColumn(name, F.lit("mine"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r._row == r._k == r.score == "mine" for r in rows)
         assert stage(spark, docs.limit(0), SF).collect() == []
     assert simhash.fingerprint(b"") == 0
