@@ -13,6 +13,7 @@ from decidra.operators import agent as AG
 from decidra.operators import calibrate, conformal, metrics, scoring, serving, synthetic
 from decidra.operators import datasets as D
 from decidra.schema import Question
+from decidra.sources import records as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -615,5 +616,44 @@ def conversation_turns(spark, sf_dir):
     return decide_turns(table(spark, sf_dir, "conversations"), lambda history, text: "long" if len(text) + len(history) > 200 else "short")
 
 
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_windows(spark, sf_dir):
+    """The same aggregate by a streaming query over all that is there now."""
+    from decidra.streaming.requests import drain, windowed
+
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = drain(spark, windowed(stream, "ts", "event_type", "value"), f"windows_{abs(hash(sf_dir))}", mode="complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def _record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON records with a yes/no and a choice question, one of them with an unknown label now and then."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    options = F.lit('{"de": "German", "en": null, "fr": null}')
+    good = F.concat(F.lit('{"type": "noul", "instructions": "good?", "label": '), F.when(F.col("quality") == 1, "true").otherwise('"no"'), F.lit("}"))
+    lang = F.concat(F.lit('{"type": "choice", "instructions": "lang?", "criteria": '), options, F.lit(', "label": "'), F.col("lang"), F.lit('", "src": "own"}'))
+    named = lambda n, j: F.struct(F.lit(n).alias("name"), j.alias("json"))
+    state = F.to_json(F.array(F.left("text", F.lit(60))))
+    line = R.record_json(state, F.array(named("good", good), named("lang", lang)), F.to_json(F.struct("source")))
+    return docs.select(F.lit("f").alias("file"), F.col("doc_id").alias("line"), line.alias("value"))
+
+
+@query("""SELECT doc_id AS line, 'good' AS name, 'bool' AS qtype, 'yes,no' AS keys, 1 - quality AS label_index, source, NULL::VARCHAR AS problem FROM documents JOIN labels USING (doc_id)
+UNION ALL SELECT doc_id, 'lang', 'choice', 'de,en,fr', list_position(['de', 'en', 'fr'], lang) - 1, 'own', CASE WHEN lang NOT IN ('de', 'en', 'fr') THEN 'the label is not an option' END FROM documents JOIN labels USING (doc_id)""")
+def parsed_records(spark, sf_dir):
+    rows = R.parse_records(_record_lines(spark, sf_dir))
+    index = F.when(F.col("label_index") >= 0, F.col("label_index"))
+    return rows.select("line", "name", "qtype", F.array_join("keys", ",").alias("keys"), index.alias("label_index"), "source", "problem")
+
+
+@query("""SELECT doc_id AS request, unnest(['good', 'lang']) AS name, unnest(['bool', 'choice']) AS qtype, unnest(['yes,no', 'de,en,fr']) AS keys, NULL::VARCHAR AS problem FROM documents JOIN labels USING (doc_id)""")
+def request_rows(spark, sf_dir):
+    from decidra.sources.forms import parse_requests
+
+    bodies = _record_lines(spark, sf_dir).select(F.col("line").alias("request"), F.col("value").alias("body"))
+    return parse_requests(bodies).select("request", "name", "qtype", F.array_join("keys", ",").alias("keys"), "problem")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_summary(spark, sf_dir)
