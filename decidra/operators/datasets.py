@@ -70,10 +70,10 @@ def count_target(counts: Column) -> Column:
 
 def numbered(df: DataFrame, order: Column, name: str = "rn") -> DataFrame:
     """df with its place (from 1) in a total order, without sorting it in one task: places within buckets of the
-    order key's first two hex digits, moved by the counts of lower buckets. order: an md5 string."""
-    each = df.withColumn("_o", order).withColumn("_b", F.substring("_o", 1, 2))
+    order key's first three hex digits, moved by the counts of lower buckets. order: an md5 string."""
+    each = df.withColumn("_o", order).withColumn("_b", F.substring("_o", 1, 3))
     inner = F.row_number().over(Window.partitionBy("_b").orderBy("_o", "id"))
-    sizes = each.groupBy("_b").agg(F.count("*").alias("_n"))  # 256 rows at most
+    sizes = each.groupBy("_b").agg(F.count("*").alias("_n"))  # 4096 rows at most
     upto = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = sizes.select("_b", upto.alias("_before"))
     return each.withColumn("_i", inner).join(F.broadcast(before), "_b").withColumn(name, F.col("_i") + F.col("_before")).drop("_o", "_b", "_i", "_before")

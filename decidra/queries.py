@@ -468,29 +468,33 @@ def packing(spark, sf_dir):
 
 # --- datasets ----------------------------------------------------------------------------------
 
-TASK = D.Task(
-    "doc_quality", "bool", ("yes", "no"), ("Is this text of good quality?", "Is this well written?"),
-    F.col("text"), 1 - F.col("quality"), key="doc_id", max_train=200, max_eval=60,
-)
+
+def _task() -> D.Task:
+    return D.Task(
+        "doc_quality", "bool", ("yes", "no"), ("Is this text of good quality?", "Is this well written?"),
+        F.col("text"), 1 - F.col("quality"), key="doc_id", max_train=200, max_eval=60,
+    )
+
+
 MD5 = "md5('{seed}:' || {key})"
 SPLIT_SQL = f"""WITH ex AS (SELECT doc_id AS id, text AS state, 1 - quality AS label, row_number() OVER (ORDER BY {MD5.format(seed=13, key="doc_id")}, doc_id) AS rn, count(*) OVER () AS total FROM documents JOIN labels USING (doc_id)),
 sp AS (SELECT *, least(60, least(total, 260)) AS ne FROM ex WHERE rn <= 260)"""
 
 
 def _examples(spark, sf_dir):
-    return D.build(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id"), TASK, 13)
+    return D.build(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id"), _task(), 13)
 
 
 @query(f"""{SPLIT_SQL} SELECT id, CASE WHEN rn <= ne // 2 THEN 'calibration' WHEN rn <= ne THEN 'dev' ELSE 'train' END AS split,
  rn - 1 - CASE WHEN rn <= ne // 2 THEN 0 WHEN rn <= ne THEN ne // 2 ELSE ne END AS number, label AS label_index FROM sp""")
 def build_splits(spark, sf_dir):
-    return D.splits(_examples(spark, sf_dir), TASK, 13).select("id", "split", "number", "label_index")
+    return D.splits(_examples(spark, sf_dir), _task(), 13).select("id", "split", "number", "label_index")
 
 
 @query(f"""{SPLIT_SQL}, s AS (SELECT CASE WHEN rn <= ne // 2 THEN 'calibration' WHEN rn <= ne THEN 'dev' ELSE 'train' END AS split FROM sp)
 SELECT split, 'doc_quality' AS source, count(*) AS n FROM s GROUP BY split UNION ALL SELECT split, NULL, count(*) FROM s GROUP BY split""")
 def build_stats(spark, sf_dir):
-    return D.build_stats(D.splits(_examples(spark, sf_dir), TASK, 13))
+    return D.build_stats(D.splits(_examples(spark, sf_dir), _task(), 13))
 
 
 @query(f"""WITH ex AS (SELECT doc_id AS id, text AS state, row_number() OVER (ORDER BY {MD5.format(seed="5-swap", key="doc_id")}, doc_id) AS rn, count(*) OVER () AS n FROM documents JOIN labels USING (doc_id)),
