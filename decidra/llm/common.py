@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,12 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
 
 def unpacked(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system: a worker that is used again for another stage keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library

@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import release_memory, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -38,7 +38,7 @@ OWN_MARK = "\ud800"
 OFFSET = 10.0
 BYTE_WEIGHT = -12.0
 #: Characters of texts whose lattices are held at once.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 STEPS = 1 << 20
 #: Ends a chunk where chunks are joined; in no piece.
 STOP = "\0"
@@ -397,6 +397,8 @@ def sampled(docs: DataFrame, k: int = 2, path: str = MODEL) -> DataFrame:
                 columns = zip(*out, strict=True)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema)
                 at = to
+                del out, columns, keys
+            release_memory()
 
     source = docs.select("doc_id", utf8(F.col("text")).alias("body"))
     return source.mapInArrow(run, "doc_id long, rank int, ids array<int>, log_prob double, log_inclusion double, decoded boolean")
