@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -40,6 +42,7 @@ BYTE_WEIGHT = -12.0
 #: Characters of texts whose lattices are held at once.
 SLICE_CHARS = 500_000
 STEPS = 1 << 20
+HASH_BITS = 19
 #: Ends a chunk where chunks are joined; in no piece.
 STOP = "\0"
 
@@ -72,14 +75,47 @@ class Vocabulary:
                         if node == len(piece_at):
                             piece_at.append(-1)
                     piece_at[node] = i
-        self.trie_keys = np.array(sorted(trie), dtype=np.int64)
-        self.trie_next = np.array([trie[k] for k in self.trie_keys.tolist()], dtype=np.int32)
         self.piece_at = np.array(piece_at, dtype=np.int32)
         self.root = np.full(0x110000, -1, dtype=np.int32)
-        firsts = self.trie_keys < 1 << 21
-        self.root[self.trie_keys[firsts]] = self.trie_next[firsts]
+        for key, node in trie.items():
+            if key < 1 << 21:
+                self.root[key] = node
+        self._hash(np.fromiter(trie, np.int64, len(trie)), np.fromiter(trie.values(), np.int32, len(trie)))
+        self.spelling = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+        self.spelling_size = np.fromiter(map(len, self.bytes_of), np.int64, size)
+        self.spelling_at = np.cumsum(self.spelling_size) - self.spelling_size
         self.fallback = size  # the edge of a character that no piece covers
 
+    def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """The trie's edges in an open hash table: a key lies in its slot or one of the next few."""
+        self.slot_keys = np.full((1 << HASH_BITS) + 64, -1, dtype=np.int64)
+        self.slot_next = np.full((1 << HASH_BITS) + 64, -1, dtype=np.int32)
+        slots, self.probes = _slot(keys), 1
+        while len(keys):
+            _, first = np.unique(slots, return_index=True)
+            free = first[self.slot_keys[slots[first]] < 0]
+            self.slot_keys[slots[free]], self.slot_next[slots[free]] = keys[free], values[free]
+            left = np.ones(len(keys), dtype=bool)
+            left[free] = False
+            keys, values, slots = keys[left], values[left], slots[left] + 1
+            self.probes += bool(len(keys))
+
+    def _step(self, keys: np.ndarray) -> np.ndarray:
+        """The node behind each edge, -1 where there is none."""
+        slots = _slot(keys)
+        held = self.slot_keys[slots]
+        out = np.where(held == keys, self.slot_next[slots], np.int32(-1))
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        for _ in range(1, self.probes):
+            if not len(open_):
+                break
+            slots[open_] += 1
+            held = self.slot_keys[slots[open_]]
+            found = held == keys[open_]
+            out[open_[found]] = self.slot_next[slots[open_[found]]]
+            open_ = open_[~found & (held >= 0)]
+        return out
+
     def pieces_in(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of every piece in the code points, by walking the trie from all places at once."""
         start, node, depth = np.arange(len(points), dtype=np.int32), self.root[points], 1
@@ -94,9 +130,7 @@ class Vocabulary:
             out.append((start[whole], start[whole] + np.int32(depth), piece[whole]))
             inner = start + depth < len(points)
             start, node = start[inner], node[inner]
-            key = node.astype(np.int64) << 21 | points[start + depth]
-            at = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
-            node = np.where(self.trie_keys[at] == key, self.trie_next[at], np.int32(-1))
+            node = self._step(node.astype(np.int64) << 21 | points[start + depth])
             depth += 1
         if not out:
             return (np.zeros(0, np.int32),) * 3
@@ -106,17 +140,25 @@ class Vocabulary:
         return self.byte_id[list((MARK if char == OWN_MARK else char).encode("utf-8", "replace"))]
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    """Multiplicative hashing; the factor is a fixed value (2**64 over the golden ratio)."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
 def chunks_of(text: str) -> list[str]:
-    """The chunks of a text, with one mark put before it and spaces turned into marks."""
+    """The chunks of a text, each without the mark that it starts with. One mark is put before the text, and
+    spaces are marks."""
     if not text:
         return []
-    marked = MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK)
-    return re.findall(f"{MARK}+[^{MARK}]*", marked)
+    plain = text.replace(MARK, OWN_MARK) if MARK in text else text
+    if "  " not in plain and plain[0] != " " and plain[-1] != " ":
+        return plain.split(" ")
+    return [c[1:] for c in re.findall(f"{MARK}+[^{MARK}]*", MARK + plain.replace(" ", MARK))]
 
 
 class Lattice:
@@ -158,22 +200,23 @@ class Lattice:
             top = np.maximum.reduceat(value, starts)
             sizes_here = np.diff(np.concatenate([starts, [b - a]]))
             beta[group[starts]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, sizes_here)), starts))
-        self.logp = weight + beta[self.end] - beta[self.node]
+        degree = np.diff(self.start)
+        self.logp = weight + beta[self.end] - np.repeat(beta, degree)
         upto = np.cumsum(np.exp(self.logp)) if len(node) else np.zeros(0)
-        before = np.concatenate([[0.0], upto])[self.start[self.node]] if len(node) else upto
+        before = np.repeat(np.concatenate([[0.0], upto])[self.start[:-1]], degree)
         self.mass = np.minimum(upto - before, 1.0)
+        del upto, before
         if len(node):
             self.mass[self.start[self.node + 1] - 1] = 1.0
         # ids of an edge: its piece, or the bytes of a character that no piece covers
-        spelled = [vocab.char_ids(chr(c)) for c in np.unique(points[bare]).tolist()]
+        own = np.flatnonzero(self.piece == vocab.fallback)
+        chars, which = np.unique(points[self.node[own]], return_inverse=True)
+        spelled = [vocab.char_ids(chr(c)) for c in chars.tolist()]
+        lengths = np.fromiter(map(len, spelled), np.int8, len(spelled))
         self.flat_ids = np.concatenate([np.arange(vocab.fallback), *spelled]).astype(np.int32)
-        lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
-        which = np.searchsorted(np.unique(points[bare]), points[self.node]) if len(bare) else np.zeros(len(node), np.int64)
-        own = self.piece == vocab.fallback
-        which = np.where(own, which, 0)
-        at = vocab.fallback + np.concatenate([[0], np.cumsum(lengths)])
-        self.id_at = np.where(own, at[which], self.piece)
-        self.id_count = np.where(own, lengths[which] if len(bare) else 1, 1)
+        self.id_at, self.id_count = self.piece, np.ones(len(self.piece), dtype=np.int8)
+        self.id_at[own] = (vocab.fallback + np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]))[which]
+        self.id_count[own] = lengths[which]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -224,8 +267,8 @@ def _walk(lattice: Lattice, occurrence: np.ndarray, place: np.ndarray, node: np.
 
 def _log_rest(logp: np.ndarray) -> np.ndarray:
     """log(1 - exp(logp)), -inf where nothing is left."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rest = np.where(logp > -0.693, np.log(-np.expm1(np.minimum(logp, 0))), np.log1p(-np.exp(logp)))
+    with np.errstate(divide="ignore"):
+        rest = np.log(-np.expm1(np.minimum(logp, 0)))
     return np.where(logp >= -1e-12, -np.inf, rest)
 
 
@@ -252,6 +295,19 @@ class _Path:
         self.logp = float(upto[-1]) if len(logs) else 0.0
 
 
+def _numbered(chunks: list[str], odd: bool) -> tuple[np.ndarray, list[str]]:
+    """The number of each chunk among the distinct ones, and those with their first mark. odd: some hold a lone
+    surrogate, which pandas can't hash."""
+    if odd:
+        names: dict[str, int] = {}
+        flat = np.array([names.setdefault(c, len(names)) for c in chunks], dtype=np.int64)
+        return flat, [MARK + c for c in names]
+    said = np.empty(len(chunks), dtype=object)
+    said[:] = chunks
+    flat, found = pd.factorize(said)
+    return flat, [MARK + c for c in found.tolist()]
+
+
 def sample_rows(texts: list[str], keys: np.ndarray, k: int, path: str = MODEL) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text up to k distinct segmentations (ids, log p, log inclusion score), best value first.
 
@@ -259,11 +315,10 @@ def sample_rows(texts: list[str], keys: np.ndarray, k: int, path: str = MODEL) -
     An empty text has one segmentation, without pieces.
     """
     vocab = vocabulary(path)
-    names: dict[str, int] = {}
-    rows = [[names.setdefault(c, len(names)) for c in chunks_of(t)] for t in texts]
-    lattice = Lattice(vocab, list(names))
+    rows = [chunks_of(t) for t in texts]
     counts = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.fromiter((c for r in rows for c in r), np.int64, int(counts.sum()))
+    flat, names = _numbered(list(itertools.chain.from_iterable(rows)), any(MARK in t for t in texts))
+    lattice = Lattice(vocab, names)
     doc_at = np.concatenate([[0], np.cumsum(counts)])
     nodes = lattice.first[flat] if len(flat) else flat
     keys = keys.astype(np.uint64)
@@ -349,7 +404,7 @@ def inclusion(logp: float, kappa: float) -> float:
 
 
 def _ids(lattice: Lattice, edges: np.ndarray) -> np.ndarray:
-    count = lattice.id_count[edges]
+    count = lattice.id_count[edges].astype(np.int64)
     within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     return lattice.flat_ids[np.repeat(lattice.id_at[edges], count) + within]
 
@@ -361,8 +416,10 @@ def encode(text: str, path: str = MODEL) -> list[int]:
 
 def decode(ids, path: str = MODEL) -> str:
     """The text of any segmentation; exact for every id list that sample_rows() returns."""
-    table = vocabulary(path).bytes_of
-    return b"".join([table[i] for i in np.asarray(ids).tolist()])[1:].decode("utf-8", "replace")
+    vocab, ids = vocabulary(path), np.asarray(ids, dtype=np.int64)
+    sizes = vocab.spelling_size[ids]
+    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return vocab.spelling[np.repeat(vocab.spelling_at[ids], sizes) + within][1:].tobytes().decode("utf-8", "replace")
 
 
 def _row_key(doc_id) -> int:
