@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table gives no rows; other columns are ignored.
     """
     found = cut(fingerprints(docs.select("doc_id", "text")).select("doc_id", "_fp"))
-    named = classes(found, "doc_id")
+    named = cut(classes(found, "doc_id"))  # a join of two plain exchanges, which Spark can split at a hot fingerprint
     joined = found.join(named.withColumnRenamed("_fp", "_f"), F.col("_fp") == F.col("_f"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
