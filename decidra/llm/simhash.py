@@ -32,7 +32,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, packed, unpacked, utf8
@@ -210,16 +210,23 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_link_batches, "a long, b long").distinct()
 
 
-def classes(found: DataFrame, key: str) -> DataFrame:
-    """For each distinct _fp of found: first, the smallest key (null keys last) in its component."""
-    nodes = cut(found.groupBy("_fp").agg(F.min(key).alias("own")))
-    roots = components(cut(links(nodes.select(F.col("_fp").alias("fp")))))
+def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """For each _fp of nodes: first, the smallest own key (null keys last) in its component by edges (a, b)."""
+    roots = components(edges)
     linked = roots.join(nodes, roots["node"] == nodes["_fp"]).select("node", "root", "own")
     firsts = linked.groupBy("root").agg(F.min("own").alias("first"))
     moved = linked.join(firsts, "root").select(F.col("node").alias("_node"), "first")
     return nodes.join(moved, nodes["_fp"] == moved["_node"], "left").select("_fp", F.when(F.col("_node").isNotNull(), F.col("first")).otherwise(F.col("own")).alias("first"))
 
 
+def _nodes(found: DataFrame, key: Column | str) -> DataFrame:
+    return cut(found.groupBy("_fp").agg(F.min(key).alias("own")))
+
+
+def _edges(nodes: DataFrame) -> DataFrame:
+    return cut(links(nodes.select(F.col("_fp").alias("fp"))))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of each row.
 
@@ -228,20 +235,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table gives no rows; other columns are ignored.
     """
     found = cut(fingerprints(docs.select("doc_id", "text")).select("doc_id", "_fp"))
-    named = cut(classes(found, "doc_id"))  # a join of two plain exchanges, which Spark can split at a hot fingerprint
+    nodes = _nodes(found, "doc_id")
+    named = cut(classes(nodes, _edges(nodes)))  # a join of two plain exchanges, which Spark can split at a hot fingerprint
     joined = found.join(named.withColumnRenamed("_fp", "_f"), F.col("_fp") == F.col("_f"))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component, with the columns of docs: the one with the smallest id (null ids
-    last), and among equal ids the one with the smallest hash; repeats of id and text give one row."""
-    key = [F.xxhash64("doc_id", "text").alias("_k"), F.xxhash64("text", "doc_id", F.lit("j")).alias("_j")]
-    found = cut(fingerprints(docs.select("doc_id", "text")).select("doc_id", *key, "_fp"))
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k", "_j").alias("rank")
-    firsts = cut(classes(found.select("_fp", rank), "rank").select("first").distinct().select("first._k", "first._j"))
-    kept = packed(docs, "doc_id", "text").select("_row", *key).join(firsts, ["_k", "_j"], "left_semi")
+def ranked(docs: DataFrame) -> DataFrame:
+    """docs with two hashes of id and text, which name a row whatever its id."""
+    return docs.select("*", F.xxhash64("doc_id", "text").alias("_k"), F.xxhash64("text", "doc_id", F.lit("j")).alias("_j"))
+
+
+def kept_firsts(docs: DataFrame, found: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of docs whose own key (doc_id, _k, _j) comes first in its component; repeats give one row."""
+    firsts = cut(classes(nodes, edges).select("first").distinct().select("first._k", "first._j"))
+    kept = ranked(packed(docs, "doc_id", "text")).select("_row", "_k", "_j").join(firsts, ["_k", "_j"], "left_semi")
     repeats = found.join(firsts, ["_k", "_j"], "left_semi").groupBy("_k", "_j").count().where("count > 1")
     if not repeats.isEmpty():  # a second shuffle of texts only where whole rows repeat
         kept = kept.dropDuplicates(["_k", "_j"])
     return unpacked(kept)
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each component, with the columns of docs: the one with the smallest id (null ids
+    last), and among equal ids the one with the smallest hash; repeats of id and text give one row."""
+    found = cut(fingerprints(ranked(docs.select("doc_id", "text"))).select("doc_id", "_k", "_j", "_fp"))
+    nodes = _nodes(found, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_k", "_j"))
+    return kept_firsts(docs, found, nodes, _edges(nodes))
