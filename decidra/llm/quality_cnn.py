@@ -6,8 +6,10 @@ together cover the whole document (chunks of CHUNK bytes that start every STEP b
 vector is the mean, the maximum and the standard deviation over its chunks of each pooled response,
 and the log of the number of chunks; a hidden layer combines it into one probability.
 
-Training reads at most ``max_rows`` labelled rows (those with the smallest hash of their id) and of
-each at most ``max_train_bytes``; scoring reads every byte of every document. Everything is seeded.
+Training reads at most ``max_rows`` labelled rows (those with the smallest hash of their id), each of
+them whole: the filters learn from chunks drawn over the whole text, the hidden layer from vectors of
+whole texts, as scoring makes them. Texts stay on the executors, the driver gets chunks and vectors.
+Everything is seeded.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked, utf8
+from .common import cut, packed, unpacked, utf8
 
 TAPS = 6
 FILTERS = 16
@@ -102,17 +104,18 @@ class _Adam:
             params[k] -= (self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)).astype(params[k].dtype)
 
 
-def _train_filters(bodies: list[bytes], labels: np.ndarray, rng: np.random.Generator, steps: int, chunks_per_row: int):
+def windows(body: bytes, seed: int, chunks_per_row: int) -> np.ndarray:
+    """At most chunks_per_row chunks (rows, with the bytes that the last taps read), drawn over the whole text."""
+    padded = _padded(body)
+    starts = np.arange(0, len(padded) - TAPS + 1 - CHUNK + 1, STEP)
+    if len(starts) > chunks_per_row:
+        starts = np.random.default_rng([seed, binascii.crc32(body)]).choice(starts, chunks_per_row, replace=False)
+    return padded[starts[:, None] + np.arange(CHUNK + TAPS - 1)]
+
+
+def _train_filters(drawn: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator, steps: int):
     """Filters from a linear read-out of single chunks; a chunk carries the label of its document."""
-    windows, marks = [], []
-    for body, y in zip(bodies, labels, strict=True):
-        padded = _padded(body)
-        starts = np.arange(0, len(padded) - TAPS + 1 - CHUNK + 1, STEP)
-        if len(starts) > chunks_per_row:
-            starts = rng.choice(starts, chunks_per_row, replace=False)
-        windows += [padded[s : s + CHUNK + TAPS - 1] for s in starts]
-        marks += [y] * len(starts)
-    x, y = np.stack(windows), np.array(marks, dtype=np.float64)
+    x, y = np.concatenate(drawn), np.repeat(labels, [len(w) for w in drawn])
     positive = max(1e-3, min(1 - 1e-3, y.mean()))
     weight = np.where(y > 0, 0.5 / positive, 0.5 / (1 - positive))
     p = {
@@ -144,18 +147,30 @@ def _train_filters(bodies: list[bytes], labels: np.ndarray, rng: np.random.Gener
     return p["filters"], p["bias"]
 
 
+def _constant(y: np.ndarray) -> Model | None:
+    """The constant share of label 1 (0.5 without any row) if rows of both labels are not there."""
+    if len(y) and y.min() != y.max():
+        return None
+    size = 3 * FILTERS + 1
+    share = 0.5 if len(y) == 0 else min(0.99, max(0.01, float(y.mean())))
+    flat = np.zeros((TAPS, 256, FILTERS), dtype=np.float32)
+    return Model(flat, np.zeros(FILTERS, dtype=np.float32), np.zeros(size), np.ones(size), np.zeros((size, 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share))))
+
+
 def train(bodies: list[bytes], labels: list[int], seed: int = 11, filter_steps: int = 600, chunks_per_row: int = 8, epochs: int = 150) -> Model:
     """A model from labelled texts. Without rows of both labels it returns the constant share of label 1
     (0.5 without any row)."""
-    rng = np.random.default_rng(seed)
     y = np.array(labels, dtype=np.float64)
-    size = 3 * FILTERS + 1
-    if len(y) == 0 or y.min() == y.max():
-        share = 0.5 if len(y) == 0 else min(0.99, max(0.01, float(y.mean())))
-        flat = np.zeros((TAPS, 256, FILTERS), dtype=np.float32)
-        return Model(flat, np.zeros(FILTERS, dtype=np.float32), np.zeros(size), np.ones(size), np.zeros((size, 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share))))
-    filters, bias = _train_filters(bodies, y, rng, filter_steps, chunks_per_row)
-    x = np.stack([describe(pooled(filters, bias, b)) for b in bodies])
+    if (model := _constant(y)) is not None:
+        return model
+    rng = np.random.default_rng(seed)
+    filters, bias = _train_filters([windows(b, seed, chunks_per_row) for b in bodies], y, rng, filter_steps)
+    return _combine(filters, bias, np.stack([describe(pooled(filters, bias, b)) for b in bodies]), y, rng, epochs)
+
+
+def _combine(filters: np.ndarray, bias: np.ndarray, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int) -> Model:
+    """The hidden layer over the vectors x of whole texts."""
+    size = x.shape[1]
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = (x - mean) / scale
     p = {"w1": rng.normal(0, 1 / np.sqrt(size), (size, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), "b2": np.array([np.log(y.mean() / (1 - y.mean()))])}
@@ -177,19 +192,33 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, max_train_bytes: int = 16384) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, seed: int = 11, filter_steps: int = 600, chunks_per_row: int = 8, epochs: int = 150) -> Model:
     """Fit on labelled rows outside fold 0: the max_rows with the smallest hash of their id.
 
     The sample is taken from the narrow label table, so only its documents' texts move; with
-    max_rows ids it is broadcast whatever the size of the corpus.
+    max_rows ids it is broadcast whatever the size of the corpus. Whole texts are written once to the
+    shared folder and read twice there, for the chunks of the filters and for the vectors.
     """
     usable = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id")) != 0))
     sample = usable.select(F.col("doc_id").alias("_id"), "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
-    body = F.substring(utf8(F.col("text")), 1, max_train_bytes)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", body.alias("body"))
-    # repeated ids could bring more rows than the sample has
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "body").limit(max_rows).collect()
-    return train([bytes(r["body"]) for r in found], [int(r["quality"] > 0) for r in found])
+    body = utf8(F.col("text")).alias("body")
+    rows = cut(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "quality", body))
+
+    def of_rows(made, kind: str) -> list:
+        """What made gives for each body, in the order of the sample; repeated ids could bring more rows than it has."""
+        value = F.arrow_udf(lambda bodies: made([x.as_buffer().to_pybytes() for x in bodies]), returnType=kind).asNondeterministic()(F.col("body"))
+        keyed = rows.select("doc_id", "quality", F.xxhash64("body").alias("_h"), value.alias("v"))
+        return keyed.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "_h").limit(max_rows).collect()
+
+    found = of_rows(lambda bodies: pa.array([windows(b, seed, chunks_per_row).tobytes() for b in bodies], pa.binary()), "binary")
+    y = np.array([r["quality"] > 0 for r in found], dtype=np.float64)
+    if (model := _constant(y)) is not None:
+        return model
+    rng = np.random.default_rng(seed)
+    drawn = [np.frombuffer(bytes(r["v"]), dtype=np.uint8).reshape(-1, CHUNK + TAPS - 1) for r in found]
+    filters, bias = _train_filters(drawn, y, rng, filter_steps)
+    vectors = of_rows(lambda bodies: pa.array([describe(pooled(filters, bias, b)) for b in bodies], pa.list_(pa.float64())), "array<double>")
+    return _combine(filters, bias, np.array([r["v"] for r in vectors]), y, rng, epochs)
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
