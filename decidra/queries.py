@@ -638,7 +638,7 @@ def _record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.concat(F.lit('{"type": "noul", "instructions": "good?", "label": '), F.when(F.col("quality") == 1, "true").otherwise('"no"'), F.lit("}"))
     lang = F.concat(F.lit('{"type": "choice", "instructions": "lang?", "criteria": '), options, F.lit(', "label": "'), F.col("lang"), F.lit('", "src": "own"}'))
     named = lambda n, j: F.struct(F.lit(n).alias("name"), j.alias("json"))
-    state = F.to_json(F.array(F.left("text", F.lit(60))))
+    state = F.to_json(F.array("text"))
     line = R.record_json(state, F.array(named("good", good), named("lang", lang)), F.to_json(F.struct("source")))
     return docs.select(F.lit("f").alias("file"), F.col("doc_id").alias("line"), line.alias("value"))
 
