@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from decidra.llm import sharding
 from decidra.llm.sharding import Ring, assign
 
 SCHEMA = "doc_id long, text string, shard int"
@@ -45,3 +46,51 @@ def test_growth_moves_few_rows(spark):
 
 def test_empty_table(spark):
     assert rows(spark, [], Ring(3)) == []
+
+
+def test_copies_of_one_row_are_dealt_out_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    data = [(None, "same", 0)] * 500 + [(7, None, 0)] * 60 + [(i, "x", 0) for i in range(40)]
+    for load in ("rows", "bytes"):
+        got = rows(spark, data, Ring(3, epsilon=0), load)
+        slots = defaultdict(list)
+        for r in got:
+            slots[r.shard].append(r.slot)
+        assert len(got) == 600 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+        if load == "rows":
+            assert sorted(map(len, slots.values())) == [200, 200, 200]
+        assert Counter(r.doc_id for r in got)[None] == 500
+
+
+def brute_pour(ring, loads):
+    """Round by round, each cell offers what is left to the next distinct shard clockwise."""
+    points, room, left, out = ring.points(), ring.capacities(sum(loads.values())), dict(loads), Counter()
+    orders = {}
+    for cell in loads:
+        at = next((i for i, p in enumerate(points) if p[0] >= cell), 0)
+        orders[cell] = list(dict.fromkeys(p[2] for p in points[at:] + points[:at]))
+    for step in range(ring.shards):
+        for cell in sorted(loads):
+            shard = orders[cell][step]
+            took = min(room[shard], left[cell])
+            room[shard] -= took
+            left[cell] -= took
+            out[cell, shard] += took
+    return +out
+
+
+def test_overflow_goes_on_clockwise():
+    for epsilon in (0, 0.1, 2.0):
+        ring = Ring(6, vnodes=4, cell_bits=8, epsilon=epsilon)
+        loads = {c: (c * 37 % 11) + (300 if c == 9 else 0) for c in range(256)}
+        loads = {c: n for c, n in loads.items() if n}
+        got = Counter()
+        for cell, a, b, shard in ring.pour(loads):
+            got[cell, shard] += b - a
+        assert got == brute_pour(ring, loads)
+        assert sum(got.values()) == sum(loads.values())
+
+
+def test_many_shards_pour_quickly():
+    ring = Ring(512, epsilon=0.1)
+    assert sum(b - a for _, a, b, _ in ring.pour(dict.fromkeys(range(1 << 15), 3))) == 3 << 15
