@@ -20,11 +20,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder name below the session's checkpoint folder, which all executors share.
 
-    Only a session without ``spark.checkpoint.dir`` (tests, local use) gets a folder of its own.
+    Only a local session without ``spark.checkpoint.dir`` (tests) gets a folder of its own; on a cluster a
+    session without one is an error, since executors could not see each other's files.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="decidra-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="decidra-"))
     return f"{sc.getCheckpointDir()}/{what}-{uuid.uuid4().hex[:12]}"
 
 
@@ -50,6 +54,14 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *columns)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with underscores behind it while docs has a column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def unpacked(df: DataFrame) -> DataFrame:
     return df.select("_row.*")
 

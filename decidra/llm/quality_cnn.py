@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, unpacked, utf8
+from .common import cut, free_name, packed, unpacked, utf8
 
 TAPS = 6
 FILTERS = 16
@@ -222,16 +222,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, seed: int = 11
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """docs and the probability of good quality of each whole text, in a column of that name.
+    """docs and the probability of good quality of each whole text, in a last column of that name (with
+    underscores behind it if docs has such a column, which stays).
 
-    Null texts score as empty ones. Rows stay as they are, repeated ones too, and nothing is shuffled.
+    Null texts score as empty ones; an empty table gives no rows. Rows stay as they are, repeated ones too, and nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(bodies: pa.Array) -> pa.Array:
         return pa.array([score(shared.value, x.as_buffer().to_pybytes()) for x in bodies], pa.float64())
 
-    return docs.withColumn(name, F.arrow_udf(run, returnType="double").asNondeterministic()(utf8(F.col("text"))))
+    return docs.withColumn(free_name(docs, name), F.arrow_udf(run, returnType="double").asNondeterministic()(utf8(F.col("text"))))
 
 
 def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
