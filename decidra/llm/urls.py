@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import ascii_lower
 
 FEATURES = ["length", "host_length", "path_length", "host_labels", "depth", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "hyphens", "params", "longest_label", "suffix_rate", "label_rate", "ending_rate"]
-#: Words of hosts in the default labelled set. Fixed values of this set, not of any list elsewhere.
-BLOCK_WORDS = ["spam", "farm", "cheap", "pills", "casino", "win", "adult", "x", "free", "bets", "ads", "track", "loan", "bonus", "prize", "poker", "click", "deal", "hot", "cash"]
-SYLLABLES = ["th", "er", "in", "an", "re", "ou", "ti", "st", "en", "or", "la", "mo", "ne", "ra"]
+#: Endings of hosts and files in the generated labelled set; each class draws from all of them.
+HOST_ENDINGS = [".com", ".org", ".net", ".info", ".io", ".co"]
+FILE_ENDINGS = ["", "", "", "/", ".html", ".php"]
 
 
 # --- features
@@ -167,6 +167,7 @@ class UrlModel:
 
 def fit(labelled: DataFrame, max_rows: int = 20000) -> UrlModel:
     """Fit on the max_rows labelled URLs (url, label) with the smallest hash; rows with nulls are left out.
+    Labels of one class only, or none, give a constant score.
 
     Suffix statistics for training rows come from the other half of the rows, so that a row's own
     label is never among its features.
@@ -183,20 +184,32 @@ def fit(labelled: DataFrame, max_rows: int = 20000) -> UrlModel:
     return UrlModel(SuffixStats.learn(urls, y), fit_trees(x, y))
 
 
-def default_labelled(spark: SparkSession, n: int = 4000, seed: int = 5) -> DataFrame:
-    """A seeded set of labelled URLs made by rule, for use where no labelled list is at hand: blocked
-    hosts join two BLOCK_WORDS by a hyphen, allowed ones are made of SYLLABLES; paths are alike."""
+def _name(rng: random.Random, syllables: int) -> str:
+    return "".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(syllables))
+
+
+def generated_labelled(spark: SparkSession, n: int = 6000, seed: int = 5) -> DataFrame:
+    """Seeded labelled URLs for use where no labelled list is at hand. They hold no list of words or hosts: all
+    names are random syllables, drawn alike for both classes, so every host is new. The classes differ in shape
+    only, and overlap, as published statistics of spam hosts do (more hyphens, digits, labels, depth and
+    parameters, longer names). Pass a real list (url, label) to fit() wherever there is one."""
     rng = random.Random(seed)
     rows = []
     for i in range(n):
         block = i % 4 == 0
-        name = "-".join(rng.sample(BLOCK_WORDS, 2)) if block else "".join(rng.choice(SYLLABLES) for _ in range(rng.randint(2, 4)))
-        if not block and rng.random() < 0.05:
-            name += "-" + "".join(rng.choice(SYLLABLES) for _ in range(3))
-        host = rng.choice(["", "", "www.", "m.", "blog."]) + name + rng.choice([".example.com", ".example.org", ".example.net"])
-        path = f"/{rng.choice(['en', 'de', 'fr', 'es'])}/{rng.randint(0, 999)}" + rng.choice(["", "", "/", ".html"])
-        tail = rng.choice(["", "", "#top", "?page=2&ref=x", "?utm_source=feed"])
-        rows.append((f"{rng.choice(['http', 'https'])}://{host}{path}{tail}", int(block)))
+        chance = lambda yes, no: rng.random() < (yes if block else no)  # noqa: E731, B023
+        words = [_name(rng, rng.randint(2, 4)) for _ in range(rng.choice([2, 2, 3, 4, 5]) if chance(0.75, 0.04) else 1)]
+        if chance(0.3, 0.05):
+            words[-1] += str(rng.randint(1, 9999))
+        if chance(0.15, 0.01):
+            words.append(_name(rng, 9))
+        labels = [_name(rng, rng.randint(1, 3)) for _ in range(rng.choice([1, 2, 3]) if chance(0.4, 0.1) else 0)]
+        labels = labels or rng.choice([[], [], ["www"], ["m"], ["blog"]])
+        host = ".".join([*labels, "-".join(words)]) + rng.choice(HOST_ENDINGS)
+        steps = [str(rng.randint(0, 99999)) if rng.random() < 0.4 else _name(rng, rng.randint(1, 4)) for _ in range(rng.randint(1, 6) if chance(0.5, 0.1) else rng.randint(0, 3))]
+        params = [f"{_name(rng, 1)}={rng.randint(0, 999)}" for _ in range(rng.randint(2, 7) if chance(0.4, 0.05) else rng.randint(0, 2))]
+        url = f"{rng.choice(['http', 'https'])}://{host}/" + "/".join(steps) + (rng.choice(FILE_ENDINGS) if steps else "")
+        rows.append((url + ("?" + "&".join(params) if params else ""), int(block)))
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -225,7 +238,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], model: UrlModel, thres
     """pages (page_id, url) with host, path, rule, score and verdict; no row is dropped or shuffled.
 
     A null url, or one without ://, has empty host and path, fits no rule, and is judged by the
-    trees as an empty text. The list of rules is part of the plan: meant for some hundreds at most.
+    trees as an empty text. Repeated rows are judged one by one; an empty table gives no rows; columns of
+    pages other than page_id and url are dropped. The list of rules is part of the plan: meant for some
+    hundreds at most.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
