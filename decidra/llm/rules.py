@@ -9,7 +9,14 @@ sum of its groups'. A quantile read from it is within ``(GAMMA - 1)`` of the tru
 fence = median + REACH * max(median - lower quartile, spread of the metric)
 
 The lower half sets the width because junk lies above the median; it may be up to half of a group.
-Groups with fewer than MIN_GROUP documents take their language's sketch, then that of all documents.
+The fence of a group of n documents is shrunk towards that of its language's sketch, and the latter towards
+that of all documents: (n * own + SHRINK * wider) / (n + SHRINK). So a group decides for itself in so far
+as it has rows; there is no size at which it stops to count, and no fence lies outside those it is made of.
+
+The least spread of a metric is the width where half of a group or more has the same value. Clean prose
+has no symbols and no repeated lines or windows at all, so for those three metrics that floor, REACH times the
+spread above the median, is what decides in such groups; groups whose own median is above zero (code,
+tables) move it.
 """
 
 from __future__ import annotations
@@ -26,7 +33,8 @@ from .common import cut, packed, unpacked, utf8
 GAMMA = 1.02
 LEAST = 1e-4
 REACH = 8.0
-MIN_GROUP = 100
+#: Documents of its group that weigh as much as the wider fence.
+SHRINK = 20.0
 BROADCAST_GROUPS = 100_000
 #: name, numerator, denominator, least spread
 METRICS = [
@@ -122,21 +130,22 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     each = ranked.groupBy(*keys, "metric").agg(quantile(0.5).alias("mid"), quantile(0.25).alias("low"), F.first("total").alias("total"))
     fence = F.col("mid") + REACH * F.greatest(F.col("mid") - F.col("low"), F.element_at(width, F.col("metric")))
     picked = [F.max(F.when(F.col("metric") == name, fence)).alias(name) for name, *_ in METRICS]
-    return each.groupBy(*keys).agg(F.max("total").alias("n_group"), *picked)
+    return each.groupBy(*keys).agg(F.max("total").cast("double").alias("n_group"), *picked)
 
 
-def thresholds(counts: DataFrame) -> DataFrame:
-    """lang, source and the fence of each metric, from the group or the wider sketch it falls back to."""
+def thresholds(counts: DataFrame, shrink: float = SHRINK) -> DataFrame:
+    """t_lang, t_source and the fence of each metric (t_ and its name), shrunk towards the wider sketches'."""
     sketch = cut(sketches(counts))
     own = _fences(sketch, ["lang", "source"])
     wide = _fences(sketch, ["lang"]).select(F.col("lang").alias("w_lang"), F.col("n_group").alias("w_n"), *[F.col(m[0]).alias(f"w_{m[0]}") for m in METRICS])
     whole = _fences(sketch, []).select(*[F.col(m[0]).alias(f"a_{m[0]}") for m in METRICS])
     joined = own.join(wide, F.col("lang").eqNullSafe(F.col("w_lang")), "left").crossJoin(F.broadcast(whole))  # whole: one row
 
-    def pick(name: str) -> Column:
-        return F.when(F.col("n_group") >= MIN_GROUP, F.col(name)).when(F.col("w_n") >= MIN_GROUP, F.col(f"w_{name}")).otherwise(F.col(f"a_{name}")).alias(f"t_{name}")
+    def fence(name: str) -> Column:
+        wider = (F.col("w_n") * F.col(f"w_{name}") + shrink * F.col(f"a_{name}")) / (F.col("w_n") + shrink)
+        return ((F.col("n_group") * F.col(name) + shrink * wider) / (F.col("n_group") + shrink)).alias(f"t_{name}")
 
-    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[pick(m[0]) for m in METRICS])
+    return joined.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[fence(m[0]) for m in METRICS])
 
 
 def _with_fences(counts: DataFrame, fences: DataFrame) -> DataFrame:

@@ -54,3 +54,18 @@ def test_fences_adapt_and_keep_clean(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert rules.judge(df).collect() == [] and rules.keep(df).collect() == []
+
+
+def test_small_groups_count_in_proportion(spark):
+    """The fence of a group moves from its language's to its own as it grows, without a jump."""
+    rng = random.Random(9)
+    base = [(i, "en", "big", clean_text(rng), "x") for i in range(400)]
+    fences = []
+    for n in (5, 60, 99, 101, 150, 400):
+        code = [(1000 + i, "en", "code", clean_text(rng).replace(" ", "| "), "x") for i in range(n)]
+        counts = rules.text_counts(spark.createDataFrame(base + code, SCHEMA))
+        fences.append({r.t_source: r.t_symbols for r in rules.thresholds(counts).collect()}["code"])
+    assert fences[0] < 0.1 and fences[-1] > 0.18 and fences == sorted(fences)
+    assert 0 < fences[3] - fences[2] < 0.01  # nothing happens at 100 rows
+    alone = {r.t_source: r.t_symbols for r in rules.thresholds(counts, shrink=0.0).collect()}
+    assert alone["code"] > 0.2 and alone["big"] < 0.05
