@@ -3,7 +3,9 @@
 A notice of which at most k characters differ, split into k + 1 pieces, keeps one piece unharmed
 (pigeonhole). One Aho-Corasick pass over the normalised text finds every piece of every notice; a
 hit at offset d of a notice opens the window in which that notice can lie, and only there does the
-``regex`` library match the whole notice with ``{e<=k}`` and report span and edits.
+``regex`` library match the whole notice with ``{e<=k}`` and report span and edits. In a window the best match
+comes first, then the parts before and after it are searched in the same way, so damaged copies next to better
+ones are reported too.
 
 The normalised text is the lower-cased (A-Z) words joined by one space, so line breaks and
 punctuation inside a notice cost no edits. Matching is on bytes.
@@ -21,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import free_name, utf8
 
 #: A-Z to a-z, other ASCII that is not a letter or digit to a space; bytes from 0x80 on stay.
 NORMAL = bytes(
@@ -76,6 +78,17 @@ def _search(notices: tuple[tuple[str, str], ...]):
 BASE_PATTERN = re.compile(b"(?<![^ ])(?=(" + b"|".join(p.encode() for p in BASE) + b")(?![^ ]))")
 
 
+def fuzzy_spans(fuzzy, plain: bytes, start: int, stop: int, least: int):
+    """Matches in plain[start:stop] that do not overlap, the best first, then those on either side of it."""
+    parts = [(start, stop)]
+    while parts:
+        a, b = parts.pop()
+        found = fuzzy.search(plain, a, b) if b - a >= least else None
+        if found:
+            yield found
+            parts += [(a, found.start()), (found.end(), b)]
+
+
 def word_numbers(plain: bytes, starts: list[int]) -> list[int]:
     """The number of the word in which each byte offset lies."""
     if not starts:
@@ -110,9 +123,10 @@ def scan_text(body: bytes, notices: tuple[tuple[str, str], ...] = tuple(NOTICES)
             else:
                 merged.append([a, b])
         for a, b in merged:
-            for m in fuzzy.finditer(plain, a, min(b, len(plain))):
+            for m in fuzzy_spans(fuzzy, plain, a, min(b, len(plain)), len(notice) - edits):
                 cost = sum(m.fuzzy_counts)
                 spans.append({"label": label, "start": m.start(), "end": m.end(), "edits": cost, "score": 1 - cost / len(notice)})
+    spans.sort(key=lambda s: (s["start"], s["end"], s["label"]))
     for span, first in zip(spans, word_numbers(plain, [s["start"] for s in spans]), strict=True):
         span["first_word"] = first
     exact = 1.0 if places else 0.0
@@ -128,11 +142,22 @@ def scan_text(body: bytes, notices: tuple[tuple[str, str], ...] = tuple(NOTICES)
     }
 
 
+def load_notices(table: DataFrame, most: int = 1000) -> list[tuple[str, str]]:
+    """Notices from a table (notice, label), normalised as texts are; the list is at most ``most`` long, by
+    design: it goes to every task. Rows with nulls, and notices of under 10 characters, are left out."""
+    rows = table.where("notice IS NOT NULL AND label IS NOT NULL").select("notice", "label").distinct().orderBy("notice", "label").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} notices")
+    plain = [(b" ".join(r["notice"].encode().translate(NORMAL).split()).decode("utf-8", "replace"), r["label"]) for r in rows]
+    return [x for x in plain if len(x[0]) >= CHARS_PER_EDIT]
+
+
 def scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
-    """docs with a struct column licence (RESULT) for each row.
+    """docs with a last struct column licence (RESULT) for each row; if docs has a column of that name it
+    stays, and the new one has underscores behind its name.
 
     Null and empty texts have no words, no places, empty labels and score 0. Rows stay as they are,
-    repeated ones too; nothing is shuffled. A column of that name in docs is replaced.
+    repeated ones too; nothing is shuffled. Texts are scanned whole; an empty table gives no rows.
     """
     chosen = tuple(notices)
 
@@ -144,4 +169,4 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES) -> DataFrame
         )
         return pa.array([scan_text(x.as_buffer().to_pybytes(), chosen) for x in bodies], kind)
 
-    return docs.withColumn("licence", F.arrow_udf(run, returnType=RESULT).asNondeterministic()(utf8(F.col("text"))))
+    return docs.withColumn(free_name(docs, "licence"), F.arrow_udf(run, returnType=RESULT).asNondeterministic()(utf8(F.col("text"))))
