@@ -13,7 +13,7 @@ one with the largest value is followed next, down to a complete segmentation. Th
 first are a sample of k without replacement; kappa, the largest value left on the frontier, gives each
 its inclusion score 1 - exp(-exp(log p - kappa)).
 
-All draws are hashes of (row key, sample, place, step): results do not depend on batches or tasks.
+All draws are hashes of (row key, sample, chunk, node): results do not depend on batches or tasks.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import release_memory, utf8
 
@@ -45,6 +46,8 @@ STEPS = 1 << 20
 HASH_BITS = 19
 #: Ends a chunk where chunks are joined; in no piece.
 STOP = "\0"
+#: Chunks of more characters (texts without spaces) are cut where no piece crosses; all their parts are worked on at once.
+LONG = 64
 
 
 class Vocabulary:
@@ -179,13 +182,19 @@ class Lattice:
         left = np.zeros(total, dtype=np.int64)  # characters from a node to the end of its chunk
         if total:
             left = np.repeat(self.first + sizes, sizes + 1) - np.arange(total)
+        self.last = self.first + sizes
+        self.cut = np.zeros(total, dtype=bool)
+        self.cut[self.last] = True
+        if total and sizes.max() > LONG:
+            left = self._cut_long(sizes, node, end, left)
+        self.cuts = np.flatnonzero(self.cut)
         node, end = np.concatenate([node, bare]), np.concatenate([end, bare + 1])
         piece = np.concatenate([piece, np.full(len(bare), vocab.fallback, dtype=np.int32)])
         order = np.argsort(node, kind="stable")
         self.node, self.end, self.piece = node[order], end[order], piece[order]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(node, minlength=total))])
         weight = vocab.weight[self.piece]
-        # nodes nearest to the end of their chunk first; of one distance all chunks at once
+        # nodes nearest to the next cut first; of one distance all parts of chunks at once
         distance = left[self.node]
         order = np.argsort(distance.astype(np.uint16) if total and left.max() < 1 << 16 else distance, kind="stable")
         by_node, by_end, by_weight = self.node[order], self.end[order], weight[order]
@@ -194,14 +203,14 @@ class Lattice:
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             if a == b:
                 continue
-            value = by_weight[a:b] + beta[by_end[a:b]]
+            value = by_weight[a:b] + np.where(self.cut[by_end[a:b]], 0.0, beta[by_end[a:b]])
             group = by_node[a:b]
             starts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
             top = np.maximum.reduceat(value, starts)
             sizes_here = np.diff(np.concatenate([starts, [b - a]]))
             beta[group[starts]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, sizes_here)), starts))
         degree = np.diff(self.start)
-        self.logp = weight + beta[self.end] - np.repeat(beta, degree)
+        self.logp = weight + np.where(self.cut[self.end], 0.0, beta[self.end]) - np.repeat(beta, degree)
         upto = np.cumsum(np.exp(self.logp)) if len(node) else np.zeros(0)
         before = np.repeat(np.concatenate([[0.0], upto])[self.start[:-1]], degree)
         self.mass = np.minimum(upto - before, 1.0)
@@ -219,6 +228,20 @@ class Lattice:
         self.id_count[own] = lengths[which]
 
 
+    def _cut_long(self, sizes: np.ndarray, node: np.ndarray, end: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Marks the nodes of long chunks that no piece crosses. Every segmentation passes them, so the edges on
+        either side are independent of each other. Returns the characters from each node to the next cut."""
+        total = len(self.cut)
+        crossed = np.bincount(node + 1, minlength=total + 1) - np.bincount(end, minlength=total + 1)
+        inside = np.repeat(sizes > LONG, sizes + 1)
+        self.cut |= (np.cumsum(crossed)[:total] == 0) & inside
+        cuts = np.flatnonzero(self.cut)
+        after = np.minimum(np.searchsorted(cuts, np.arange(total), side="right"), len(cuts) - 1)
+        out = np.where(inside, cuts[after] - np.arange(total), left)
+        out[self.last] = 0
+        return out
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser. Its multipliers are fixed values of that function."""
     x = x ^ (x >> np.uint64(30))
@@ -229,7 +252,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def uniform(key, sample: int, place: np.ndarray, step) -> np.ndarray:
-    """Draws in (0, 1) fixed by row key, sample, place in the row and step."""
+    """Draws in (0, 1) fixed by row key, sample, place in the row and node of the chunk (or a reserved number)."""
     at = place.astype(np.uint64) * np.uint64(STEPS) + np.asarray(step).astype(np.uint64)
     salt = np.uint64((sample + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     mixed = _mix(key + _mix(at + salt))
@@ -237,17 +260,25 @@ def uniform(key, sample: int, place: np.ndarray, step) -> np.ndarray:
 
 
 def _walk(lattice: Lattice, occurrence: np.ndarray, place: np.ndarray, node: np.ndarray, key: np.ndarray, sample: int):
-    """Random edges from each node to the end of its chunk: (occurrence, edge), in order of occurrence and step.
-
-    occurrence: numbers of the chunks in the batch, ascending; place: their numbers within the row."""
-    occurrences, edges, steps = [], [], []
-    live, at, step = np.arange(len(node)), node, 0
-    while True:
-        inner = lattice.start[at] < lattice.start[at + 1]
-        live, at = live[inner], at[inner]
-        if not len(live):
-            break
-        draw = uniform(key[live], sample, place[live], step)
+    """Random edges from each node to the end of its chunk: (occurrence, edge), in order of occurrence and node.
+
+    occurrence: numbers of the chunks in the batch, ascending; place: their numbers within the row. The parts of
+    a long chunk are walked side by side: every path passes the cuts between them."""
+    stop = lattice.last[np.searchsorted(lattice.last, node)] if len(node) else node
+    first = lattice.first[np.searchsorted(lattice.last, node)] if len(node) else node
+    if len(lattice.cuts) > len(lattice.last):
+        lo, hi = np.searchsorted(lattice.cuts, node, side="right"), np.searchsorted(lattice.cuts, stop)
+        more = np.maximum(hi - lo, 0)
+        within = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+        extra = lattice.cuts[np.repeat(lo, more) + within]
+        which = np.concatenate([np.arange(len(node)), np.repeat(np.arange(len(node)), more)])
+        occurrence, place, key, first = occurrence[which], place[which], key[which], first[which]
+        node = np.concatenate([node, extra])
+    occurrences, edges = [], []
+    live = np.flatnonzero(lattice.start[node] < lattice.start[node + 1])
+    at = node[live]
+    while len(live):
+        draw = uniform(key[live], sample, place[live], (at - first[live]) % (STEPS - 8))
         edge = lattice.start[at]
         late = np.flatnonzero(lattice.mass[edge] < draw)
         while len(late):  # the last edge of a node has mass 1
@@ -255,13 +286,14 @@ def _walk(lattice: Lattice, occurrence: np.ndarray, place: np.ndarray, node: np.
             late = late[lattice.mass[edge[late]] < draw[late]]
         occurrences.append(occurrence[live])
         edges.append(edge)
-        steps.append(np.full(len(live), step))
         at = lattice.end[edge]
-        step += 1
+        inner = ~lattice.cut[at]
+        live, at = live[inner], at[inner]
     if not edges:
         return (np.zeros(0, np.int64),) * 2
     occurrence, edge = np.concatenate(occurrences), np.concatenate(edges)
-    order = np.argsort(occurrence * step + np.concatenate(steps), kind="stable")
+    # within an occurrence edges are sorted by their node
+    order = np.argsort(occurrence * len(lattice.node) + edge, kind="stable")
     return occurrence[order], edge[order]
 
 
@@ -431,9 +463,11 @@ def sampled(docs: DataFrame, k: int = 2, path: str = MODEL) -> DataFrame:
     rows for each row of docs.
 
     Null texts count as empty: one row without ids. Rows with equal ids and texts get equal samples;
-    a null id is a key like any other. Nothing is shuffled; other columns are ignored.
+    ids are of any plain type, a null id is a key like any other. Long texts without spaces are one chunk, cut
+    where no piece crosses. Nothing is shuffled; other columns are ignored.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("log_inclusion", pa.float64()), ("decoded", pa.bool_())])
+    id_type = docs.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(id_type)), ("rank", pa.int32()), ("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("log_inclusion", pa.float64()), ("decoded", pa.bool_())])
 
     def run(batches):
         for batch in batches:
@@ -458,4 +492,4 @@ def sampled(docs: DataFrame, k: int = 2, path: str = MODEL) -> DataFrame:
             release_memory()
 
     source = docs.select("doc_id", utf8(F.col("text")).alias("body"))
-    return source.mapInArrow(run, "doc_id long, rank int, ids array<int>, log_prob double, log_inclusion double, decoded boolean")
+    return source.mapInArrow(run, f"doc_id {id_type.simpleString()}, rank int, ids array<int>, log_prob double, log_inclusion double, decoded boolean")

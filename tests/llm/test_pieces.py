@@ -56,6 +56,34 @@ def test_probabilities_and_inclusion_match_enumeration():
     assert abs(np.mean(total) - 1) < 5 * np.std(total) / math.sqrt(n) + 0.01
 
 
+def test_joint_top_two_of_several_chunks_match_enumeration():
+    """All segmentations of a text are the products of its chunks'; the second draw is without the first."""
+    truth = {}
+    for a, p in brute("▁to").items():
+        for b, q in brute("▁he").items():
+            truth[a + b] = p * q
+    assert len(truth) > 3 and math.isclose(sum(truth.values()), 1)
+    n = 6000
+    rows = pieces.sample_rows(["to he"] * n, np.arange(n, dtype=np.uint64) * 104729 + 3, 2)
+    pairs = Counter((tuple(r[0][0].tolist()), tuple(r[1][0].tolist())) for r in rows)
+    for a, p in truth.items():
+        for b, q in truth.items():
+            want = 0.0 if a == b else p * q / (1 - p)
+            assert abs(pairs[a, b] / n - want) < 4.5 * math.sqrt(want * (1 - want) / n) + 2 / n
+    for r in rows[:50]:
+        assert all(math.isclose(math.exp(logp), truth[tuple(ids.tolist())], rel_tol=1e-9) for ids, logp, _ in r)
+
+
+def test_parts_of_a_long_chunk_match_the_whole(monkeypatch):
+    text = "".join(random.Random(4).choice("etxqzj漢字é") for _ in range(400))
+    key = np.array([11], dtype=np.uint64)
+    cut = pieces.sample_rows([text], key, 3)[0]
+    monkeypatch.setattr(pieces, "LONG", 10**9)
+    whole = pieces.sample_rows([text], key, 3)[0]
+    assert [ids.tolist() for ids, _, _ in cut] == [ids.tolist() for ids, _, _ in whole]
+    assert np.allclose([x[1:] for x in cut], [x[1:] for x in whole])
+
+
 def test_all_segmentations_come_out_when_k_is_large():
     truth = brute("▁cat")
     got = pieces.sample_rows(["cat"], np.array([3], dtype=np.uint64), len(truth) + 5)[0]
@@ -82,3 +110,5 @@ def test_rows(spark):
     same = [r for r in got if r.doc_id == 3]
     assert len(same) == 4 and len({(r["rank"], tuple(r.ids)) for r in same}) == 2
     assert pieces.sampled(df.limit(0)).collect() == []
+    named = spark.createDataFrame([("x/1", "the cat"), (None, "")], "doc_id string, text string")
+    assert sorted(str(r.doc_id) for r in pieces.sampled(named, k=1).collect()) == ["None", "x/1"]
