@@ -7,8 +7,9 @@ shingles are joined with those prefix shingles; offset and length bound the plac
 that place are compared with the window's, all within the join's condition, so that the join puts out
 verified occurrences only.
 
-Benchmark tables are small next to a corpus; both tables made from them are broadcast only if they have
-at most BROADCAST_ROWS rows, and joined by a shuffle beyond that.
+Benchmark tables are small next to a corpus; tables made from them are broadcast only if they have at most
+BROADCAST_ROWS rows and BROADCAST_BYTES bytes. Beyond that places of shingles (no words) are shuffled to the
+prefix, and the words of the documents that have a candidate come to it by a second join.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from .common import ascii_lower, cut, packed, unpacked
 WINDOW = 13
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -50,8 +52,15 @@ def windows_of(benchmark: DataFrame) -> DataFrame:
     return cut_out.groupBy("win", "len").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+def _small(df: DataFrame) -> bool:
+    """Whether df may be broadcast: few rows, and few bytes as JSON (about what its arrays and strings take)."""
+    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return False
+    return (df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _small(df) else df
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -70,18 +79,34 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "s")).alias("r")
         prefix = rated.groupBy("win", "len", "items").agg(rarest).where(F.col("r.n") > 0).select("win", "len", "items", "r.off", F.col("r.s").alias("k"))
         prefix = cut(prefix)
-        each = base.select("doc_id", "tag", "w", F.posexplode(_places("w", size)).alias("pos", "p")).withColumn("s", _shingle("p", size))
         start = F.col("pos") - F.col("off")
-        fits = (start >= 0) & (start + F.col("len") <= F.size("w"))
-        same = F.slice(F.col("w"), F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win")
-        found = each.join(_sized(prefix), (F.col("s") == F.col("k")) & fits & same)
-        found = found.select("doc_id", "tag", start.alias("start"), "len", "items")
+        if _small(prefix):
+            each = base.select("doc_id", "tag", "w", F.posexplode(_places("w", size)).alias("pos", "p")).withColumn("s", _shingle("p", size))
+            fits = (start >= 0) & (start + F.col("len") <= F.size("w"))
+            same = F.slice(F.col("w"), F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win")
+            found = each.join(F.broadcast(prefix), (F.col("s") == F.col("k")) & fits & same)
+            found = found.select("doc_id", "tag", start.alias("start"), "len", "items")
+        else:
+            found = _far(base, prefix, size, start)
         out = found if out is None else out.union(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, tag long, start int, len int, items array<string>")
     return out
 
 
+def _far(base: DataFrame, prefix: DataFrame, size: int, start: Column) -> DataFrame:
+    """occurrences where the prefix is too large to broadcast: places go to the prefix without words, then
+    candidates meet the words of their document (each id and text once)."""
+    places = base.select("doc_id", "tag", F.size("w").alias("n"), F.posexplode(_places("w", size)).alias("pos", "p"))
+    thin = places.select("doc_id", "tag", "n", "pos", _shingle("p", size).alias("s")).distinct()
+    fits = (start >= 0) & (start + F.col("len") <= F.col("n"))
+    near = thin.join(prefix, (F.col("s") == F.col("k")) & fits).select(F.col("doc_id").alias("c_id"), F.col("tag").alias("c_tag"), start.alias("start"), "len", "win", "items")
+    texts = base.dropDuplicates(["doc_id", "tag"])
+    here = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("tag") == F.col("c_tag"))
+    same = F.slice(F.col("w"), F.col("start") + 1, F.col("len")) == F.col("win")
+    return texts.join(near, here & same).select("doc_id", "tag", "start", "len", "items")
+
+
 def _hits(found: DataFrame) -> DataFrame:
     """n_hit (words inside any occurrence) and items for each document that has one."""
     spans = F.sort_array(F.collect_set(F.struct("start", "len")))
