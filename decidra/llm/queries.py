@@ -37,7 +37,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = urls.fit(urls.default_labelled(spark))
+    model = urls.fit(urls.generated_labelled(spark))
     judged = urls.judge(read_table(spark, sf_dir, "pages"), URL_RULES, model)
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
@@ -49,14 +49,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_warc(warc.page_records(read_table(spark, sf_dir, "pages")), path)
-    back = warc.read_warc(spark, path)
-    return back.select(
-        warc.page_of("record_id").alias("page_id"),
-        "payload_length",
-        F.coalesce(F.sha2("payload", 256), "payload_digest").alias("payload_digest"),
+    # responses are read whole and hashed; of revisits only headers, their neighbours' payloads are passed over
+    full = warc.read_warc(spark, path).where("record_type = 'response'").select("record_id", "payload_length", F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
+    heads = warc.read_warc(spark, path, payload="false").where("record_type = 'revisit'").select(*full.columns)
+    return full.unionByName(heads).select(
+        warc.page_of("record_id").try_cast("long").alias("page_id"),
+        F.col("payload_length").alias("payload_bytes"),
+        "payload_digest",
         "record_type",
-        warc.page_of("refers_to").alias("refers_to"),
-    ).withColumnRenamed("payload_length", "payload_bytes")
+        warc.page_of("refers_to").try_cast("long").alias("refers_to"),
+    )
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +74,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "licence.*").drop("spans")
+    spans = F.transform("licence.spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"], s["edits"]))
+    digest = [F.size("licence.spans").cast("long").alias("n_spans"), F.array_join(spans, ",").alias("spans")]
+    own = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    return found.select("doc_id", *[F.col(f"licence.{c}").alias(c) for c in own], *digest)
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,6 +115,7 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN n >=
  CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM f"""
 
 _RATIO = {name: f"CASE WHEN {under} > 0 THEN {top}::DOUBLE / {under} ELSE 0 END" for name, top, under, _ in rules.METRICS}
+_S = f"{rules.SHRINK!r}::DOUBLE"
 _LINES = "list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^ \\x09-\\x0D]'))"
 RULES_SQL = f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS x, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS tri FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
@@ -122,10 +128,10 @@ m AS (SELECT lang, source, u.metric, CASE WHEN u.r <= {rules.LEAST} THEN 0 ELSE
 own AS (SELECT lang, source, metric, bin, count(*) AS n FROM m GROUP BY ALL),
 lv AS (SELECT 0 AS lvl, lang, source, metric, bin, n FROM own UNION ALL SELECT 1, lang, NULL, metric, bin, sum(n) FROM own GROUP BY lang, metric, bin UNION ALL SELECT 2, NULL, NULL, metric, bin, sum(n) FROM own GROUP BY metric, bin),
 cu AS (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lvl, lang, source, metric) AS total FROM lv),
-q AS (SELECT lvl, lang, source, metric, any_value(total) AS total, min(bin) FILTER (WHERE upto >= 0.5 * total) AS b50, min(bin) FILTER (WHERE upto >= 0.25 * total) AS b25 FROM cu GROUP BY ALL),
+q AS (SELECT lvl, lang, source, metric, any_value(total)::DOUBLE AS total, min(bin) FILTER (WHERE upto >= 0.5 * total) AS b50, min(bin) FILTER (WHERE upto >= 0.25 * total) AS b25 FROM cu GROUP BY ALL),
 v AS (SELECT *, CASE WHEN b50 = 0 THEN 0 ELSE {rules.LEAST} * {rules.GAMMA}::DOUBLE ** b50 END AS mid, CASE WHEN b25 = 0 THEN 0 ELSE {rules.LEAST} * {rules.GAMMA}::DOUBLE ** b25 END AS low FROM q),
-f AS (SELECT lvl, lang, source, metric, total, mid + {rules.REACH} * greatest(mid - low, CASE metric {" ".join(f"WHEN '{n}' THEN {s}" for n, _, _, s in rules.METRICS)} END) AS fence FROM v),
-t AS (SELECT a.lang, a.source, a.metric, CASE WHEN a.total >= {rules.MIN_GROUP} THEN a.fence WHEN b.total >= {rules.MIN_GROUP} THEN b.fence ELSE e.fence END AS fence
+f AS (SELECT lvl, lang, source, metric, total, (mid + {rules.REACH} * greatest(mid - low, CASE metric {" ".join(f"WHEN '{n}' THEN {s}" for n, _, _, s in rules.METRICS)} END))::DOUBLE AS fence FROM v),
+t AS (SELECT a.lang, a.source, a.metric, (a.total * a.fence + {_S} * ((b.total * b.fence + {_S} * e.fence) / (b.total + {_S}))) / (a.total + {_S}) AS fence
  FROM f a JOIN f b ON b.lvl = 1 AND b.metric = a.metric AND b.lang IS NOT DISTINCT FROM a.lang JOIN f e ON e.lvl = 2 AND e.metric = a.metric WHERE a.lvl = 0),
 pv AS (SELECT lang, source, {", ".join(f"max(fence) FILTER (WHERE metric = '{n}') AS t_{n}" for n in _RATIO)} FROM t GROUP BY lang, source),
 j AS (SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {" AND ".join(f"{r} <= t_{n}" for n, r in _RATIO.items())} AS fine

@@ -1,12 +1,16 @@
 """WARC archives as a PySpark Python data source (format ``decidra_warc``).
 
 Writing: every task writes its own files, a gzip member for each record, and rolls over at
-``roll_bytes``; the commit lists the files of successful tasks in ``_MANIFEST.json``, so files left
-by lost or repeated tasks are never read. Reading: the planner packs files into partitions of about
+``roll_bytes``; each commit lists the files of its successful tasks in a ``_MANIFEST-*.json`` of its own, so
+files left by lost or repeated tasks are never read, and writers that append at once lose nothing. Reading: the planner packs files into partitions of about
 ``partition_bytes``; predicates on record_type, record_id, target_uri, payload_digest and refers_to
 are pushed down; a task parses a record's headers first and, if they fail, goes on to the next
 record by the member's length (gzip extra field ``sl``) or by Content-Length, without reading or
 decoding the payload. Files are opened by pyarrow's filesystems, so any URI that those know works.
+
+A file is read by one task: a payload may itself hold bytes that look like the start of a record or member,
+so a place in the middle of a file can't be told for sure. Write files of about ``roll_bytes``. Damaged
+archives (a member or record that ends too early, a line that is no header) raise an error, naming the place.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from .common import cut, utf8
 
-MANIFEST = "_MANIFEST.json"
+MANIFEST = "_MANIFEST-"
 SCHEMA = "record_id string, record_type string, target_uri string, payload_digest string, payload_length long, refers_to string, headers map<string, string>, payload binary"
 #: Column and the header that holds it.
 FIELDS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
@@ -68,80 +72,149 @@ def gzip_member(data: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
-def parse_headers(head: bytes) -> dict[str, str]:
+class Headers(dict):
+    """Header values by name as written; names are looked up whatever their case."""
+
+    def get(self, name, default=None):
+        if name in self:
+            return self[name]
+        low = name.lower()
+        return next((v for k, v in self.items() if k.lower() == low), default)
+
+
+def parse_headers(head: bytes) -> Headers:
+    """Values of a repeated name are joined by ", "; a line that begins with white space goes on with the last value."""
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    return dict(tuple(map(str.strip, x.split(":", 1))) for x in lines[1:] if ":" in x)
-
-
-def _member(file, start: int, size: int, wanted, with_payload: bool):
-    """The record of the gzip member at start, or None if its headers aren't wanted, and the place of the next."""
-    step = 8192
-    file.seek(start)
-    raw = file.read(min(step, size - start))
-    known = struct.unpack_from("<I", raw, 16)[0] if len(raw) >= 24 and raw[3] == 4 and raw[12:14] == b"sl" else None
-    unpack = zlib.decompressobj(31)
-    data = bytearray(unpack.decompress(raw))
-    while b"\r\n\r\n" not in data and not unpack.eof:
-        raw = file.read(step)
-        data += unpack.decompress(raw)
-    end = data.find(b"\r\n\r\n")
-    headers = parse_headers(bytes(data[:end]))
-    take = wanted(headers)
-    if not (take and with_payload):
-        if known:
-            return (headers, None) if take else None, start + known
-        del data[end:]
-    while not unpack.eof:
-        raw = file.read(step * 16)
+    out, names, last = Headers(), {}, None
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            name, value = (x.strip() for x in line.split(":", 1))
+            last = names.setdefault(name.lower(), name)
+            out[last] = f"{out[last]}, {value}" if last in out else value
+    return out
+
+
+class _Bytes:
+    """The bytes of a file from a place on, through all gzip members if it is compressed."""
+
+    STEP = 1 << 17
+
+    def __init__(self, file, size: int, packed: bool) -> None:
+        self.file, self.size, self.packed = file, size, packed
+        self.go(0)
+
+    def go(self, at: int) -> None:
+        """Start at a byte of the file; in a compressed one, the first of a member."""
+        self.file.seek(at)
+        self.member, self.held, self.raw = at, bytearray(), b""
+        self.unpack = zlib.decompressobj(31) if self.packed else None
+        self.known, self.fed = None, False
+        self.step = 8192  # a header's worth; more once a payload is read
+
+    def _more(self) -> bool:
+        raw = self.raw or self.file.read(self.step)
+        self.raw = b""
+        if not self.packed:
+            self.held += raw
+            return bool(raw)
         if not raw:
-            raise ValueError(f"the record at {start} is cut off")
-        more = unpack.decompress(raw)
-        if take and with_payload:
-            data += more
-    after = file.tell() - len(unpack.unused_data)
-    length = int(headers.get("Content-Length", 0))
-    return (headers, bytes(data[end + 4 : end + 4 + length]) if with_payload else None) if take else None, after
-
-
-def _plain(file, start: int, size: int, wanted, with_payload: bool):
-    """The same for a record that isn't compressed."""
-    file.seek(start)
-    data = b""
-    while b"\r\n\r\n" not in data:
-        more = file.read(8192)
-        if not more:
-            raise ValueError(f"the record at {start} is cut off")
-        data += more
-    end = data.find(b"\r\n\r\n") + 4
-    headers = parse_headers(data[: end - 4])
-    length = int(headers.get("Content-Length", 0))
-    take, block = wanted(headers), None
-    if take and with_payload:
-        file.seek(start + end)
-        block = file.read(length)
-    return (headers, block) if take else None, start + end + length + 4
+            if self.fed and not self.unpack.eof:
+                raise ValueError(f"the gzip member at {self.member} is cut off")
+            return False
+        if self.unpack.eof:
+            self.unpack = zlib.decompressobj(31)
+        elif self.known is None and self.file.tell() - len(raw) == self.member:
+            self.known = struct.unpack_from("<II", raw, 16) if len(raw) >= 24 and raw[3] == 4 and raw[12:14] == b"sl" else (0, 0)
+        self.fed = True
+        try:
+            self.held += self.unpack.decompress(raw)
+        except zlib.error as e:
+            raise ValueError(f"the gzip member at or after {self.member} is damaged: {e}") from e
+        if self.unpack.eof:
+            self.raw = self.unpack.unused_data
+        return True
+
+    def until(self, mark: bytes) -> bytes | None:
+        """The bytes before the next mark, which is passed; None at the end of the file."""
+        seen = 0
+        while (at := self.held.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.held)
+            if not self._more():
+                if self.held.strip():
+                    raise ValueError(f"the record at {self.member} is cut off")
+                return None
+        out = bytes(self.held[:at])
+        del self.held[: at + len(mark)]
+        return out
+
+    def take(self, n: int, keep: bool) -> bytes | None:
+        """The next n bytes, or None if they needn't be kept."""
+        self.step = self.STEP
+        out = bytearray()
+        while n > 0:
+            if not self.packed and not keep and n > len(self.held):
+                n -= len(self.held)
+                self.held.clear()
+                if self.file.tell() + n > self.size:
+                    raise ValueError(f"a record ends behind the file, at {self.file.tell() + n}")
+                self.file.seek(n, 1)
+                break
+            if not self.held and not self._more():
+                raise ValueError(f"the record at {self.member} is cut off")
+            part = self.held[:n]
+            del self.held[:n]
+            n -= len(part)
+            if keep:
+                out += part
+        self.step = 8192
+        return bytes(out) if keep else None
 
 
 def read_file(fs: pafs.FileSystem, path: str, wanted=lambda headers: True, with_payload: bool = True) -> Iterator[tuple[dict, bytes | None]]:
-    """(headers, block) of the wanted records of one file; block is None if payloads aren't wanted."""
+    """(headers, block) of the wanted records of one file; block is None if payloads aren't wanted.
+
+    A member may hold several records. If its extra field shows that one record fills it, an unwanted payload is
+    passed by seeking, else by reading on. A file that ends within a record or a member is an error."""
     with fs.open_input_file(path) as file:
-        size, at = file.size(), 0
-        one = _plain
-        if size:
-            one = _member if file.read(2) == b"\x1f\x8b" else _plain
-        while at < size:
-            found, at = one(file, at, size, wanted, with_payload)
-            if found:
-                yield found
+        size = file.size()
+        source = _Bytes(file, size, file.read(2) == b"\x1f\x8b")
+        fresh = True  # at the first byte of a member
+        while True:
+            head = source.until(b"\r\n\r\n")
+            if head is None:
+                return
+            headers = parse_headers(head.lstrip(b"\r\n"))
+            length = int(headers.get("Content-Length", 0))
+            take = wanted(headers)
+            keep = take and with_payload
+            packed, unpacked = source.known or (0, 0)
+            whole = packed and unpacked == (len(head) + 4 + length + 4) & 0xFFFFFFFF
+            if fresh and whole and not keep:
+                if take:
+                    yield headers, None
+                if source.member + packed > size:
+                    raise ValueError(f"the gzip member at {source.member} is cut off")
+                source.go(source.member + packed)
+                continue
+            block = source.take(length, keep)
+            if take:
+                yield headers, block
+            source.take(4, False)
+            fresh = bool(fresh and whole)
+            if fresh:
+                source.go(source.member + packed)
 
 
 def payload_of(headers: dict[str, str], block: bytes | None) -> bytes | None:
     if block is None or headers.get("WARC-Type") == "revisit":
         return None
-    if headers.get("Content-Type", "").startswith("application/http"):
-        return block[block.find(b"\r\n\r\n") + 4 :]
+    if headers.get("Content-Type", "").lower().startswith("application/http"):
+        end = block.find(b"\r\n\r\n")
+        return block[end + 4 :] if end >= 0 else b""
     return block
 
 
@@ -185,12 +258,16 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages):
+        """Every commit adds a manifest of its own, which appears whole by a rename; overwriting drops older ones after that."""
         fs, folder = open_fs(self.path)
         fs.create_dir(folder, recursive=True)
-        old = [] if self.overwrite else _manifest(fs, folder) or []
-        files = old + [f for m in messages if m is not None for f in m.files]
-        with fs.open_output_stream(f"{folder}/{MANIFEST}") as out:
-            out.write(json.dumps(files).encode())
+        old = _manifests(fs, folder) if self.overwrite else []
+        name = f"{MANIFEST}{uuid.uuid4().hex}"
+        with fs.open_output_stream(f"{folder}/.{name}.new", compression=None) as out:
+            out.write(json.dumps([f for m in messages if m is not None for f in m.files]).encode())
+        fs.move(f"{folder}/.{name}.new", f"{folder}/{name}.json")
+        for path in old:
+            fs.delete_file(path)
 
     def abort(self, messages):
         fs, folder = open_fs(self.path)
@@ -199,11 +276,19 @@ class WarcWriter(DataSourceArrowWriter):
                 fs.delete_file(f"{folder}/{f}")
 
 
+def _manifests(fs, folder: str) -> list[str]:
+    found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    return sorted(x.path for x in found if x.is_file and re.fullmatch(rf"{MANIFEST}\w+\.json", x.base_name))
+
+
 def _manifest(fs, folder: str) -> list[str] | None:
-    if fs.get_file_info(f"{folder}/{MANIFEST}").type == pafs.FileType.NotFound:
-        return None
-    with fs.open_input_stream(f"{folder}/{MANIFEST}") as f:
-        return json.loads(f.read())
+    """The files of all commits; None for a folder that this source has not written."""
+    paths = _manifests(fs, folder)
+    names = []
+    for path in paths:
+        with fs.open_input_stream(path, compression=None) as f:
+            names += json.loads(f.read())
+    return names if paths else None
 
 
 class WarcReader(DataSourceReader):
@@ -293,6 +378,8 @@ def page_records(pages: DataFrame) -> DataFrame:
     id itself (repeated rows). Null html is an empty payload. Null ids are never referred to unless
     all ids of the payload are null; then all its rows are responses. Only digests that occur more
     than once meet the pages again, by broadcast if at most BROADCAST_DIGESTS, else by a shuffle.
+    A record's id is its page id and the start of its digest: rows that share one are the same page with the
+    same payload. Ids are of any plain type. An empty table gives no records; other columns are ignored.
     """
     body = pages.select(F.col("page_id"), F.col("url"), utf8(F.col("html")).alias("payload"))
     body = body.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
@@ -302,7 +389,8 @@ def page_records(pages: DataFrame) -> DataFrame:
     small = firsts.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
     joined = body.join(F.broadcast(firsts) if small else firsts, "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
+    spelled = lambda c: F.coalesce(F.url_encode(F.col(c).cast("string")), F.lit(""))
+    name = lambda c: F.concat(F.lit("<urn:page:"), spelled(c), F.lit("/"), F.substring("digest", 1, 16), F.lit(">"))
     return joined.select(
         name("page_id").alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
@@ -327,4 +415,5 @@ def read_warc(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 
 def page_of(name: str):
-    return F.regexp_extract(name, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    """The page id in a record id, as a string; null if there is none."""
+    return F.nullif(F.url_decode(F.regexp_extract(name, r"^<urn:page:([^/>]*)(?:/\w*)?>$", 1)), F.lit(""))
