@@ -113,9 +113,8 @@ def max_sim(option_tokens: Column, state_tokens: Column) -> Column:
 def bin_of(value: Column, edges: list[float]) -> Column:
     """Number of the bin (lo, hi] between edges that holds the value; 0 also holds the lowest edge.
 
-    A sum of comparisons with literal edges: no join, and no arithmetic that could miss an edge.
+    Comparisons with literal edges: no join, and no arithmetic that could miss an edge. The value stands in the
+    plan once, so what it is computed from is not written out for each edge.
     """
-    out = F.lit(0)
-    for edge in edges[1:-1]:
-        out = out + (value > edge).cast("int")
-    return out
+    inner = F.array(*[F.lit(e) for e in edges[1:-1]])
+    return let(value, lambda v: F.size(F.filter(inner, lambda e: v > e)))

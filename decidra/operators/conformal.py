@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from decidra.functions import arrays as A
 
 ACT_GRID = [round(0.5 + 0.01 * i, 2) for i in range(50)]
-SCORE_BUCKETS = 4096
+#: Buckets of scores double in width so many times as often as scores do: fine near 0, where confident scores crowd.
+PER_OCTAVE, LEAST_SCORE = 256, 2.0**-40
 
 
 def log_factorials(spark, most: int) -> DataFrame:
@@ -37,11 +38,16 @@ def log_gamma(x: Column) -> Column:
 
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) for X ~ Binomial(n, p), summed in log space."""
+    """P(X <= k) for X ~ Binomial(n, p), summed in log space over the places within 12 standard deviations (and 60)
+    of the mean, or of k where that is smaller. What lies outside is below 1e-30, absolutely or next to the sum; the number of terms
+    grows with the root of n only."""
     log_p, log_q = math.log(p), math.log1p(-p)
     lg = lambda c: log_gamma(c.cast("double") + 1)
     term = lambda i: F.exp(lg(n) - lg(i) - lg(n - i) + i * log_p + (n - i) * log_q)
-    summed = F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long")), F.lit(0.0), lambda a, i: a + term(i))
+    mean, reach = n * p, F.ceil(12 * F.sqrt(n * (p * (1 - p)))) + 60
+    first = F.greatest(F.lit(0).cast("long"), F.floor(F.least(k.cast("double"), mean) - reach).cast("long"))
+    last = F.least(k.cast("long"), F.ceil(mean + reach).cast("long"))
+    summed = F.when(last < first, F.lit(1.0)).otherwise(F.aggregate(F.sequence(first, F.greatest(first, last)), F.lit(0.0), lambda a, i: a + term(i)))
     return F.when(k >= n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), summed))
 
 
@@ -55,9 +61,10 @@ def _usable(scored: DataFrame) -> DataFrame:
 def set_thresholds(scored: DataFrame, alpha: float) -> DataFrame:
     """qtype, count, set_threshold: the score 1 - p(label) of rank min(n, ceil((n + 1)(1 - alpha))).
 
-    The rank is located in a histogram of the scores first, and only that bucket's rows are ranked.
+    The rank is located in a histogram of the scores first; of that bucket equal scores are counted map-side, and
+    only its distinct scores are ranked.
     """
-    items = _usable(scored).withColumn("b", F.least(F.floor(F.col("s") * SCORE_BUCKETS), F.lit(SCORE_BUCKETS - 1)))
+    items = _usable(scored).withColumn("b", F.floor(F.log2(F.greatest(F.col("s"), F.lit(LEAST_SCORE))) * PER_OCTAVE))
     sizes = items.groupBy("qtype", "b").agg(F.count("*").alias("n"))
     group = Window.partitionBy("qtype")
     upto = F.sum("n").over(group.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
@@ -67,19 +74,19 @@ def set_thresholds(scored: DataFrame, alpha: float) -> DataFrame:
     wanted = ranked.withColumn("rank", rank).where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("upto")))
     wanted = wanted.select(F.col("qtype").alias("q2"), "b2", (F.col("rank") - F.col("before")).alias("k"), F.col("total").alias("count"))
     bucket = items.join(F.broadcast(wanted), (F.col("qtype") == F.col("q2")) & (F.col("b") == F.col("b2")))  # a row a type
-    at = F.row_number().over(Window.partitionBy("qtype").orderBy("s", "item_id"))
-    return bucket.withColumn("at", at).where("at = k").select("qtype", "count", F.col("s").alias("set_threshold"))
+    equal = bucket.groupBy("qtype", "s", "k", F.col("count").alias("n_all")).agg(F.count("*").alias("n"))
+    at = F.sum("n").over(Window.partitionBy("qtype").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = equal.withColumn("at", at).where("at >= k AND at - n < k")
+    return ranked.select("qtype", F.col("n_all").alias("count"), F.col("s").alias("set_threshold"))
 
 
 def act_counts(scored: DataFrame) -> DataFrame:
     """qtype, threshold, acted, wrong at every grid point, cumulated from one histogram over the grid."""
     items = _usable(scored)
-    bin_ = F.lit(-1)
-    for t in ACT_GRID:
-        bin_ = bin_ + (F.col("p_max") >= t).cast("int")
+    grid = F.array(*[F.lit(t) for t in ACT_GRID])
+    bin_ = A.let(F.col("p_max"), lambda p: F.size(F.filter(grid, lambda t: p >= t))) - 1
     counts = items.groupBy("qtype", bin_.alias("bin")).agg(F.count("*").alias("m"), F.sum("wrong").alias("w"))
     each = counts.where("bin >= 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("bin"))))
-    grid = F.array(*[F.lit(t) for t in ACT_GRID])
     return each.groupBy("qtype", F.get(grid, F.col("at")).alias("threshold")).agg(F.sum("m").alias("acted"), F.sum("w").alias("wrong"))
 
 

@@ -14,7 +14,6 @@ from decidra.functions import arrays as A
 
 ECE_BINS, TABLE_BINS = 15, 10
 CONFIDENT = 0.9
-RANK_BUCKETS = 1024
 
 
 def edges(bins: int) -> list[float]:
@@ -76,20 +75,23 @@ def summary(scored: DataFrame) -> DataFrame:
 def auc(items: DataFrame) -> DataFrame:
     """evidence_auc by level: rank statistic of evidence for answerable items, ties by item_id.
 
-    Ranks come from windows over buckets of the evidence plus the counts of lower buckets, so that no
-    task sorts a whole level. Levels where all are answerable have no row.
+    Rows are dealt out by ranges of (level, key, evidence, item_id), so a level whose evidence crowds at one value is
+    spread like any other. Within a range rows are counted off in order; sums by range and level are added up
+    behind the counts of lower ranges. Levels where all are answerable have no row.
     """
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = items.select("item_id", "evidence", F.col("answerable").cast("int").alias("pos"), levels().alias("l"))
-    each = each.select("item_id", "evidence", "pos", "l.level", "l.key").withColumn("bucket", F.floor(F.col("evidence") * RANK_BUCKETS))
-    group = Window.partitionBy("level", "key")
-    sizes = each.groupBy("level", "key", "bucket").agg(F.count("*").alias("size"))
-    below = F.coalesce(F.sum("size").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("level", "key", "bucket", below.alias("below"))
-    inner = F.row_number().over(Window.partitionBy("level", "key", "bucket").orderBy("evidence", "item_id"))
-    sums = each.withColumn("r", inner).groupBy("level", "key", "bucket").agg(F.sum(F.col("r") * F.col("pos")).alias("r"), F.sum("pos").alias("pos"), F.count("*").alias("n"))
-    whole = sums.join(offsets, ["level", "key", "bucket"]).groupBy("level", "key").agg(
-        F.sum(F.col("r") + F.col("below") * F.col("pos")).alias("ranks"), F.sum("pos").cast("double").alias("pos"), F.sum("n").alias("n")
+    order = ["level", "key", "evidence", "item_id"]
+    dealt = each.select("item_id", "evidence", "pos", "l.level", "l.key").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the place within its range
+    exact = lambda c: c.cast("decimal(38,0)")
+    counted = dealt.select("level", "key", "pos", F.spark_partition_id().alias("part"), at.alias("at"))
+    sums = counted.groupBy("level", "key", "part").agg(
+        F.sum(exact(F.col("at") * F.col("pos"))).alias("r"), F.min("at").alias("first"), F.sum("pos").alias("pos"), F.count("*").alias("n")
     )
+    lower = F.coalesce(F.sum("n").over(Window.partitionBy("level", "key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sums.withColumn("ranks", F.col("r") + exact((lower - F.col("first") + 1) * F.col("pos")))  # a row a range and level
+    whole = ranked.groupBy("level", "key").agg(F.sum("ranks").cast("double").alias("ranks"), F.sum("pos").cast("double").alias("pos"), F.sum("n").alias("n"))
     neg = F.col("n") - F.col("pos")
     value = F.when((F.col("pos") == 0), F.lit(float("nan"))).otherwise((F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg))
     return whole.where(neg > 0).select("level", "key", value.alias("evidence_auc"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decidra.functions import arrays as A
+from decidra.schema import LIMITS, check_limits
 
 COSINE_SCALE = 20.0
 
@@ -81,6 +82,23 @@ def score(df: DataFrame, scorer: Scorer, temperature: float = 1.0, name: str = "
     return df.withColumn("_logits", scorer.logits()).withColumn(name, A.softmax(F.transform("_logits", lambda z: z / temperature))).drop("_logits")
 
 
+#: Built-in scorers by name; a model's own is added with register().
+REGISTRY: dict[str, Callable[..., Scorer]] = {"cosine": CosineScorer, "max_sim": MaxSimScorer, "linear": LinearScorer, "function": FunctionScorer}
+
+
+def register(name: str, make: Callable[..., Scorer]) -> None:
+    REGISTRY[name] = make
+
+
+def load_scorer(spec: str, **inputs) -> Scorer:
+    """The scorer of a spec ``name`` or ``name:argument=value,...``; inputs are what else its constructor takes."""
+    name, _, rest = spec.partition(":")
+    if name not in REGISTRY:
+        raise KeyError(f"no scorer {name!r}; there are {sorted(REGISTRY)}")
+    given = dict(x.split("=", 1) for x in rest.split(",") if x)
+    return REGISTRY[name](**given, **inputs)
+
+
 def evidence_head(vector: Column, weights: list[float], bias: float) -> Column:
     """sigmoid(w . layer_norm(vector) + b)"""
     n = float(len(weights))
@@ -101,8 +119,11 @@ def encode_distinct(df: DataFrame, text: str, encode: Callable[[DataFrame], Data
 
 
 def ask(states: DataFrame, questions: DataFrame) -> DataFrame:
-    """Every state with every question. questions is a driver-side table of at most 255 rows, so it is broadcast."""
-    return states.crossJoin(F.broadcast(questions))
+    """Every state with every question. A question set has at most 255 rows, which is checked: they are read to the
+    driver once, made a local table and broadcast. More are an error."""
+    rows = questions.limit(LIMITS["questions"] + 1).collect()
+    check_limits(questions=len(rows))
+    return states.crossJoin(F.broadcast(states.sparkSession.createDataFrame(rows, questions.schema)))
 
 
 def agreement(ours: DataFrame, theirs: DataFrame, keys: list[str], tolerance: float) -> DataFrame:

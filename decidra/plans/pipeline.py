@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
-import shutil
+import posixpath
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from decidra.sources import files
+
+CONFIG = "_CONFIG"
+
 
 @dataclass(frozen=True)
 class Stage:
@@ -20,6 +23,9 @@ class Stage:
     make: Callable[[SparkSession, dict[str, DataFrame]], DataFrame]
     config: dict[str, Any] = field(default_factory=dict)
 
+    def identity(self) -> str:
+        return json.dumps(self.config, sort_keys=True)
+
 
 def flags(options: dict[str, Any]) -> list[str]:
     """Options as command-line flags: true is bare, false and null are left out, lists repeat the values."""
@@ -42,21 +48,29 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def done(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/_SUCCESS")
-        return marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(marker)
+    def done(self, stage: Stage) -> bool:
+        """Whether the stage's table is complete and was made with this config."""
+        at = self.path(stage.name)
+        return files.exists(self.spark, f"{at}/_SUCCESS") and files.read_text(self.spark, f"{at}/{CONFIG}") == stage.identity()
+
+    def put(self, stage: Stage, df: DataFrame) -> None:
+        """The config is written last: a table without it counts as not made."""
+        at = self.path(stage.name)
+        df.write.mode("overwrite").parquet(at)
+        files.write_text(self.spark, f"{at}/{CONFIG}", stage.identity())
 
 
 def run(spark: SparkSession, stages: list[Stage], root: str, again: bool = False) -> dict[str, DataFrame]:
-    """Run the stages in order; a stage whose success marker is there is read instead, unless again is set."""
+    """Run the stages in order; a stage that is done with the same config is read instead, unless again is set or a
+    stage before it was made anew."""
     names = [s.name for s in stages]
     if len(set(names)) < len(names):
         raise ValueError("two stages have the same name")
     tables, at = Tables(spark, root), {}
     for stage in stages:
-        if again or not tables.done(stage.name):
-            stage.make(spark, dict(at)).write.mode("overwrite").parquet(tables.path(stage.name))
+        if again or not tables.done(stage):
+            tables.put(stage, stage.make(spark, dict(at)))
+            again = True
         at[stage.name] = spark.read.parquet(tables.path(stage.name))
     return at
 
@@ -66,26 +80,43 @@ def manifest(spark: SparkSession, stages: list[Stage], root: str) -> DataFrame:
     tables = Tables(spark, root)
     rows = []
     for i, s in enumerate(stages):
-        done = tables.done(s.name)
-        rows.append((s.name, i, done, spark.read.parquet(tables.path(s.name)).count() if done else None, json.dumps(s.config, sort_keys=True)))
+        done = tables.done(s)
+        rows.append((s.name, i, done, spark.read.parquet(tables.path(s.name)).count() if done else None, s.identity()))
     return spark.createDataFrame(rows, "stage string, place int, done boolean, rows long, config string")
 
 
-def release(folder: str, tables: dict[str, DataFrame], card: str, metadata: dict[str, Any]) -> list[str]:
-    """A release folder: each table split by config and split, a card and a metadata file. The folder appears
-    whole or not at all."""
-    staging = Path(f"{folder}.staging")
-    shutil.rmtree(staging, ignore_errors=True)
-    staging.mkdir(parents=True)
+def release(spark: SparkSession, folder: str, tables: dict[str, DataFrame], card: str, metadata: dict[str, Any]) -> list[str]:
+    """A release folder: each table split by config and split, a card and a metadata file. All is written beside its
+    place, on any filesystem that Spark knows, and the folder appears whole by a rename."""
+    staging = f"{folder.rstrip('/')}.staging"
+    files.drop(spark, staging)
     for name, df in tables.items():
         parts = [c for c in ("config", "split") if c in df.columns]
         writer = df.write.partitionBy(*parts) if parts else df.write
-        writer.parquet(str(staging / name))
-    (staging / "README.md").write_text(card)
-    (staging / "metadata.json").write_text(json.dumps(metadata, indent=2, sort_keys=True))
-    shutil.rmtree(folder, ignore_errors=True)
-    staging.rename(folder)
-    return sorted(p.name for p in Path(folder).iterdir())
+        writer.parquet(f"{staging}/{name}")
+    files.write_text(spark, f"{staging}/README.md", card)
+    files.write_text(spark, f"{staging}/metadata.json", json.dumps(metadata, indent=2, sort_keys=True))
+    files.move(spark, staging, folder)
+    return sorted(posixpath.basename(p) for p in files.listed(spark, folder) if not p.endswith(".crc"))
+
+
+class NoRoom(OSError):
+    """The filesystem has not enough room for a checkpoint."""
+
+
+def save_checkpoint(df: DataFrame, path: str, room: float = 1.2, least: float = 0.5) -> None:
+    """df at path, in place of an older checkpoint there: written beside it and renamed. It is refused if less room is
+    free than room times the older one's size, or if it comes out smaller than least times that size."""
+    spark, part = df.sparkSession, f"{path.rstrip('/')}.part"
+    before = files.size(spark, path)
+    if files.free(spark, path) < room * before:
+        raise NoRoom(f"{path}: less than {room} times the last checkpoint's size is free")
+    files.drop(spark, part)
+    df.write.parquet(part)
+    if files.size(spark, part) < least * before:
+        files.drop(spark, part)
+        raise ValueError(f"{path}: the new checkpoint has less than {least} times the size of the last one")
+    files.move(spark, part, path)
 
 
 def cell(value: float | None, digits: int = 3) -> str:

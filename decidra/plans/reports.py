@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from decidra.operators import metrics
 from decidra.plans.pipeline import cell, markdown
+from decidra.sources import files
 from decidra.sources.records import write_scored
 
 COLUMNS = ["level", "key", "count", "accuracy", "brier", "nll", "ece", "mean_confidence"]
@@ -82,6 +83,27 @@ def temperature_of(config: str | None) -> float:
     return float((json.loads(config) if config else {}).get("temperature") or 1.0)
 
 
+TIERS = {"decoder_config.json": "decoder", "encoder_config.json": "encoder", "seq2seq_config.json": "seq2seq"}
+
+
+def tier_of(spark: SparkSession, folder: str, tiers: dict[str, str] = TIERS) -> str | None:
+    """What kind of model a folder holds, by the config file that is there; null if none is."""
+    return next((tier for name, tier in tiers.items() if files.exists(spark, f"{folder.rstrip('/')}/{name}")), None)
+
+
+def abstention_cell(thresholds: dict[str, dict[str, Any]] | None, qtype: str) -> str:
+    """Act rate and the error among what is acted on, a dash where nothing is fitted or nothing acts."""
+    found = (thresholds or {}).get(qtype) or {}
+    rate, error = found.get("act_rate"), found.get("act_error")
+    return "-" if not rate else f"{100 * rate:.0f}% at {'-' if error is None or error != error else f'{100 * error:.1f}%'}"
+
+
+def latency_cell(latencies: dict[int, float] | None, questions: list[int]) -> str:
+    """Mean milliseconds for each number of questions, a dash where it was not measured."""
+    shown = [cell((latencies or {}).get(n), 1) for n in questions]
+    return "-" if set(shown) <= {"-"} else " / ".join(shown) + " ms"
+
+
 def run_summary(temperature: float, reports: dict[str, dict[str, Any]], types: list[str]) -> dict[str, Any]:
     """What a whole run came to: counts and accuracy of each evaluation, and the types that may act."""
     return {"temperature": temperature, "evaluations": {k: {m: v["overall"].get(m) for m in ("count", "accuracy", "ece")} for k, v in reports.items()}, "conformal_types": sorted(types)}

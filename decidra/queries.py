@@ -242,12 +242,12 @@ def conformal_evaluation(spark, sf_dir):
     return out.select("qtype", "count", *[r6(c).alias(c) for c in out.columns[2:]])
 
 
-@query(f"""{CONFORMAL} SELECT id AS item_id, array_to_string(list_filter(range(k), lambda i: 1 - probs[i + 1] <= set_threshold), ',') AS pred_set, coalesce(p_max >= act_threshold, false) AS act
- FROM it JOIN th USING (qtype) WHERE id % 2 = 1""")
+@query(f"""{CONFORMAL} SELECT id AS item_id, id % 2 = 1 AS held_out, array_to_string(list_filter(range(k), lambda i: 1 - probs[i + 1] <= set_threshold), ',') AS pred_set, coalesce(p_max >= act_threshold, false) AS act
+ FROM it JOIN th USING (qtype)""")
 def prediction_sets(spark, sf_dir):
-    fitted, fresh = _halves(spark, sf_dir)
-    out = conformal.decorate(fresh, conformal.fit(fitted, ALPHA, DELTA))
-    return out.select("item_id", F.array_join("pred_set", ",").alias("pred_set"), "act")
+    """Sets and decisions for all items; thresholds are fitted on even ids, so odd ones are marked as held out."""
+    out = conformal.decorate(orders_scored(spark, sf_dir), conformal.fit(_halves(spark, sf_dir)[0], ALPHA, DELTA))
+    return out.select("item_id", (F.col("item_id") % 2 == 1).alias("held_out"), F.array_join("pred_set", ",").alias("pred_set"), "act")
 
 
 # --- zero-shot scorers -------------------------------------------------------------------------
@@ -268,52 +268,54 @@ COS = "list_sum(list_transform(range(1, {n} + 1), lambda i: {a}[i] * {b}[i])) /
 
 @query(f"""WITH l AS (SELECT doc_id, lang, [{COUNTS}] AS v FROM documents),
 prof AS (SELECT lang, list(total ORDER BY i) AS v FROM (SELECT lang, i, sum(v[i]) AS total FROM l, range(1, 27) t(i) WHERE doc_id % 2 = 0 GROUP BY lang, i) GROUP BY lang),
-z AS (SELECT doc_id, l.lang, prof.lang AS option, 20 * {COS.format(n=26, a="l.v", b="prof.v")} AS z FROM l JOIN prof ON doc_id % 2 = 1),
+z AS (SELECT doc_id, l.lang, prof.lang AS option, 20 * {COS.format(n=26, a="l.v", b="prof.v")} AS z FROM l CROSS JOIN prof),
 p AS (SELECT doc_id, lang, option, exp(z) / sum(exp(z)) OVER (PARTITION BY doc_id) AS p FROM z)
-SELECT doc_id, lang, arg_max(option, p) AS predicted, round(max(p), 6) AS p_max FROM p GROUP BY doc_id, lang""")
+SELECT doc_id, lang, doc_id % 2 = 1 AS held_out, arg_max(option, p) AS predicted, round(max(p), 6) AS p_max FROM p GROUP BY doc_id, lang""")
 def language_zero_shot(spark, sf_dir):
-    """Letter counts against the profile of each language (fitted on even ids, scored on odd ones)."""
+    """Letter counts of every document against the profile of each language; profiles are fitted on even ids, so odd
+    ones are marked as held out."""
     own = _letters(table(spark, sf_dir, "documents"))
     zero = F.array_repeat(F.lit(0.0), 26)
     sums = own.where("doc_id % 2 = 0").groupBy("lang").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"c{i}") for i in range(26)])
     profile = A.unit(F.array(*[F.coalesce(F.col(f"c{i}"), F.lit(0.0)) for i in range(26)]))
     options = sums.agg(F.sort_array(F.collect_list(F.struct("lang", profile.alias("o")))).alias("opts"))  # a row a language
-    asked = scoring.ask(own.where("doc_id % 2 = 1"), options)
+    asked = scoring.ask(own, options)
     asked = asked.withColumn("options", F.transform("opts", lambda o: F.coalesce(o["o"], zero)))
     out = scoring.score(asked, scoring.CosineScorer("v", "options"))
     keys = F.transform("opts", lambda o: o["lang"])
-    return out.select("doc_id", "lang", F.get(keys, A.first_argmax(F.col("probs"))).alias("predicted"), r6(F.array_max("probs")).alias("p_max"))
+    return out.select("doc_id", "lang", (F.col("doc_id") % 2 == 1).alias("held_out"), F.get(keys, A.first_argmax(F.col("probs"))).alias("predicted"), r6(F.array_max("probs")).alias("p_max"))
 
 
 @query(f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 c AS (SELECT label AS option, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(v[i]) AS m FROM e, range(1, 65) t(i) WHERE vec_id % 2 = 0 GROUP BY label, i) GROUP BY label),
-z AS (SELECT vec_id, label, option, 20 * {COS.format(n=64, a="e.v", b="c.v")} AS z FROM e JOIN c ON vec_id % 2 = 1),
+z AS (SELECT vec_id, label, option, 20 * {COS.format(n=64, a="e.v", b="c.v")} AS z FROM e CROSS JOIN c),
 p AS (SELECT vec_id, label, option, exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id) AS p FROM z),
 m AS (SELECT vec_id, label, arg_max(option, p) AS best, max(p) AS p_max FROM p GROUP BY vec_id, label)
-SELECT label, count(*) AS n, round(avg((best = label)::INT), 6) AS accuracy, round(avg(p_max), 5) AS mean_confidence FROM m GROUP BY label""")
+SELECT label, vec_id % 2 = 1 AS held_out, count(*) AS n, round(avg((best = label)::INT), 6) AS accuracy, round(avg(p_max), 5) AS mean_confidence FROM m GROUP BY ALL""")
 def embedding_zero_shot(spark, sf_dir):
-    """Vectors against the centroids of their labels, which carry no signal: the overconfident case."""
+    """All vectors against the centroids of their labels (of even ids), which carry no signal: overconfident on odd ids."""
     e = table(spark, sf_dir, "embeddings")
     means = e.where("vec_id % 2 = 0").groupBy("label").agg(*[F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"m{i}") for i in range(64)])
     centroid = A.unit(F.array(*[F.col(f"m{i}") for i in range(64)]))
     options = means.agg(F.sort_array(F.collect_list(F.struct("label", centroid.alias("o")))).alias("opts"))  # a row a label
-    asked = scoring.ask(e.where("vec_id % 2 = 1"), options).withColumn("options", F.transform("opts", lambda o: o["o"]))
+    asked = scoring.ask(e, options).withColumn("options", F.transform("opts", lambda o: o["o"]))
     out = scoring.score(asked, scoring.CosineScorer("embedding", "options"))
     best = F.get(F.transform("opts", lambda o: o["label"]), A.first_argmax(F.col("probs")))
-    return out.groupBy("label").agg(F.count("*").alias("n"), r6(F.avg((best == F.col("label")).cast("double"))).alias("accuracy"), F.round(F.avg(F.array_max("probs")), 5).alias("mean_confidence"))
+    return out.groupBy("label", (F.col("vec_id") % 2 == 1).alias("held_out")).agg(F.count("*").alias("n"), r6(F.avg((best == F.col("label")).cast("double"))).alias("accuracy"), F.round(F.avg(F.array_max("probs")), 5).alias("mean_confidence"))
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-t AS (SELECT vec_id, j, v[16 * j + 1:16 * j + 16] AS c FROM e, range(4) r(j)),
-n AS (SELECT vec_id, j, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS c FROM t),
-s AS (SELECT a.vec_id, b.vec_id AS option, a.j, max(list_sum(list_transform(range(1, 17), lambda i: a.c[i] * b.c[i]))) AS best FROM n b JOIN n a ON b.vec_id < 4 GROUP BY a.vec_id, b.vec_id, b.j, a.j)
-SELECT vec_id, option, round(avg(m), 6) AS score FROM (SELECT a.vec_id, b.vec_id AS option, b.j, max(list_sum(list_transform(range(1, 17), lambda i: a.c[i] * b.c[i]))) AS m FROM n b JOIN n a ON b.vec_id < 4 GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+c AS (SELECT label AS option, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(v[i]) AS m FROM e, range(1, 65) t(i) GROUP BY label, i) GROUP BY label),
+t AS (SELECT vec_id AS id, j, v[16 * j + 1:16 * j + 16] AS c FROM e, range(4) r(j)), o AS (SELECT option AS id, j, v[16 * j + 1:16 * j + 16] AS c FROM c, range(4) r(j)),
+tn AS (SELECT id, j, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS c FROM t), ot AS (SELECT id, j, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS c FROM o)
+SELECT vec_id, option, round(avg(m), 6) AS score FROM (SELECT a.id AS vec_id, b.id AS option, b.j, max(list_sum(list_transform(range(1, 17), lambda i: a.c[i] * b.c[i]))) AS m FROM ot b CROSS JOIN tn a GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def max_sim(spark, sf_dir):
-    """Late interaction of every vector's four chunks with those of the first four vectors as options."""
-    chunks = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: A.unit(F.slice("embedding", j * 16 + 1, 16)))
-    t = table(spark, sf_dir, "embeddings").select("vec_id", chunks.alias("t"))
-    options = t.where("vec_id < 4").select(F.col("vec_id").alias("option"), F.col("t").alias("o"))  # four rows
-    return scoring.ask(t, options).select("vec_id", "option", r6(A.max_sim(F.col("o"), F.col("t"))).alias("score"))
+    """Late interaction of every vector's four chunks with those of each label's centroid."""
+    chunked = lambda c: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: A.unit(F.slice(c, j * 16 + 1, 16)))
+    e = table(spark, sf_dir, "embeddings")
+    means = e.groupBy("label").agg(*[F.avg(F.get("embedding", F.lit(i)).cast("double")).alias(f"m{i}") for i in range(64)])
+    options = means.select(F.col("label").alias("option"), chunked(F.array(*[F.col(f"m{i}") for i in range(64)])).alias("o"))  # a row a label
+    return scoring.ask(e.select("vec_id", chunked("embedding").alias("t")), options).select("vec_id", "option", r6(A.max_sim(F.col("o"), F.col("t"))).alias("score"))
 
 
 # --- graphs and agents -------------------------------------------------------------------------
@@ -427,19 +429,17 @@ def option_lines(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), first.alias("first_line"), described.alias("described"))
 
 
-BANK = {
-    "team": Question("choice", "Which team?", (("billing", "money matters"), ("tech_support", None), ("hr", "people"))),
-    "refund": Question("bool", "Is a refund due?", yes="the customer paid"),
-    "anger": Question("score", "How angry?", levels=("calm", "annoyed", "furious")),
-}
-
-
-@query("""SELECT * FROM (VALUES ('team', 'choice', 'billing,tech_support,hr', 'billing: money matters|tech support|hr: people', E'\\nQuestion: Which team?\\nOptions:\\nA. billing: money matters\\nB. tech support\\nC. people\\nAnswer:'),
- ('refund', 'bool', 'yes,no', 'Yes: the customer paid|No: the answer is no', E'\\nQuestion: Is a refund due?\\nyes: the customer paid\\nAnswer (yes or no):'),
- ('anger', 'score', '0,1,2', 'Level 1 of 3: calm|Level 2 of 3: annoyed|Level 3 of 3: furious', E'\\nQuestion: How angry?\\nLevels (lowest to highest):\\nA. calm\\nB. annoyed\\nC. furious\\nAnswer:')) t(name, qtype, keys, texts, block)""")
+@query("""WITH k AS (SELECT DISTINCT p_type FROM part), o AS (SELECT p_type, row_number() OVER (ORDER BY p_type) AS i, count(*) OVER () AS n FROM k)
+SELECT 'kind' AS name, n - 0 AS options, string_agg(lower(replace(p_type, ' ', '_')), ',' ORDER BY i) AS keys, string_agg(lower(p_type), '|' ORDER BY i) AS texts,
+ md5(E'\\nQuestion: What kind of part is it?\\nOptions:\\n' || string_agg(CASE WHEN i <= 26 THEN chr(64 + i::INT) ELSE chr(64 + (i::INT - 1) // 26) || chr(65 + (i::INT - 1) % 26) END || '. ' || lower(p_type), E'\\n' ORDER BY i) || E'\\nAnswer:') AS block_md5 FROM o GROUP BY n""")
 def question_bank(spark, sf_dir):
-    rows = [(n, q.type, ",".join(q.keys), "|".join(q.option_texts()), q.render()) for n, q in BANK.items()]
-    return spark.createDataFrame(rows, "name string, qtype string, keys string, texts string, block string")
+    """A choice question whose options are the kinds of parts in the table: keys, option texts and prompt block."""
+    import hashlib
+
+    kinds = [r[0] for r in table(spark, sf_dir, "part").select("p_type").distinct().orderBy("p_type").limit(256).collect()]  # a question has 255 options at most
+    q = Question("choice", "What kind of part is it?", tuple((k.lower().replace(" ", "_"), None) for k in kinds))
+    rows = [("kind", len(q.keys), ",".join(q.keys), "|".join(q.option_texts()), hashlib.md5(q.render().encode()).hexdigest())]
+    return spark.createDataFrame(rows, "name string, options long, keys string, texts string, block_md5 string")
 
 
 @query("""SELECT conv_id, string_agg(n || '. {"role": "' || role || '", "length": ' || length(text) || '}', E'\\n' ORDER BY n) AS rendered
@@ -472,13 +472,13 @@ def packing(spark, sf_dir):
 def _task() -> D.Task:
     return D.Task(
         "doc_quality", "bool", ("yes", "no"), ("Is this text of good quality?", "Is this well written?"),
-        F.col("text"), 1 - F.col("quality"), key="doc_id", max_train=200, max_eval=60,
+        F.col("text"), 1 - F.col("quality"), key="doc_id",
     )
 
 
 MD5 = "md5('{seed}:' || {key})"
 SPLIT_SQL = f"""WITH ex AS (SELECT doc_id AS id, text AS state, 1 - quality AS label, row_number() OVER (ORDER BY {MD5.format(seed=13, key="doc_id")}, doc_id) AS rn, count(*) OVER () AS total FROM documents JOIN labels USING (doc_id)),
-sp AS (SELECT *, least(60, least(total, 260)) AS ne FROM ex WHERE rn <= 260)"""
+sp AS (SELECT *, least(200, least(total, 1700)) AS ne FROM ex WHERE rn <= 1700)"""
 
 
 def _examples(spark, sf_dir):
@@ -567,12 +567,6 @@ def policy_verdict(spark, sf_dir):
     return synthetic.policy_cases(cases, POLICY, "o_orderpriority", ["1-URGENT", "5-LOW"]).select("o_orderkey", "verdict", "answerable")
 
 
-@query()
-def generated_deadlines(spark, sf_dir):
-    """Rows are our own, so SQL can only check the verdict: see the tests."""
-    return synthetic.deadlines(spark, 500, 7)
-
-
 @query("""WITH v AS (SELECT doc_id, source, md5('4:' || source || '/' || doc_id) AS h FROM documents)
 SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS r FROM v) WHERE r <= 5""")
 def sample_per_source(spark, sf_dir):
@@ -661,3 +655,6 @@ def request_rows(spark, sf_dir):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_summary(spark, sf_dir)
+
+
+from decidra import queries_data, queries_io  # noqa: E402, F401

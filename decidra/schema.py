@@ -36,19 +36,19 @@ class Question:
 
     def _problem(self) -> str | None:
         if self.type not in TYPES:
-            return f"unknown question type {self.type!r}"
+            return f"{self.type!r} is no type of question"
         if not (self.instructions or "").strip():
-            return "instructions must not be empty"
+            return "a question needs instructions"
         allowed = {"bool": (), "choice": ("options",), "score": ("levels",)}[self.type]
         for name in ("options", "levels"):
             if getattr(self, name) is not None and name not in allowed:
-                return f"{self.type} does not take {name}"
+                return f"{name} have no place in a {self.type} question"
         if self.type != "bool" and (self.yes is not None or self.no is not None):
-            return "yes and no apply to bool only"
+            return "only a bool question describes yes and no"
         if self.type != "bool":
             n, most = len(getattr(self, allowed[0]) or ()), MOST_OPTIONS if self.type == "choice" else MOST_LEVELS
             if not 2 <= n <= most:
-                return f"{self.type} takes 2 to {most} {allowed[0]}, not {n}"
+                return f"{n} {allowed[0]} given, a {self.type} question has 2 to {most}"
         return None
 
     @property
@@ -96,10 +96,10 @@ class Question:
 
     def lines(self, order: list[int] | None = None) -> tuple[list[str], dict[int, int]]:
         """Lines of the question's block, and for lines that show an option its canonical index. order: canonical
-        indices as displayed."""
+        indices as displayed. The wording of the block is fixed: models were trained on it."""
         order = list(range(len(self.keys))) if order is None else order
         if sorted(order) != list(range(len(self.keys))):
-            raise InvalidQuestion("order must be a permutation of the question's options")
+            raise InvalidQuestion(f"{order} does not show each option once")
         out, shown = [f"\nQuestion: {self.instructions.strip()}"], {}
         if self.type == "bool":
             for i, (word, text) in enumerate((("yes", self.yes), ("no", self.no))):

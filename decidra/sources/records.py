@@ -6,24 +6,36 @@ type is known, so nothing is inferred and the order of keys is kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from decidra.functions import arrays as A
+from decidra.functions.text import strip
+from decidra.sources.files import written
 
 SCORED = "item_id string, probs array<double>, target array<double>, label_index int, qtype string, source string, answerable boolean, evidence double"
 RECORD = "state string, questions map<string, string>, meta string, _meta string"
 QUESTION = "type string, instructions string, options string, levels string, criteria string, yes string, no string, label string, target map<string, double>, answerable boolean, src string, source string"
 
 
+#: Most splits whose starts are broadcast.
+SPLITS = 500_000
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """line (number within its file, from 0), file and value of every line that isn't blank.
 
-    A file is read as a whole by one task to number its lines; large inputs should come as many files.
+    Files are split as Spark splits them: a first pass counts the lines of each split, whose table (a row a split)
+    gives the second pass the number of its first line. It is broadcast up to SPLITS rows, joined by a shuffle beyond.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("all"))
-    each = whole.select("file", F.posexplode("all").alias("line", "value"))
-    return each.where(F.trim("value") != "")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id")]
+    each = spark.read.text(path, lineSep="\n").select("value", *place)
+    counts = each.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    starts = written(counts.select(F.col("file").alias("_file"), F.col("_at").alias("_from"), (F.coalesce(upto, F.lit(0)) - F.col("_first")).alias("_start")))
+    small = starts.limit(SPLITS + 1).count() <= SPLITS
+    joined = each.join(F.broadcast(starts) if small else starts, (F.col("file") == F.col("_file")) & (F.col("_at") == F.col("_from")))
+    return joined.select("file", (F.col("_id") + F.col("_start")).cast("int").alias("line"), "value").where(F.trim("value") != "")
 
 
 def state_json(value: Column) -> Column:
@@ -81,13 +93,13 @@ def parse_records(df: DataFrame) -> DataFrame:
     target = F.when(has, A.normalise(F.col("raw"))).otherwise(A.one_hot(F.col("label_index"), F.size("keys")))
     n = F.size("keys")
     problem = (
-        F.when(~F.coalesce(F.col("qtype").isin("bool", "choice", "score"), F.lit(False)), "unknown question type")
-        .when(F.trim(F.coalesce(q["instructions"], F.lit(""))) == "", "instructions must not be empty")
+        F.when(~F.coalesce(F.col("qtype").isin("bool", "choice", "score"), F.lit(False)), "no such type of question")
+        .when(strip(F.coalesce(q["instructions"], F.lit(""))) == "", "no instructions")
         .when((F.col("qtype") == "choice") & ~F.coalesce(n.between(2, 255), F.lit(False)), "choice takes 2 to 255 options")
         .when((F.col("qtype") == "score") & ~F.coalesce(n.between(2, 10), F.lit(False)), "score takes 2 to 10 levels")
-        .when((F.col("qtype") == "choice") & q["levels"].isNotNull(), "choice does not take levels")
-        .when((F.col("qtype") != "choice") & q["options"].isNotNull(), "only choice takes options")
-        .when((F.col("qtype") != "bool") & (q["yes"].isNotNull() | q["no"].isNotNull()), "yes and no apply to bool only")
+        .when((F.col("qtype") == "choice") & q["levels"].isNotNull(), "levels in a choice")
+        .when((F.col("qtype") != "choice") & q["options"].isNotNull(), "options outside a choice")
+        .when((F.col("qtype") != "bool") & (q["yes"].isNotNull() | q["no"].isNotNull()), "yes or no described outside a bool")
         .when(has & (A.total(F.col("raw")) <= 0), "empty target")
         .when(~F.coalesce(F.col("label_index").between(0, n - 1), F.lit(False)), "the label is not an option")
     )

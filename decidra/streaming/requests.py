@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from decidra.sources.files import work_dir
+
 
 def decide(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, dead: str, once: bool = True) -> StreamingQuery:
     """Answer every micro-batch and append it to out. A batch that fails goes to dead with its reason, and the
@@ -34,7 +36,29 @@ def windowed(events: DataFrame, ts: str, key: str, value: str, width: str = "1 h
 
 
 def drain(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query over all that is there now, into a memory table, and return that table."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a streaming query over all that is there now, into files of the shared folder, and read those. In complete
+    mode the last batch counts, in append mode all of them; a batch that is run again replaces its own files."""
+    out = work_dir(spark, name)
+    last = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        last.append(number)
+
+    query = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not last:
+        return spark.createDataFrame([], df.schema)
+    found = spark.read.option("basePath", out).schema(df.schema).parquet(out if mode == "append" else f"{out}/batch={max(last)}")
+    return found.select(*df.columns)
+
+
+def admit(requests: DataFrame, order: list[str], queue: int = 256) -> DataFrame:
+    """requests of a micro-batch with status: accepted for the first queue by order, else rejected (503, to be tried
+    again). Only queue + 1 rows are ever sorted together: the place of the first one too many decides for the rest."""
+    mark = requests.select(*order).orderBy(*order).limit(queue + 1).collect()
+    if len(mark) <= queue:
+        return requests.withColumn("status", F.lit("accepted")).withColumn("retry_after", F.lit(None).cast("int"))
+    first = F.struct(*[F.lit(mark[-1][c]).cast(requests.schema[c].dataType).alias(c) for c in order])
+    late = F.struct(*order) >= first
+    return requests.withColumn("status", F.when(late, "rejected").otherwise("accepted")).withColumn("retry_after", F.when(late, 1))

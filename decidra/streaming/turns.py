@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,21 +35,22 @@ def decide_turns(turns: DataFrame, decide: Callable[[list[dict], str], str]) ->
     return turns.groupBy("conv_id").applyInPandas(run, RESULT)
 
 
-def decide_stream(turns: DataFrame, decide: Callable[[int, str], str]) -> DataFrame:
-    """The same for a stream whose turns arrive in order: the state kept of a conversation is the number of its
-    history entries. outcome = decide(entries, text)."""
+def decide_stream(turns: DataFrame, decide: Callable[[list[dict], str], str]) -> DataFrame:
+    """The same for a stream whose turns arrive in order. The state kept of a conversation is its history as JSON,
+    texts and decisions, so a turn depends on the decisions before it across micro-batches."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
+        history = json.loads(state.get[0]) if state.exists else []
         out = []
         for conv, turn, role, text in pd.concat(batches).sort_values(["turn", "role", "text"])[["conv_id", "turn", "role", "text"]].itertuples(index=False):
             if role == "user":
-                out.append((conv, turn, seen, decide(seen, text or "")))
-                seen += 2
+                outcome = decide(history, text or "")
+                out.append((conv, turn, len(history), outcome))
+                history += [{"from": "user", "text": text or ""}, {"from": "agent", "decided": outcome}]
             else:
-                seen += 1
-        state.update((seen,))
+                history.append({"from": role, "text": text or ""})
+        state.update((json.dumps(history, ensure_ascii=False),))
         yield pd.DataFrame(out, columns=["conv_id", "turn", "history", "outcome"])
 
-    return turns.groupBy("conv_id").applyInPandasWithState(run, RESULT, "seen int", "append", GroupStateTimeout.NoTimeout)
+    return turns.groupBy("conv_id").applyInPandasWithState(run, RESULT, "history string", "append", GroupStateTimeout.NoTimeout)

@@ -1,4 +1,6 @@
+import json
 import random
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -7,18 +9,28 @@ from pyspark.sql import functions as F
 from decidra.operators import datasets as D
 from decidra.operators import scoring, serving, synthetic
 from decidra.plans import pipeline as P
-from decidra.sources import remote
+from decidra.plans import reports
+from decidra.sources import hub, remote
 from decidra.streaming import requests as RQ
 from decidra.streaming import turns as T
 
 
-@pytest.mark.parametrize("size,budget,want", [(4, 5, [[0, 1], [2], [3], [4]]), (2, 100, [[0, 1], [2, 3], [4]])])
-def test_batches(spark, size, budget, want):
-    df = spark.createDataFrame([("g", i, k) for i, k in enumerate([3, 2, 3, 3, 3])], "g string, i long, k int")
-    got = {}
-    for r in D.make_batches(df, "g", "i", F.col("k"), size, budget).collect():
-        got.setdefault(r.batch, []).append(r.i)
-    assert [sorted(got[b]) for b in sorted(got)] == want
+@pytest.mark.parametrize("size,budget,wait", [(3, 9, None), (2, 50, None), (5, 4, None), (4, 50, 1.5)])
+def test_batches(spark, size, budget, wait):
+    sizes = [1, 4, 4, 2, 7, 1, 1, 1, 12, 3]
+    df = spark.createDataFrame([(g, i, k, i * 0.5) for g in "ab" for i, k in enumerate(sizes)], "g string, i long, k int, t double")
+    at = {} if wait is None else {"at": F.col("t"), "wait": wait}
+    got = {(r.g, r.i): r.batch for r in D.make_batches(df, "g", "i", F.col("k"), size, budget, **at).collect()}
+    for g in "ab":
+        want, n, total, since = [0], 1, sizes[0], 0.0
+        for i, k in enumerate(sizes[1:], 1):
+            if n >= size or total + k > budget or (wait is not None and i * 0.5 - since > wait):
+                want.append(want[-1] + 1)
+                n, total, since = 0, 0, i * 0.5
+            else:
+                want.append(want[-1])
+            n, total = n + 1, total + k
+        assert [got[g, i] for i in range(len(sizes))] == want
 
 
 def test_mask_rules(spark):
@@ -61,13 +73,57 @@ def test_teacher_and_resume(spark):
 
 
 def test_deadlines_are_exact(spark):
-    rows = synthetic.deadlines(spark, 400, 3).collect()
-    assert {r.verdict for r in rows} == {"on_time", "in_grace", "late"}
+    rows = synthetic.deadlines(spark, 2000, 3).collect()
+    kinds = Counter(r.qtype for r in rows)
+    assert set(kinds) == {"score", "bool", "choice"} and {r.grace for r in rows} == set(synthetic.GRACE) and len({r.scenario for r in rows}) == 4
     for r in rows:
-        past = (r.event - r.due).days
-        assert r.verdict == ("on_time" if past <= 0 else "in_grace" if past <= r.grace else "late")
-    shown = spark.range(1).select(synthetic.format_date(F.lit(date(2024, 3, 5)), F.lit(2))).first()[0]
-    assert shown == "March 5, 2024"
+        s = synthetic.SCENARIOS[r.scenario]
+        past = (r.event - r.anchor).days
+        level = (past > r.grace) + (len(s.levels) == 3 and past > 0)
+        assert (r.days, r.level) == (past, level) and r["keys"][r.label_index] is not None
+        assert r.label_index == (int(level > 0) if r.qtype == "bool" else level) and (r.qtype != "score" or len(s.levels) == 3)
+        assert str(r.grace) in r.policy and s.anchor in r.case and r.case.count(".") >= 3
+        if f"{abs(past)} day" not in r.case and past:  # given as a date in one of the five styles
+            assert r.event.isoformat() in r.case or f"{r.event.day}" in r.case
+    near = Counter(0 if r.days == 0 else 1 if r.days == r.grace else 2 if r.days == r.grace + 1 else 3 for r in rows)
+    assert min(near[0], near[1], near[2]) > 200  # days cluster at the boundaries
+    shown = [spark.range(1).select(synthetic.format_date(F.lit(date(2025, 11, 9)), F.lit(i))).first()[0] for i in range(5)]
+    assert shown == ["2025-11-09", "November 9, 2025", "9 November 2025", "Nov 9, 2025", "Sunday, 9 November 2025"]
+
+
+@pytest.mark.parametrize("hard", [False, True])
+def test_generated_policies_are_exact(spark, hard):
+    rows = synthetic.policies(spark, 1200, 5, hard).collect()
+    assert [tuple(r) for r in synthetic.policies(spark, 1200, 5, hard).where("id = 7").collect()] == [tuple(r) for r in rows if r.id == 7]
+    kinds = Counter((r.qtype, len(r["keys"])) for r in rows)
+    # a two-way choice without its fact is drawn again, so the others get a little more than their shares
+    assert 0.37 < kinds["bool", 2] / 1200 < 0.48 and 0.22 < kinds["choice", 2] / 1200 < 0.33 and 0.27 < kinds["choice", 3] / 1200 < 0.38
+    assert 0.08 < sum(r.lost is not None for r in rows) / 1200 < 0.2
+    for r in rows:
+        rule, facts = json.loads(r.rule), json.loads(r.facts)
+        assert r.verdict == synthetic.holds(rule, facts)
+        if r.lost is None:
+            assert r.answerable and r["keys"][r.label_index] in (("yes", "approve") if r.verdict else ("no", "reject"))
+            assert all(f.lower() in r.case.lower() for f in facts)
+        else:
+            assert synthetic.is_needed(rule, facts, r.lost) and f"{r.lost}:" not in r.case.lower()
+            assert not r.answerable if r.qtype == "bool" else r["keys"][r.label_index] == synthetic.MISSING and r.answerable
+
+    def depth(rule):
+        if rule[0] in ("all", "any") and isinstance(rule[1], list):
+            return 1 + max(map(depth, rule[1]))
+        return 1 + max(map(depth, rule[1:])) if rule[0] in ("not", "if") else 0
+
+    deepest = max(depth(json.loads(r.rule)) for r in rows)
+    assert deepest == (3 if hard else 2)
+
+
+def test_generated_sets_differ_by_split(spark):
+    sets = synthetic.generated_sets(spark, {"train": 30, "test": 10}, {"train": 1, "test": 2})
+    counts = {(r.config, r.split): r["count"] for r in sets.groupBy("config", "split").count().collect()}
+    assert counts == {(c, s): n for c in ("policy", "policy_hard", "dates") for s, n in (("train", 30), ("test", 10))}
+    state = {(r.config, r.split, r.id): r.state for r in sets.collect()}
+    assert all(state[c, "train", 0] != state[c, "test", 0] for c in ("policy", "policy_hard", "dates"))
 
 
 def test_policies(spark):
@@ -133,11 +189,62 @@ def test_stages_are_skipped_when_done(spark, tmp_path):
     assert P.flags({"alpha": 0.1, "fast": True, "slow": False, "none": None, "xs": [1, 2]}) == ["--alpha", "0.1", "--fast", "--xs", "1", "2"]
     with pytest.raises(ValueError):
         P.run(spark, [stages[0], stages[0]], str(tmp_path))
-    names = P.release(str(tmp_path / "rel"), {"t": spark.range(2).withColumn("split", F.lit("train"))}, "card", {"v": 1})
+    changed = [P.Stage("a", make("a"), {"n": 2}), stages[1]]
+    P.run(spark, changed, str(tmp_path))
+    assert ran == ["a", "b", "a", "b"]  # a config that changed makes its stage anew, and those behind it
+    names = P.release(spark, str(tmp_path / "rel"), {"t": spark.range(2).withColumn("split", F.lit("train"))}, "card", {"v": 1})
     assert names == ["README.md", "metadata.json", "t"]
     assert P.markdown([{"a": 0.5, "b": None}], ["a", "b"]).endswith("| 0.500 | - |")
 
 
+def test_checkpoints_are_not_replaced_by_less(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "c")
+    P.save_checkpoint(spark.range(10000), path)
+    P.save_checkpoint(spark.range(9999), path)
+    with pytest.raises(ValueError):
+        P.save_checkpoint(spark.range(3), path)
+    assert spark.read.parquet(path).count() == 9999
+    monkeypatch.setattr(P.files, "free", lambda s, p: 10)
+    with pytest.raises(P.NoRoom):
+        P.save_checkpoint(spark.range(9999), path)
+    assert spark.read.parquet(path).count() == 9999
+
+
+def test_hub_layouts(spark, tmp_path):
+    root = tmp_path / "hub" / "set" / "v1" / "conf"
+    root.mkdir(parents=True)
+    (root / "train-00.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
+    (root / "train-01.jsonl").write_text('{"a": 3}\n')
+    (root / "test.csv").write_text('a,b\n1,"x, y"\n')
+    load = lambda split: hub.load_rows(spark, str(tmp_path / "hub"), "set", split, config="conf", revision="v1")
+    assert sorted(r.a for r in load("train").collect()) == [1, 2, 3] and load("test").first().b == "x, y"
+    with pytest.raises(FileNotFoundError):
+        load("dev")
+    (root / "train-02.csv").write_text("a\n1\n")
+    with pytest.raises(ValueError):
+        load("train")
+
+
+def test_tier_and_cells(spark, tmp_path):
+    assert reports.tier_of(spark, str(tmp_path)) is None
+    (tmp_path / "encoder_config.json").write_text("{}")
+    assert reports.tier_of(spark, str(tmp_path)) == "encoder"
+    assert reports.abstention_cell({"bool": {"act_rate": 0.62, "act_error": 0.0871}}, "bool") == "62% at 8.7%"
+    assert reports.abstention_cell(None, "bool") == reports.abstention_cell({"bool": {"act_rate": 0.0}}, "bool") == "-"
+    assert reports.latency_cell({1: 17.25, 6: 20.0}, [1, 6, 24]) == "17.2 / 20.0 / - ms" and reports.latency_cell(None, [1]) == "-"
+    assert reports.run_summary(1.5, {"dev": {"overall": {"count": 2, "accuracy": 1.0}}}, ["score", "bool"])["conformal_types"] == ["bool", "score"]
+
+
+def test_admission(spark):
+    from decidra.streaming.requests import admit
+
+    df = spark.createDataFrame([(i % 5, i) for i in range(20)], "t int, id long")
+    got = admit(df, ["t", "id"], queue=6).collect()
+    first = {(r.t, r.id) for r in got if r.status == "accepted"}
+    assert first == set(sorted((i % 5, i) for i in range(20))[:6]) and all((r.retry_after == 1) == (r.status == "rejected") for r in got)
+    assert admit(df, ["t", "id"], queue=20).where("status = 'rejected'").count() == 0
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "src")
     spark.range(20).repartition(2).write.parquet(src)
@@ -161,7 +268,7 @@ def test_turns(spark, tmp_path):
     assert got == {(1, 0): (0, "0hi"), (1, 2): (3, "3again"), (2, 0): (0, "0")}
     df.write.parquet(str(tmp_path / "t"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "t"))
-    live = RQ.drain(spark, T.decide_stream(stream, lambda n, t: f"{n}{t}"), "turns_live")
+    live = RQ.drain(spark, T.decide_stream(stream, lambda h, t: f"{len(h)}{t}"), "turns_live")
     assert {(r.conv_id, r.turn): (r.history, r.outcome) for r in live.collect()} == got
 
 

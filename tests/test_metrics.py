@@ -24,22 +24,33 @@ def overall(df):
 
 
 def test_hand_computed_summary(spark):
-    got = overall(scored(spark, [item([0.7, 0.3], 0), item([0.2, 0.8], 0)]))
-    assert got["count"] == 2 and got.accuracy == 0.5
-    assert got.brier == pytest.approx(0.73) and got.nll == pytest.approx(-(math.log(0.7) + math.log(0.2)) / 2)
+    got = overall(scored(spark, [item([0.5, 0.25, 0.25], 0, "choice"), item([0.1, 0.9], 1), item([0.4, 0.6], 0)]))
+    assert got["count"] == 3 and got.accuracy == pytest.approx(2 / 3)
+    assert got.brier == pytest.approx((0.375 + 0.02 + 0.72) / 3) and got.nll == pytest.approx(-math.log(0.5 * 0.9 * 0.4) / 3)
     assert got.score_mae is None and got.evidence_auc is None
 
 
 def test_ece(spark):
-    nine = [item([0.9, 0.1], 0)] * 9 + [item([0.9, 0.1], 1)]
-    assert overall(scored(spark, nine)).ece == pytest.approx(0.0, abs=1e-12)
-    assert overall(scored(spark, [item([0.9, 0.1], 1)] * 10)).ece == pytest.approx(0.9)
+    three_of_four = [item([0.75, 0.25], 0)] * 3 + [item([0.75, 0.25], 1)]
+    assert overall(scored(spark, three_of_four)).ece == pytest.approx(0.0, abs=1e-12)
+    two_bins = three_of_four + [item([0.4, 0.6], 0)] * 4  # half of the items are off by 0.6
+    assert overall(scored(spark, two_bins)).ece == pytest.approx(0.3)
 
 
 def test_auc_and_single_class(spark):
-    rows = [item([1, 0], 0, evidence=e, answerable=a) for e, a in ((0.1, False), (0.4, False), (0.35, True), (0.8, True))]
-    assert overall(scored(spark, rows)).evidence_auc == pytest.approx(0.75)
-    assert math.isnan(overall(scored(spark, rows[:2])).evidence_auc)
+    rows = [item([1, 0], 0, evidence=e, answerable=a) for e, a in ((0.2, False), (0.3, True), (0.5, False), (0.6, False), (0.7, True))]
+    assert overall(scored(spark, rows)).evidence_auc == pytest.approx(4 / 6)  # 1 + 3 of 6 pairs are in order
+    assert math.isnan(overall(scored(spark, rows[2:4])).evidence_auc)
+
+
+def test_auc_where_evidence_crowds(spark):
+    """Most evidence at one value: ties go by item id, and the rank sum is that of a plain sort."""
+    rng = random.Random(6)
+    rows = [item([1, 0], 0, evidence=rng.choice([0.5, 0.5, 0.5, 0.999, rng.random()]), answerable=rng.random() < 0.6) for _ in range(500)]
+    order = sorted(range(500), key=lambda i: (rows[i][6], str(i)))
+    pos = [r for r, i in enumerate(order, 1) if rows[i][5]]
+    want = (sum(pos) - len(pos) * (len(pos) + 1) / 2) / (len(pos) * (500 - len(pos)))
+    assert overall(scored(spark, rows)).evidence_auc == pytest.approx(want)
 
 
 def test_levels_and_empty(spark):
@@ -58,18 +69,19 @@ def test_bins_are_open_below(spark):
     assert [r[0] for r in df.select(A.bin_of(F.col("p"), edges)).collect()] == [0, 0, 1, 9]
 
 
-@pytest.mark.parametrize("probs,want", [([1.0, 0.0, 0.0], 1.0), ([1 / 3] * 3, 0.0), ([0.85, 0.15, 0.0], 0.775), ([1.0], 1.0)])
+@pytest.mark.parametrize("probs,want", [([0.0, 1.0], 1.0), ([0.2] * 5, 0.0), ([0.1, 0.7, 0.1, 0.1], 0.6), ([1.0], 1.0)])
 def test_confidence(spark, probs, want):
     assert spark.createDataFrame([(probs,)], "p array<double>").select(A.confidence(F.col("p"))).first()[0] == pytest.approx(want)
 
 
 def test_targets(spark):
     row = spark.range(1).select(
-        A.ordinal_target(F.lit(1), F.lit(3), 0.5).alias("o"),
+        A.ordinal_target(F.lit(2.5), F.lit(6), 0.7).alias("o"),
         A.training_target(F.lit("choice"), F.array(F.lit(0.0), F.lit(1.0)), F.lit(1)).alias("c"),
         A.training_target(F.lit("score"), F.array(F.lit(0.4), F.lit(0.6)), F.lit(1)).alias("soft"),
     ).first()
-    assert sum(row.o) == pytest.approx(1) and row.o[0] == pytest.approx(row.o[2]) and max(row.o) == row.o[1]
+    assert sum(row.o) == pytest.approx(1) and all(row.o[i] == pytest.approx(row.o[5 - i]) for i in range(3)) and row.o[2] == max(row.o)
+    assert row.o[2] / row.o[1] == pytest.approx(math.exp((1.5**2 - 0.5**2) / (2 * 0.49)))
     assert row.c == [0, 1] and row.soft == [0.4, 0.6]
 
 
@@ -94,38 +106,53 @@ def draws(n, k, sharpen, seed):
 
 
 def test_temperature_is_recovered(spark):
-    df = scored(spark, draws(3000, 4, 2.0, 1)).persist()
+    df = scored(spark, draws(2500, 5, 1.6, 1)).persist()
     t = calibrate.fit_temperature(df)
-    assert abs(t - 2) < 0.25
+    assert abs(t - 1.6) < 0.15
     assert overall(calibrate.rescaled(df, t)).ece < overall(df).ece
     same = calibrate.rescaled(df, 1.0).select(F.max(A.squared_distance(F.col("probs"), F.col("probs")))).first()[0]
     assert same == 0 and calibrate.fit_temperature(df.limit(0)) == 1.0
 
 
 def test_binomial_cdf(spark):
-    cases = [(3, 20, 0.3), (0, 5, 0.1), (30, 200, 0.1), (7, 7, 0.3), (150, 1000, 0.1)]
+    cases = [(4, 17, 0.2), (0, 5, 0.1), (30, 200, 0.1), (9, 9, 0.4), (150, 1000, 0.1), (90, 1000, 0.1), (999, 1000, 0.1), (3, 900, 0.1)]
     for k, n, p in cases:
         want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
         got = spark.range(1).select(conformal.binomial_cdf(F.lit(k), F.lit(n), p)).first()[0]
         assert got == pytest.approx(min(1, want), abs=1e-11)
+    # a billion items: the sum has as many terms as the spread, and agrees with the normal approximation
+    for z in (-3.0, 0.0, 2.0):
+        n, p = 10**9, 0.1
+        got = spark.range(1).select(conformal.binomial_cdf(F.lit(int(n * p + z * math.sqrt(n * p * (1 - p)))), F.lit(n), p)).first()[0]
+        assert got == pytest.approx((1 + math.erf(z / math.sqrt(2))) / 2, abs=1e-4)
     got = spark.range(1, 60).select(F.col("id"), conformal.log_gamma(F.col("id").cast("double")).alias("g")).collect()
     assert all(abs(r.g - math.lgamma(r.id)) < 1e-11 for r in got)
 
 
 def test_coverage_and_act_error(spark):
-    thresholds = conformal.fit(scored(spark, draws(4000, 4, 1.0, 2))).persist()
-    got = conformal.evaluate(scored(spark, draws(4000, 4, 1.0, 3)), thresholds).first()
-    assert 0.87 <= got.coverage <= 0.93 and got.act_error <= 0.1 and got.act_rate * got["count"] > 100
+    thresholds = conformal.fit(scored(spark, draws(3000, 3, 1.0, 2)), alpha=0.2).persist()
+    got = conformal.evaluate(scored(spark, draws(3000, 3, 1.0, 3)), thresholds).first()
+    assert 0.77 <= got.coverage <= 0.83 and got.act_error <= 0.2 and got.act_rate > 0.1
 
 
 def test_coin_flips_never_act(spark):
-    rows = [item([0.6, 0.4], i % 2) for i in range(200)]
+    rows = [item([0.55, 0.45], i % 2) for i in range(120)]
     t = conformal.fit(scored(spark, rows))
     assert t.first().act_threshold is None
     kept = conformal.decorate(scored(spark, [*rows[:1], item([0.2, 0.3, 0.5], 0, "score")]), t).collect()
     assert [r.act for r in sorted(kept, key=lambda r: r.item_id)] == [False, None]
 
 
+def test_set_threshold_is_the_sorted_rank(spark):
+    """Scores that crowd near zero, with many ties, against a plain sort."""
+    rng = random.Random(8)
+    tops = [round(1 - rng.choice([1e-9, 1e-6, 1e-6, 0.01, rng.random() / 2]), 9) for _ in range(301)]
+    rows = [item([p, 1 - p], 0) for p in tops]
+    for alpha in (0.01, 0.1, 0.5):
+        want = sorted(1 - p for p in tops)[min(301, math.ceil(302 * (1 - alpha))) - 1]
+        assert conformal.set_thresholds(scored(spark, rows), alpha).first().set_threshold == pytest.approx(want, abs=1e-15)
+
+
 def test_scorers_agree(spark):
     df = spark.createDataFrame([(1, "ab", [1.0, 0.0], [[1.0, 0.0], [0.0, 1.0]])], "id long, text string, v array<double>, o array<array<double>>")
     p = scoring.score(df, scoring.CosineScorer("v", "o")).first().probs
@@ -137,5 +164,10 @@ def test_scorers_agree(spark):
     r = scoring.agreement(a, b, ["id"], 0.02).first()
     assert r.ok and r.max_probability_gap == pytest.approx(0.01)
     assert not scoring.agreement(a, b.limit(0), ["id"], 0.02).first().ok
+    assert scoring.load_scorer("cosine:state=v,options=o") == scoring.CosineScorer("v", "o")
+    with pytest.raises(KeyError):
+        scoring.load_scorer("unheard")
+    with pytest.raises(ValueError):
+        scoring.ask(spark.range(1), spark.range(256))
     e = spark.range(1).select(scoring.evidence_head(F.array(F.lit(1.0), F.lit(3.0)), [0.0, 0.0], 0.0)).first()[0]
     assert e == 0.5
