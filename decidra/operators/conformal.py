@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decidra.functions import arrays as A
+from decidra.sources.files import written
 
 ACT_GRID = [round(0.5 + 0.01 * i, 2) for i in range(50)]
 #: Buckets of scores double in width so many times as often as scores do: fine near 0, where confident scores crowd.
@@ -52,7 +53,13 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def _usable(scored: DataFrame) -> DataFrame:
+    """The few numbers of each answerable item that thresholds are fitted on, written once: what makes probs (a scorer)
+    runs once, however many passes follow."""
     p = F.col("probs")
+    return written(_numbers(scored, p))
+
+
+def _numbers(scored: DataFrame, p: Column) -> DataFrame:
     return scored.where("answerable").select(
         "qtype", "item_id", (1 - F.get(p, F.col("label_index"))).alias("s"), F.array_max(p).alias("p_max"), (A.first_argmax(p) != F.col("label_index")).cast("int").alias("wrong")
     )
@@ -64,7 +71,11 @@ def set_thresholds(scored: DataFrame, alpha: float) -> DataFrame:
     The rank is located in a histogram of the scores first; of that bucket equal scores are counted map-side, and
     only its distinct scores are ranked.
     """
-    items = _usable(scored).withColumn("b", F.floor(F.log2(F.greatest(F.col("s"), F.lit(LEAST_SCORE))) * PER_OCTAVE))
+    return _set_thresholds(_usable(scored), alpha)
+
+
+def _set_thresholds(usable: DataFrame, alpha: float) -> DataFrame:
+    items = usable.withColumn("b", F.floor(F.log2(F.greatest(F.col("s"), F.lit(LEAST_SCORE))) * PER_OCTAVE))
     sizes = items.groupBy("qtype", "b").agg(F.count("*").alias("n"))
     group = Window.partitionBy("qtype")
     upto = F.sum("n").over(group.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
@@ -82,7 +93,10 @@ def set_thresholds(scored: DataFrame, alpha: float) -> DataFrame:
 
 def act_counts(scored: DataFrame) -> DataFrame:
     """qtype, threshold, acted, wrong at every grid point, cumulated from one histogram over the grid."""
-    items = _usable(scored)
+    return _act_counts(_usable(scored))
+
+
+def _act_counts(items: DataFrame) -> DataFrame:
     grid = F.array(*[F.lit(t) for t in ACT_GRID])
     bin_ = A.let(F.col("p_max"), lambda p: F.size(F.filter(grid, lambda t: p >= t))) - 1
     counts = items.groupBy("qtype", bin_.alias("bin")).agg(F.count("*").alias("m"), F.sum("wrong").alias("w"))
@@ -92,9 +106,10 @@ def act_counts(scored: DataFrame) -> DataFrame:
 
 def fit(scored: DataFrame, alpha: float = 0.1, delta: float = 0.05) -> DataFrame:
     """qtype, count, set_threshold, act_threshold (null if no grid point passes its test at delta / grid size)."""
-    passed = act_counts(scored).where(binomial_cdf(F.col("wrong"), F.col("acted"), alpha) <= delta / len(ACT_GRID))
+    items = _usable(scored)
+    passed = _act_counts(items).where(binomial_cdf(F.col("wrong"), F.col("acted"), alpha) <= delta / len(ACT_GRID))
     act = passed.groupBy("qtype").agg(F.min("threshold").alias("act_threshold"))
-    return set_thresholds(scored, alpha).join(act, "qtype", "left")
+    return _set_thresholds(items, alpha).join(act, "qtype", "left")
 
 
 def prediction_set(probs: Column, threshold: Column) -> Column:
@@ -117,7 +132,8 @@ def decorate(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def evaluate(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Coverage and size of the sets, rate and error of acting, by type; NaN where there is nothing to average."""
-    items = decorate(scored.where("answerable"), thresholds).where(F.col("act").isNotNull())
+    asked = written(scored.where("answerable").select("qtype", "probs", "label_index"))
+    items = decorate(asked, thresholds).where(F.col("act").isNotNull())
     right = (A.first_argmax(F.col("probs")) == F.col("label_index")).cast("double")
     size = F.size("pred_set")
     nan = F.lit(float("nan"))

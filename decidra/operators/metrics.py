@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from decidra.functions import arrays as A
+from decidra.sources.files import written
 
 ECE_BINS, TABLE_BINS = 15, 10
 CONFIDENT = 0.9
@@ -99,7 +100,9 @@ def auc(items: DataFrame) -> DataFrame:
 
 def reliability(scored: DataFrame, bins: int = TABLE_BINS) -> DataFrame:
     """bin, count, confidence and accuracy of every bin; empty bins have NaN."""
-    own = binned(per_item(scored), bins)
+    items = written(per_item(scored).select("p_max", "correct"))  # so that what makes probs runs once a row
+    at_bin = A.bin_of(F.col("p_max"), edges(bins)).alias("bin")
+    own = items.groupBy(at_bin).agg(F.count("*").alias("n"), F.sum("p_max").alias("p_max"), F.sum("correct").alias("correct"))
     at = edges(bins)
     every = scored.sparkSession.createDataFrame([(i, f"{at[i]:.1f}-{at[i + 1]:.1f}") for i in range(bins)], "bin int, name string")
     mean = lambda c: F.coalesce(F.col(c) / F.col("n"), F.lit(float("nan")))
