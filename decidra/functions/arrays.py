@@ -28,6 +28,14 @@ def softmax(logits: Column) -> Column:
     return normalise(shifted)
 
 
+def label_readout(logits: Column, label_ids: Column, temperature: float = 1.0) -> Column:
+    """Probabilities of the labels whose ids are given, from the logits of a whole vocabulary. An id below 0 is a place
+    left empty and gets 0, an id beyond the vocabulary counts as one; null if no id is left."""
+    held = lambda i: F.when((i >= 0) & (i < F.size(logits)), F.get(logits, i).cast("double") / temperature)
+    found = F.transform(label_ids, lambda i: F.coalesce(held(i), F.lit(float("-inf"))))
+    return let(found, lambda z: F.when(F.array_max(z) > float("-inf"), softmax(z)))
+
+
 def rescale(probs: Column, temperature: Column | float) -> Column:
     """Probabilities at another temperature: softmax(log(max(p, EPS)) / T)."""
     t = F.lit(temperature) if isinstance(temperature, int | float) else temperature

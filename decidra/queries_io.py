@@ -273,3 +273,40 @@ def run_cells(spark, sf_dir):
     found = reports.read_report(spark, path)
     shown = reports.run_table(spark, {("own", "seen"): found, ("less", "other"): {"overall": {}}})
     return shown.where("run = 'own'").select("run", F.split("seen", " / ")[0].alias("accuracy"), F.lit(found["overall"]["count"]).cast("long").alias("items"), "other")
+
+
+@query("""WITH i AS (SELECT vec_id, embedding::DOUBLE[] AS z, [vec_id % 64, (vec_id * 7 + 3) % 64, -1, (vec_id * 5 + 40) % 64] AS ids FROM embeddings),
+ w AS (SELECT vec_id, exp(z[ids[1] + 1] / 0.5) AS a, exp(z[ids[2] + 1] / 0.5) AS b, exp(z[ids[4] + 1] / 0.5) AS c FROM i)
+SELECT vec_id, round(a / (a + b + c), 6) AS p_first, round(b / (a + b + c), 6) AS p_second, 0.0::DOUBLE AS p_empty, round(c / (a + b + c), 6) AS p_last FROM w""")
+def label_readouts(spark, sf_dir):
+    """Embeddings taken as logits of 64 tokens, read at three labels and one place left empty."""
+    v = F.col("vec_id")
+    ids = F.transform(F.array(v % 64, (v * 7 + 3) % 64, F.lit(-1).cast("long"), (v * 5 + 40) % 64), lambda i: i.cast("int"))
+    p = table(spark, sf_dir, "embeddings").select("vec_id", A.label_readout(F.col("embedding"), ids, 0.5).alias("p"))
+    return p.select("vec_id", *[r6(F.get("p", F.lit(k))).alias(name) for k, name in enumerate(["p_first", "p_second", "p_empty", "p_last"])])
+
+
+@query("""WITH r AS (SELECT p_partkey AS request, p_name, p_size, p_partkey % 8 AS k FROM part)
+SELECT request, CASE k WHEN 1 THEN 'health' WHEN 2 THEN 'models' WHEN 5 THEN 'agents' WHEN 6 THEN 'agent' WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE 'decide' END AS route,
+ CASE WHEN k IN (0, 7) AND request % 3 = 0 THEN 401 WHEN k = 3 THEN 404 WHEN k = 4 THEN 405 WHEN k = 6 AND p_size % 2 = 1 THEN 404 WHEN k = 7 THEN 422 ELSE 200 END AS status,
+ CASE WHEN k = 0 AND request % 3 <> 0 THEN round(p_size / 100, 4) END AS p_true, CASE WHEN k = 0 AND request % 3 <> 0 THEN CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END END AS choice FROM r""")
+def routed_requests(spark, sf_dir):
+    """Requests of eight kinds: sound and unsound decisions with and without the key, fixed pages, lost paths."""
+    from decidra.streaming.routes import respond
+
+    k = F.col("p_partkey") % 8
+    path = F.element_at(F.array(*[F.lit(x) for x in ["/v1/decide", "/health", "/v1/models", "/nowhere", "/v1/decide", "/v1/agents", "/v1/agents/", "/v1/decide"]]), (k + 1).cast("int"))
+    path = F.when(k == 6, F.concat(path, F.when(F.col("p_size") % 2 == 0, "triage").otherwise("other"))).otherwise(path)
+    asked = F.lit('"yes": {"type": "bool", "instructions": "Is it?"}, "how": {"type": "choice", "instructions": "Which?", "options": {"big": null, "small": null}}')
+    asked = F.when(k == 7, F.lit('"how": {"type": "choice", "instructions": "Which?", "options": {"big": null}}')).otherwise(asked)
+    body = F.concat(F.lit('{"state": {"size": '), F.col("p_size").cast("string"), F.lit('}, "questions": {'), asked, F.lit("}}"))
+    key = F.when(~(k.isin(0, 7) & (F.col("p_partkey") % 3 == 0)), "Bearer key")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("request"), F.when(k.isin(0, 7), "POST").otherwise("GET").alias("method"), path.alias("path"), key.alias("authorization"), body.alias("body"))
+
+    def answer(asked):
+        size = F.get_json_object("state", "$.size").cast("int")
+        p = F.when(F.col("qtype") == "bool", size / 100).otherwise(F.when(size > 25, 0.75).otherwise(0.25))
+        return asked.withColumn("probs", F.array(p, 1 - p)).withColumn("evidence", F.lit(0.5))
+
+    out = respond(rows, answer, "own", {"triage": "{}"}, "key")
+    return out.select("request", "route", "status", F.get_json_object("body", "$.answers.yes.p_true").cast("double").alias("p_true"), F.get_json_object("body", "$.answers.how.choice").alias("choice"))

@@ -6,6 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from decidra.functions import arrays as A
 from decidra.operators import datasets as D
 from decidra.operators import scoring, serving, synthetic
 from decidra.plans import pipeline as P
@@ -279,3 +280,28 @@ def test_windows_drop_late_rows(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "e"))
     got = RQ.drain(spark, RQ.windowed(stream, "ts", "k", "v"), "win_live").collect()
     assert sorted(r.total for r in got) == [1.0, 2.0]  # the last window is still open
+
+
+def test_routes(spark):
+    from decidra.streaming.routes import respond, routed
+
+    sound = '{"state": "x", "questions": {"b": {"type": "noul", "instructions": "q"}, "a \\"": {"type": "score", "instructions": "q", "levels": ["l", "h"]}}}'
+    rows = [
+        (1, "post", "/v1/decide?x=1", "Bearer k", sound), (2, "POST", "/v1/decide", "k2", sound), (3, "POST", "/v1/decide", "k", "no json"), (4, "POST", "/v1/decide", "k", None),
+        (5, "GET", "/health", None, None), (6, None, "/health", None, None), (7, "GET", None, None, None), (8, "GET", "/v1/agents/", "k", None), (9, "GET", "/v1/agents/t", "k", None),
+        (10, "GET", "/v1/agents/t/run", "k", None), (11, "GET", "/v1/agents/u", "k", None), (12, "POST", "/v1/decide", "k", '{"questions": {"a": {"type": "score", "instructions": " ", "levels": [1, 2]}}}'),
+    ]
+    df = spark.createDataFrame(rows, "request long, method string, path string, authorization string, body string")
+    answer = lambda t: t.withColumn("probs", F.array(F.lit(3.0), F.lit(1.0))).withColumn("evidence", F.lit(1.0))
+    got = {r.request: r for r in respond(df, answer, 'm"', {"t": '{"name": "t"}'}, "k").collect()}
+    assert {k: r.status for k, r in got.items()} == {1: 200, 2: 401, 3: 422, 4: 422, 5: 200, 6: 405, 7: 404, 8: 404, 9: 200, 10: 404, 11: 404, 12: 422}
+    body = json.loads(got[1].body)
+    assert body["model"] == 'm"' and body["answers"]["b"]["p_true"] == 0.75 and body["answers"]['a "']["score"] == 0.25
+    assert all(json.loads(r.body) for r in got.values()) and json.loads(got[9].body) == {"name": "t"}
+    assert respond(df.limit(0), answer, "m").count() == 0 and routed(df).where("status = 401").count() == 0
+
+
+def test_label_readout(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0], [2, -1, 0]), ([1.0, 2.0, 3.0], [9, -1])], "z array<double>, i array<int>")
+    got = [r.p for r in df.select(A.label_readout(F.col("z"), F.col("i"), 2.0).alias("p")).collect()]
+    assert got[0] == pytest.approx([0.7310585786, 0.0, 0.2689414214]) and got[1] is None
