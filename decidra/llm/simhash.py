@@ -22,6 +22,11 @@ That makes at most 108 keys for a fingerprint. Fingerprints are put together by
 a sort; in each run of equal keys distances are verified and a spanning forest of the links is
 emitted (never all pairs), which keeps every connection. Equal fingerprints are one node from the
 start, so large groups of exact copies cost one fingerprint. Components come from star contraction.
+
+A task holds RUN fingerprints of a run at most. A longer run is dealt out again: the bits not yet used
+are parted into LIMIT + 1 pieces, of which a linked pair agrees in one whole piece at least, and every
+fingerprint gets a new key for each piece. What is still too long goes round again; a run whose
+remaining bits are 14 holds RUN values at most, so this ends, and no link is lost.
 """
 
 from __future__ import annotations
@@ -47,6 +52,8 @@ HALF = 11
 GENERATOR = 0xAE3
 #: Shingles of which hashes are held at once.
 SLICE = 1 << 16
+#: Fingerprints of a run of equal keys that a task holds at most.
+RUN = 1 << 14
 
 
 # --- fingerprints
@@ -178,36 +185,83 @@ def _run_links(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([a[near], extra[:, 0]]), np.concatenate([b[near], extra[:, 1]])
 
 
-def _link_batches(batches):
-    """Links from (key, fp) sorted by key; a run that goes on in the next batch is held back."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    held_k, held_v = [], []
+def _piece_keys(keys: np.ndarray, values: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, value, free) for each piece of the bits in free; a piece's bits are not free any more."""
+    out = []
+    for mask in np.unique(free):
+        own = free == mask
+        bits = [i for i in range(64) if int(mask) >> i & 1]
+        for piece in range(LIMIT + 1):
+            used = np.uint64(sum(1 << i for i in bits[piece :: LIMIT + 1]))
+            mixed = keys[own].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(piece)
+            for part in (np.uint64(SEED), values[own] & used):
+                mixed = (mixed ^ (mixed >> np.uint64(29)) ^ part) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append((mixed ^ (mixed >> np.uint64(32)), values[own], np.full(own.sum(), mask & ~used)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("free", pa.int64())])
 
-    def out(keys, values):
-        a, b = _run_links(keys, values.view(np.uint64))
-        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema)
 
+def _link_batches(batches, run: int):
+    """Links (a, b) from (key, fp and perhaps free) sorted by key; rows (a, key, free) of runs above run values.
+
+    The last run of a batch is held back, as it may go on in the next one; one that is too long is passed on at once.
+    """
+
+    def linked(keys, values):
+        a, b = (x.view(np.int64) for x in _run_links(keys, values))
+        none = pa.nulls(len(a), pa.int64())
+        return pa.record_batch([pa.array(a), pa.array(b), none, none], _FOUND)
+
+    def dealt(keys, values, free):
+        again, own, left = (x.view(np.int64) for x in _piece_keys(keys, values, free))
+        return pa.record_batch([pa.array(own), pa.nulls(len(own), pa.int64()), pa.array(again), pa.array(left)], _FOUND)
+
+    held, over = None, None
     for batch in batches:
-        keys, values = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp"))
-        if not len(keys):
-            continue
-        last = int(np.searchsorted(keys, keys[-1]))
-        if held_k and last == 0 and held_k[0][0] == keys[0]:
-            held_k.append(keys)
-            held_v.append(values)
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names]
+        if len(rows) == 2:
+            rows.append(np.full(len(rows[0]), -1, dtype=np.int64))
+        rows = [rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64)]
+        if over is not None:
+            more = int(np.searchsorted(rows[0], over, "right"))
+            if more:
+                yield dealt(*(x[:more] for x in rows))
+            rows = [x[more:] for x in rows]
+        if not len(rows[0]):
             continue
-        if last or held_k:
-            yield out(np.concatenate([*held_k, keys[:last]]), np.concatenate([*held_v, values[:last]]))
-        held_k, held_v = [keys[last:]], [values[last:]]
-    if held_k:
-        yield out(np.concatenate(held_k), np.concatenate(held_v))
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b) between distinct fingerprints (column fp): enough links to connect all that are linked."""
-    keyed = distinct.select("fp").mapInArrow(_key_batches, "key long, fp long")
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(_link_batches, "a long, b long").distinct()
+        over = None
+        if held:
+            rows = [np.concatenate(x) for x in zip(held, rows)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        sizes = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(rows[0])) + 1, [len(rows[0])]]))
+        long = np.repeat(sizes > run, sizes)
+        if long.any():
+            yield dealt(*(x[long] for x in rows))
+        if last:
+            whole = ~long[:last]
+            if whole.any():
+                yield linked(*(x[:last][whole] for x in rows[:2]))
+        held, over = (None, rows[0][-1]) if long[-1] else ([x[last:] for x in rows], None)
+    if held:
+        yield linked(*held[:2])
+
+
+def links(distinct: DataFrame, run: int = RUN) -> DataFrame:
+    """(a, b) between distinct fingerprints (column fp): enough links to connect all that are linked.
+
+    run: fingerprints of one key that a task holds, 2^(LIMIT + 1) at least."""
+    run = max(run, 2 << LIMIT)
+    keyed, found = distinct.select("fp").mapInArrow(_key_batches, "key long, fp long"), None
+    while True:
+        dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
+        each = cut(dealt.mapInArrow(lambda batches: _link_batches(batches, run), "a long, b long, key long, free long"))
+        own = each.where("key IS NULL").select("a", "b")
+        found = own if found is None else found.unionByName(own)
+        keyed = each.where("key IS NOT NULL").select("key", F.col("a").alias("fp"), "free")
+        if keyed.isEmpty():
+            return found.distinct()
 
 
 def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

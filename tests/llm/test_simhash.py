@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from decidra.llm import simhash
@@ -94,3 +95,53 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (200, 201), (201, 200)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert all(got[i] == 0 for i in range(61)) and all(got[100 + i] == 100 for i in range(40)) and got[201] == 200
+
+
+def crowded():
+    """Fingerprints of which many share every key of two segments, in chains, pairs and alone."""
+    rng = np.random.default_rng(5)
+    wide = rng.integers(0, 1 << 21, 500, dtype=np.uint64) << np.uint64(43)
+    near = wide ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
+    return np.unique(np.concatenate([wide, near, rng.integers(0, 1 << 63, 50, dtype=np.uint64)]))
+
+
+def least_of_links(values, pairs):
+    root = {int(v): int(v) for v in values}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in root}
+
+
+def all_links(values):
+    return [(int(x), int(y)) for i, x in enumerate(values) for y in values[i + 1 :][np.bitwise_count(values[i + 1 :] ^ x) <= 4]]
+
+
+def test_long_runs_go_round_again_and_lose_no_link(spark):
+    values = crowded()
+    df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    want = least_of_links(values, all_links(values))
+    for run in (32, 1 << 14):
+        got = [(a % (1 << 64), b % (1 << 64)) for a, b in simhash.links(df, run).collect()]
+        assert all((a ^ b).bit_count() <= 4 for a, b in got)
+        assert least_of_links(values, got) == want
+
+
+def test_a_run_over_many_batches_is_passed_on_whole():
+    values = np.sort(crowded())
+    keys = np.concatenate([[-5, -5], np.full(len(values), 7), [8, 9, 9]]).astype(np.int64)
+    fps = np.concatenate([[1, 3], values, [1, 0, 1]]).astype(np.uint64).view(np.int64)
+    for step in (1, 7, 40, len(keys)):
+        batches = [pa.record_batch([pa.array(keys[i : i + step]), pa.array(fps[i : i + step])], ["key", "fp"]) for i in range(0, len(keys), step)]
+        rows = [r for b in simhash._link_batches(iter(batches), 40) for r in b.to_pylist()]
+        assert sorted((r["a"], r["b"]) for r in rows if r["key"] is None) == [(0, 1), (1, 3)]
+        again = [(r["a"], r["key"]) for r in rows if r["key"] is not None]
+        assert len(again) == len(set(again)) == 5 * len(values)
+        assert {a for a, _ in again} == set(values.view(np.int64).tolist())
+        assert all(r["free"] != -1 for r in rows if r["key"] is not None)
