@@ -136,7 +136,7 @@ def test_long_runs_go_round_again_and_lose_no_link(spark):
 def test_a_run_over_many_batches_is_passed_on_whole():
     values = np.sort(crowded())
     keys = np.concatenate([[-5, -5], np.full(len(values), 7), [8, 9, 9]]).astype(np.int64)
-    fps = np.concatenate([[1, 3], values, [1, 0, 1]]).astype(np.uint64).view(np.int64)
+    fps = np.concatenate([[1, 3], values.view(np.int64), [1, 0, 1]])
     for step in (1, 7, 40, len(keys)):
         batches = [pa.record_batch([pa.array(keys[i : i + step]), pa.array(fps[i : i + step])], ["key", "fp"]) for i in range(0, len(keys), step)]
         rows = [r for b in simhash._link_batches(iter(batches), 40) for r in b.to_pylist()]
