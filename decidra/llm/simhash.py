@@ -256,12 +256,13 @@ def links(distinct: DataFrame, run: int = RUN) -> DataFrame:
     keyed, found = distinct.select("fp").mapInArrow(_key_batches, "key long, fp long"), None
     while True:
         dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-        each = cut(dealt.mapInArrow(lambda batches: _link_batches(batches, run), "a long, b long, key long, free long"))
+        # a pair shares up to 108 keys, so its links are made one before they are written
+        each = cut(dealt.mapInArrow(lambda batches: _link_batches(batches, run), "a long, b long, key long, free long").distinct())
         own = each.where("key IS NULL").select("a", "b")
         found = own if found is None else found.unionByName(own)
         keyed = each.where("key IS NOT NULL").select("key", F.col("a").alias("fp"), "free")
         if keyed.isEmpty():
-            return found.distinct()
+            return found
 
 
 def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -278,7 +279,7 @@ def _nodes(found: DataFrame, key: Column | str) -> DataFrame:
 
 
 def _edges(nodes: DataFrame) -> DataFrame:
-    return cut(links(nodes.select(F.col("_fp").alias("fp"))))
+    return links(nodes.select(F.col("_fp").alias("fp")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
