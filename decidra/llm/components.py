@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges a file of a round holds.
+EDGES = 100_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
@@ -27,6 +30,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node of its component) for every node that has an edge.
 
+    From the second round on a file holds EDGES edges or more on average, so that small graphs don't become many tiny files.
     edges: two comparable columns a and b; loops and repeated edges do no harm. Each round writes its
     edges to the shared folder; the driver sees a count and a checksum only. Ends when a round
     changes nothing, which takes a number of rounds in the order of the square of the logarithm of
@@ -35,7 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     seen = None
     while True:
-        now = cut(_small_star(_large_star(now)))
+        now = _small_star(_large_star(now))
+        # no more files than the last round's rows need; their number grows with the rows
+        now = cut(now.coalesce(1 + seen[0] // EDGES) if seen else now)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
