@@ -9,20 +9,29 @@ from .common import cut
 
 #: Edges a file of a round holds.
 EDGES = 100_000
+#: Parts that the edges of a node are dealt out to.
+SALTS = 256
+
+
+def _beside_least(edges: DataFrame) -> DataFrame:
+    """edges with m, the smallest b of each a. A node's edges are dealt out to SALTS parts, in which they are reduced and
+    joined, so a node with very many of them never meets in one task; what is known of a node as a whole is a row a part."""
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = dealt.groupBy("a", "s").agg(F.min("b").alias("m"))
+    least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))
+    return dealt.join(least.select("a", "m", F.explode("s").alias("s")), ["a", "s"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
     both = edges.union(edges.select(F.col("b"), F.col("a")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    moved = both.where(F.col("b") > F.col("a")).join(least, "a")
+    moved = _beside_least(both).where("b > a")
     return moved.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them. Edges have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a")
+    moved = _beside_least(edges)
     pairs = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y"))))
     return moved.select(pairs.alias("p")).select(F.col("p.x").alias("a"), F.col("p.y").alias("b")).where("a <> b").distinct()
 
