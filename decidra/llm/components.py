@@ -19,7 +19,8 @@ def _beside_least(edges: DataFrame) -> DataFrame:
     dealt = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     parts = dealt.groupBy("a", "s").agg(F.min("b").alias("m"))
     least = parts.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))
-    return dealt.join(least.select("a", "m", F.explode("s").alias("s")), ["a", "s"])
+    # by a merge: a broadcast would build the table on the driver in each round
+    return dealt.join(least.select("a", "m", F.explode("s").alias("s")).hint("merge"), ["a", "s"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
