@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, pieces, quality_cnn, rules, sharding, simhash, urls, warc
+from . import chat, decontaminate, divergence, hard_negatives, licenses, packing, pieces, quality_cnn, rules, sharding, simhash, urls, warc
 from .common import read_table, shared_dir
 
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -86,6 +86,23 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "rank", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), "log_prob", "log_inclusion", "decoded")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of all anchors; see hard_negatives.mine for nulls, ties, repeats and empty tables."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), "embedding")
+    return hard_negatives.mine(hard_negatives.numbers(rows), F.col("id") % 100 == 0)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096; see packing.pack for nulls, long texts, repeats and empty tables."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances and own terms of all sources; see divergence for nulls, ties, repeats and empty tables."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_shard": op1_shard,
     "op2_quality": op2_quality,
@@ -97,6 +114,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_licenses": op9_licenses,
     "op10_pieces": op10_pieces,
+    "op11_negatives": op11_negatives,
+    "op12_packing": op12_packing,
+    "op13_divergence": op13_divergence,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -150,9 +170,33 @@ it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT it
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN ht USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
+NEGATIVES_SQL = """WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 10"""
+
+_SHARE = "1 + (1000000000::HUGEINT * ({n} + 5)) // ({total} + 5 * terms)"
+DIVERGENCE_SQL = f"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(t) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(t)) AS term FROM d) GROUP BY ALL HAVING count(*) >= {divergence.LEAST_DOCS}),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+y AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total, count(*) OVER (PARTITION BY lang, source) AS terms FROM x),
+z AS (SELECT lang, term, sum(n) AS n_lang, sum(sum(n)) OVER (PARTITION BY lang) AS total_lang FROM x GROUP BY lang, term),
+s AS (SELECT lang, source, term, n, {_SHARE.format(n="n", total="total")} AS p, {_SHARE.format(n="n_lang", total="total_lang")} AS q FROM y JOIN z USING (lang, term)),
+pr AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS v FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pr ON pr.lang = a.lang AND pr.source = a.source AND pr.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM s WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER w)::INTEGER AS rank FROM o WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= {divergence.TOP}"""
+
 ORACLE: dict[str, str] = {
     "op3_chat": CHAT_SQL,
     "op6_warc": WARC_SQL,
     "op7_rules": RULES_SQL,
     "op8_decontaminate": DECONTAMINATE_SQL,
+    "op11_negatives": NEGATIVES_SQL,
+    "op13_divergence": DIVERGENCE_SQL,
 }
