@@ -268,8 +268,9 @@ def links(distinct: DataFrame, run: int = RUN) -> DataFrame:
 def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """For each _fp of nodes: first, the smallest own key (null keys last) in its component by edges (a, b)."""
     roots = components(edges)
-    linked = roots.join(nodes, roots["node"] == nodes["_fp"]).select("node", "root", "own")
-    firsts = linked.groupBy("root").agg(F.min("own").alias("first"))
+    linked = cut(roots.join(nodes, roots["node"] == nodes["_fp"]).select("node", "root", "own"))
+    # both sides are written tables, so Spark can split the join at the root of a giant component
+    firsts = cut(linked.groupBy("root").agg(F.min("own").alias("first")))
     moved = linked.join(firsts, "root").select(F.col("node").alias("_node"), "first")
     return nodes.join(moved, nodes["_fp"] == moved["_node"], "left").select("_fp", F.when(F.col("_node").isNotNull(), F.col("first")).otherwise(F.col("own")).alias("first"))
 

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
 from decidra.llm import simhash
@@ -145,3 +146,40 @@ def test_a_run_over_many_batches_is_passed_on_whole():
         assert len(again) == len(set(again)) == 5 * len(values)
         assert {a for a, _ in again} == set(values.view(np.int64).tolist())
         assert all(r["free"] != -1 for r in rows if r["key"] is not None)
+
+
+@pytest.mark.parametrize("edges", [40, 1 << 19])
+def test_components_over_many_tasks(spark, monkeypatch, edges):
+    """A giant component with a hub, long chains that cross tasks, loops and repeats; small tasks need several rounds."""
+    from decidra.llm import components as C
+
+    monkeypatch.setattr(C, "EDGES", edges)
+    rng = np.random.default_rng(edges)
+    hub = [(int(x), 500) for x in rng.choice(np.arange(501, 1500), 600, replace=False)]
+    chain = rng.permutation(np.arange(2000, 2400)).tolist()
+    some = rng.integers(3000, 3400, (150, 2)).tolist()
+    rows = hub + list(zip(chain, chain[1:])) + [tuple(x) for x in some] + [(7, 7), (8, 9), (9, 8), (8, 9), (500, 3)]
+    got = dict(map(tuple, components(spark.createDataFrame(rows, "a long, b long").repartition(6)).collect()))
+    root = {x: x for r in rows for x in r}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in rows:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert got == {x: find(x) for x in root if x != 7}
+
+
+def test_a_giant_component_of_fingerprints(spark):
+    """Two thousand fingerprints chained by single bits end in one class with the smallest id."""
+    rng = np.random.default_rng(2)
+    fps, now = [], int(rng.integers(0, 1 << 62))
+    for _ in range(2000):
+        now ^= 1 << int(rng.integers(0, 63))
+        fps.append(now)
+    nodes = spark.createDataFrame([(f, 5 + i) for i, f in enumerate(dict.fromkeys(fps))], "_fp long, own long").repartition(5)
+    named = simhash.classes(nodes, simhash._edges(nodes)).collect()
+    assert len(named) == len(set(fps)) and {r["first"] for r in named} == {5}
