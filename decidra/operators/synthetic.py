@@ -1,57 +1,12 @@
-"""Synthetic questions whose answers are exact by construction: deadlines and policies."""
+"""Exact verdicts over given tables: deadlines with days of grace, and policies as trees of tests."""
 
 from __future__ import annotations
 
-import json
-import random
 from dataclasses import dataclass
 from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
-
-from decidra.operators.datasets import uniform
-
-# --- deadlines
-
-WEEKDAY = "EEEE"
-#: The days of grace that cases draw from.
-GRACE = [3, 5, 7, 10, 14, 21, 30, 45, 60, 90]
-MOST_EARLY, MOST_LATE, JUST_EARLY = 40, 40, 3
-
-
-@dataclass(frozen=True)
-class Scenario:
-    """What a deadline is about. Three levels: by the anchor day, within the grace days, later; two levels: within
-    the grace days of the anchor day, later."""
-
-    policy: str
-    anchor: str
-    event: str
-    levels: tuple[str, ...]
-    how: str
-    whether: str
-
-
-SCENARIOS = (
-    Scenario("Forms that arrive by the closing date are in time. Up to {grace} days later they are taken as late. After that they are turned away.", "closing date", "form arrived", ("In time", "Taken as late", "Turned away"), "How late is the form?", "Did the form arrive in time?"),
-    Scenario("Goods can be sent back within {grace} days of arrival. Nothing is taken back after that.", "arrival date", "parcel was sent back", ("Taken back", "Not taken back"), "Is the parcel taken back?", "Is the parcel sent back early enough?"),
-    Scenario("Repairs are free if they are asked for within {grace} days of the sale, and are charged from then on.", "date of sale", "repair was asked for", ("Free repair", "Charged repair"), "What does the repair cost?", "Is the repair free?"),
-    Scenario("Rent paid by the first day of the term costs nothing more. Within {grace} days after it a fee is added. Later the lease ends.", "first day of the term", "rent was paid", ("Nothing more", "Fee added", "Lease ends"), "What follows from this payment?", "Was the rent paid by the first day of the term?"),
-)
-ASIDES = ("It came through the web form.", "Its number is {n}.", "Room {n} deals with it.", "Somebody marked it as urgent.")
-
-
-def format_date(day: Column, style: Column) -> Column:
-    """A day in one of five styles: 2024-03-05, March 5, 2024, 5 March 2024, Mar 5, 2024, and with its weekday."""
-    patterns = ["yyyy-MM-dd", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", f"{WEEKDAY}, d MMMM yyyy"]
-    out = F.date_format(day, patterns[0])
-    for i, pattern in enumerate(patterns[1:], 1):
-        out = F.when(style == i, F.date_format(day, pattern)).otherwise(out)
-    return out
 
 
 def deadline_verdict(event: Column, due: Column, grace: Column) -> Column:
@@ -60,61 +15,6 @@ def deadline_verdict(event: Column, due: Column, grace: Column) -> Column:
     return F.when(past <= 0, "on_time").when(past <= grace, "in_grace").otherwise("late")
 
 
-def _pick(values, u: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), F.floor(u * len(values)).cast("int"))
-
-
-def _between(low: Column | int, high: Column | int, u: Column) -> Column:
-    """A whole number from low to high, both included."""
-    low, high = (F.lit(x) if isinstance(x, int) else x for x in (low, high))
-    return (low + F.floor(u * (high - low + 1))).cast("int")
-
-
-def deadlines(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """n cases with exact verdicts: id, scenario, grace, days (from the anchor day to the event), anchor, event, level,
-    qtype, instructions, keys, label_index, policy, case.
-
-    Days cluster at the two boundaries, so that their size alone does not tell the level. Half of the questions ask
-    for the level, three in ten yes or no, the others for a choice; a score needs three levels, else it is yes or no.
-    A quarter of the cases give the event in days from the anchor. One or two asides stand between the facts. All
-    draws are hashes of seed and id: rows do not depend on partitions.
-    """
-    u = lambda what: uniform(f"{seed}-{what}", F.col("id"))
-    of = lambda f: F.get(F.array(*[F.lit(f(s)) for s in SCENARIOS]), F.col("scenario"))
-    df = spark.range(n).withColumn("scenario", F.floor(u("scenario") * len(SCENARIOS)).cast("int")).withColumn("grace", _pick(GRACE, u("grace")))
-    df = df.withColumn("anchor", F.date_add(F.lit("2024-01-01").cast("date"), F.floor(u("anchor") * 1000).cast("int")))
-    g, r = F.col("grace"), u("size")
-    draws = [_between(-MOST_EARLY, -1, r), _between(-JUST_EARLY, 0, r), F.lit(0), _between(1, g, r), g, g + 1, _between(g + 1, g + MOST_LATE, r)]
-    df = df.withColumn("days", F.get(F.array(*draws), F.floor(u("near") * len(draws)).cast("int")))
-    two = of(lambda s: len(s.levels) == 2)
-    df = df.withColumn("event", F.date_add("anchor", F.col("days"))).withColumn("two", two)
-    past = (F.col("days") > F.col("grace")).cast("int")
-    df = df.withColumn("level", F.when(F.col("two"), past).otherwise(past + (F.col("days") > 0).cast("int")))
-    kind = F.when(u("kind") < 0.5, "score").when(u("kind") < 0.8, "bool").otherwise("choice")
-    df = df.withColumn("qtype", F.when(F.col("two") & (kind == "score"), "bool").otherwise(kind))
-    asked = F.when(F.col("qtype") == "score", of(lambda s: s.how)).when(F.col("qtype") == "bool", of(lambda s: s.whether)).otherwise("Apply the policy to the case.")
-    named = F.get(F.array(*[F.array(*[F.lit(x.lower().replace(" ", "_")) for x in s.levels]) for s in SCENARIOS]), F.col("scenario"))
-    numbers = F.array(*[F.lit(str(i)) for i in range(3)])
-    keys = F.when(F.col("qtype") == "score", numbers).when(F.col("qtype") == "bool", F.array(F.lit("yes"), F.lit("no"))).otherwise(named)
-    label = F.when(F.col("qtype") == "bool", (F.col("level") > 0).cast("int")).otherwise(F.col("level"))
-    # the texts
-    style = lambda what: F.floor(u(what) * 5).cast("int")
-    apart = F.concat(F.abs("days").cast("string"), F.when(F.abs("days") == 1, " day ").otherwise(" days "), F.when(F.col("days") > 0, "after").otherwise("before"), F.lit(" the "), of(lambda s: s.anchor))
-    told = F.when((u("relative") < 0.25) & (F.col("days") != 0), apart).otherwise(F.concat(F.lit("on "), format_date(F.col("event"), style("s2"))))
-    aside = lambda i: F.replace(_pick(ASIDES, u(f"aside{i}")), F.lit("{n}"), _between(100, 999, u(f"n{i}")).cast("string"))
-    facts = [
-        F.struct(u("o0").alias("o"), F.concat(F.lit("The "), of(lambda s: s.anchor), F.lit(" was "), format_date(F.col("anchor"), style("s1")), F.lit(".")).alias("t")),
-        F.struct(u("o1").alias("o"), F.concat(F.lit("The "), of(lambda s: s.event), F.lit(" "), told, F.lit(".")).alias("t")),
-        F.struct(u("o2").alias("o"), aside(0).alias("t")),
-        F.struct(u("o3").alias("o"), F.when(u("asides") < 0.5, aside(1)).alias("t")),
-    ]
-    said = F.array_join(F.transform(F.array_sort(F.array(*facts)), lambda x: x["t"]), " ")
-    policy = F.replace(of(lambda s: s.policy), F.lit("{grace}"), F.col("grace").cast("string"))
-    return df.select(
-        "id", "scenario", "grace", "days", "anchor", "event", "level", "qtype", asked.alias("instructions"), keys.alias("keys"), label.alias("label_index"), policy.alias("policy"), said.alias("case")
-    )
-
-
 # --- policies
 
 
@@ -173,18 +73,6 @@ class Rule:
         return list(dict.fromkeys(found))
 
 
-def random_rule(rng: random.Random, tests: list[Test], depth: int = 2) -> Rule:
-    """A seeded rule tree over the given tests."""
-    parts = []
-    for _ in range(rng.randint(2, 3)):
-        if depth > 1 and rng.random() < 0.4:
-            parts.append(random_rule(rng, tests, depth - 1))
-        else:
-            test = rng.choice(tests)
-            parts.append(Rule("not", (test,)) if rng.random() < 0.15 else test)
-    return Rule(rng.choice(["all", "any"]), tuple(parts))
-
-
 def depends_on(rule: Rule, fact: str, candidates: list) -> Column:
     """Whether any candidate value of a fact would turn the rule's outcome."""
     base = rule.column()
@@ -197,199 +85,3 @@ def policy_cases(df: DataFrame, rule: Rule, hidden: str | None = None, candidate
     out = df.withColumn("verdict", F.when(rule.column(), "approve").otherwise("reject"))
     known = ~depends_on(rule, hidden, candidates) if hidden else F.lit(True)
     return out.withColumn("answerable", known)
-
-
-# --- generated policies
-
-#: What generated policies are about. The lists are this module's own.
-NUMBERS = {"amount in euros": (1, 900), "age of the account in days": (1, 700), "number of earlier requests": (0, 40), "score of the check": (0, 100)}
-KINDS = {"country group": ("north", "south", "east", "west"), "type of customer": ("private", "business", "school"), "way of payment": ("card", "invoice", "cash")}
-FLAGS = ("identity confirmed", "manager informed", "goods unopened", "form signed")
-PARTIES = (("person asking", "person paying"), ("sender", "receiver"))
-PEOPLE = ("Ada", "Bruno", "Chidi", "Dana", "Emil", "Farah")
-NOTES = {"subject line": ("broken", "late", "wrong", "lost", "double", "urgent"), "remark": ("checked", "doubtful", "known", "open", "closed")}
-MATTERS = ("request", "return", "booking", "complaint", "transfer")
-SIDELINES = ("The file number is {n}.", "The file lies in room {n}.", "The form is {c}.", "It came by {w}.")
-MISSING = "cannot_be_determined"
-#: Shares of the question kinds, and of cases from which a needed fact is left out.
-KIND_SHARES, LEFT_OUT = {"bool": 0.4, "choice": 0.3, "choice3": 0.3}, 0.2
-
-
-def draw_test(rng: random.Random, facts: dict, hard: bool) -> tuple:
-    """A test (fact, op, value), whose facts are drawn with it; a fact that was drawn before keeps its value."""
-    kind = rng.choice(["number", "number", "kind", "flag", "party", *(["note"] * 2 if hard else [])])
-    if kind == "number":
-        name = rng.choice(list(NUMBERS))
-        low, high = NUMBERS[name]
-        facts.setdefault(name, rng.randint(low, high))
-        op = rng.choice(["gt", "ge", "lt", "le", "between"])
-        # half of the limits lie near the value, where the operators differ
-        near = facts[name] + rng.randint(-2, 2) if rng.random() < 0.5 else rng.randint(low, high)
-        return (name, op, tuple(sorted((near, rng.randint(low, high)))) if op == "between" else near)
-    if kind == "kind":
-        name = rng.choice(list(KINDS))
-        facts.setdefault(name, rng.choice(KINDS[name]))
-        some = tuple(rng.sample(KINDS[name], rng.randint(1, len(KINDS[name]) - 1)))
-        return (name, rng.choice(["in", "not_in"]), some)
-    if kind == "flag":
-        name = rng.choice(FLAGS)
-        facts.setdefault(name, rng.random() < 0.5)
-        return (name, "true", rng.random() < 0.7)
-    if kind == "party":
-        one, other = rng.choice(PARTIES)
-        facts.setdefault(one, rng.choice(PEOPLE))
-        facts.setdefault(other, facts[one] if rng.random() < 0.4 else rng.choice(PEOPLE))
-        return (one, rng.choice(["same", "different"]), other)
-    name = rng.choice(list(NOTES))
-    facts.setdefault(name, " ".join(rng.sample(NOTES[name], rng.randint(2, 3))))
-    return (name, rng.choice(["has_word", "lacks_word"]), rng.choice(NOTES[name]))
-
-
-def draw_policy(rng: random.Random, facts: dict, hard: bool, level: int = 0):
-    """A rule tree of at most two levels above its tests (three if hard): a test, or ("all" | "any", rules),
-    ("not", rule), ("if", rule, then, otherwise). Hard rules are never a single test, and branch out below the top too."""
-    shapes = ["all", "any", "not", "if"] if hard or level == 0 else ["test", "all", "any", "not"]
-    if not (hard and level == 0):
-        shapes.append("test")
-    shape = rng.choice(shapes) if level < (3 if hard else 2) else "test"
-    below = lambda: draw_policy(rng, facts, hard, level + 1)
-    if shape == "test":
-        return draw_test(rng, facts, hard)
-    if shape in ("all", "any"):
-        return (shape, [below() for _ in range(rng.choice([2, 2, 3, *([4] if hard else [])]))])
-    return ("not", below()) if shape == "not" else ("if", below(), below(), below())
-
-
-def holds(rule, facts: dict) -> bool:
-    """Whether the facts meet the rule."""
-    if rule[0] in ("all", "any") and isinstance(rule[1], list):
-        return (all if rule[0] == "all" else any)(holds(r, facts) for r in rule[1])
-    if rule[0] == "not":
-        return not holds(rule[1], facts)
-    if rule[0] == "if":
-        return holds(rule[2] if holds(rule[1], facts) else rule[3], facts)
-    name, op, v = rule
-    x = facts[name]
-    return {
-        "gt": lambda: x > v, "ge": lambda: x >= v, "lt": lambda: x < v, "le": lambda: x <= v, "between": lambda: v[0] <= x <= v[1],
-        "in": lambda: x in v, "not_in": lambda: x not in v, "true": lambda: x == v, "same": lambda: x == facts[v], "different": lambda: x != facts[v],
-        "has_word": lambda: v in x.split(), "lacks_word": lambda: v not in x.split(),
-    }[op]()
-
-
-def tests_of(rule) -> list[tuple]:
-    if rule[0] in ("all", "any") and isinstance(rule[1], list):
-        return [t for r in rule[1] for t in tests_of(r)]
-    if rule[0] in ("not", "if"):
-        return [t for r in rule[1:] for t in tests_of(r)]
-    return [rule]
-
-
-def said(rule) -> str:
-    """The rule in words."""
-    if rule[0] in ("all", "any") and isinstance(rule[1], list):
-        head = "each of these is true" if rule[0] == "all" else "one or more of these are true"
-        return f"{head}: " + ", ".join(f"[{said(r)}]" for r in rule[1])
-    if rule[0] == "not":
-        return f"this is false: [{said(rule[1])}]"
-    if rule[0] == "if":
-        return f"where [{said(rule[1])}], [{said(rule[2])}], and elsewhere [{said(rule[3])}]"
-    name, op, v = rule
-    words = {"gt": "is more than {v}", "ge": "is {v} or more", "lt": "is less than {v}", "le": "is {v} or less", "between": "is from {a} to {b}", "in": "is {l}", "not_in": "is not {l}", "same": "is also the {v}", "different": "is not the {v}", "has_word": "has the word {v}", "lacks_word": "lacks the word {v}"}
-    if op == "true":
-        return f"{name} is {'marked' if v else 'not marked'}"
-    a, b = v if op == "between" else (None, None)
-    return f"the {name} " + words[op].format(v=v, a=a, b=b, l=" or ".join(v) if op in ("in", "not_in") else v)
-
-
-def other_values(name: str, value) -> list:
-    """Values that a missing fact could have had."""
-    if isinstance(value, bool):
-        return [not value]
-    if isinstance(value, int):
-        return list(range(0, 1001, 7))
-    if name in KINDS:
-        return list(KINDS[name])
-    if name in NOTES:
-        return [w for w in NOTES[name]] + [" ".join(NOTES[name])]
-    return list(PEOPLE)
-
-
-def is_needed(rule, facts: dict, name: str) -> bool:
-    """Whether another value of the fact could turn the verdict."""
-    base = holds(rule, facts)
-    return any(holds(rule, facts | {name: v}) != base for v in other_values(name, facts[name]))
-
-
-def policy_example(seed: int | str, number: int, hard: bool = False) -> dict:
-    """One generated case: its rule and facts, policy and case as texts, the question, the exact label, and which needed
-    fact was left out (null: none). A two-way choice never lacks a fact; such draws are made again."""
-    rng = random.Random(f"{seed}/{number}/{hard}")
-    while True:
-        facts: dict = {}
-        rule = draw_policy(rng, facts, hard)
-        verdict, matter = holds(rule, facts), rng.choice(MATTERS)
-        lost = None
-        if rng.random() < LEFT_OUT:
-            names = [n for t in tests_of(rule) for n in ((t[0], t[2]) if t[1] in ("same", "different") else (t[0],))]
-            needed = [n for n in names if is_needed(rule, facts, n)]
-            lost = rng.choice(needed) if needed else None
-        kind = rng.choices(list(KIND_SHARES), list(KIND_SHARES.values()))[0]
-        if kind != "choice" or lost is None:
-            break
-    text = rng.choice([f"Grant the {matter} if {said(rule)}. Turn it down if not.", f"The {matter} is granted only if {said(rule)}.", f"Rule: turn the {matter} down, except if {said(rule)}."])
-    lines = [f"{n[0].upper()}{n[1:]}: {'yes' if v is True else 'no' if v is False else v}." for n, v in facts.items() if n != lost]
-    aside = lambda t: t.format(n=rng.randint(100, 999), c=rng.choice(["blue", "white"]), w=rng.choice(["post", "mail"]))
-    lines += [aside(t) for t in rng.sample(SIDELINES, rng.randint(1, 2))]
-    rng.shuffle(lines)
-    keys = ["yes", "no"] if kind == "bool" else ["approve", "reject"] + ([MISSING] if kind == "choice3" else [])
-    label = 2 if kind == "choice3" and lost else 0 if verdict else 1
-    asked = rng.choice([f"Is the {matter} granted under this policy?", f"Does this case meet the policy on the {matter}?"] if kind == "bool" else ["Apply the policy to the case.", f"What becomes of the {matter}?"])
-    return {
-        "id": number, "policy": text, "case": " ".join(lines), "qtype": "bool" if kind == "bool" else "choice", "instructions": asked, "keys": keys, "label_index": label,
-        "answerable": kind == "choice3" or lost is None, "verdict": verdict, "lost": lost, "rule": json.dumps(rule), "facts": json.dumps(facts),
-    }
-
-
-POLICY_ROW = "id long, policy string, case string, qtype string, instructions string, keys array<string>, label_index int, answerable boolean, verdict boolean, lost string, rule string, facts string"
-
-
-def policies(spark: SparkSession, n: int, seed: int, hard: bool = False) -> DataFrame:
-    """n generated policy cases (POLICY_ROW). A row depends on seed and id only, so any task can make it again."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [policy_example(seed, i, hard) for i in batch.column("id").to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, kind)
-
-    kind = to_arrow_schema(_parse_datatype_string(POLICY_ROW))
-    return spark.range(n).mapInArrow(run, POLICY_ROW)
-
-
-def generated_sets(spark: SparkSession, sizes: dict[str, int], seeds: dict[str, int]) -> DataFrame:
-    """The three generated configs (policy, policy_hard, dates) with a split for each of sizes, made from the split's
-    own seed: config, split, id, state (JSON of policy and case), qtype, instructions, keys, label_index, answerable."""
-    out = None
-    for split, n in sizes.items():
-        made = {"policy": policies(spark, n, seeds[split]), "policy_hard": policies(spark, n, seeds[split], hard=True), "dates": deadlines(spark, n, seeds[split]).withColumn("answerable", F.lit(True))}
-        for config, df in made.items():
-            state = F.to_json(F.struct("policy", "case"))
-            own = df.select(F.lit(config).alias("config"), F.lit(split).alias("split"), "id", state.alias("state"), "qtype", "instructions", "keys", "label_index", "answerable")
-            out = own if out is None else out.union(own)
-    return out
-
-
-# --- support tickets
-
-TEAMS = {"billing": "My invoice shows a wrong sum", "delivery": "My parcel has not come", "account": "I cannot sign in"}
-TEMPERS = ("Thank you for your help.", "I have asked before.", "This is the third time, and I have had enough.")
-
-
-def tickets(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """n support tickets by template, each with three labelled questions: id, message, team (choice), refund (yes or no)
-    and temper (level), as indices."""
-    u = lambda what: uniform(f"{seed}-{what}", F.col("id"))
-    team, temper = F.floor(u("team") * len(TEAMS)).cast("int"), F.floor(u("temper") * len(TEMPERS)).cast("int")
-    refund = (u("refund") < 0.4).cast("int")
-    text = F.concat(_pick(TEAMS.values(), u("team")), F.when(refund == 1, F.lit(", and I want my money back. ")).otherwise(F.lit(". ")), _pick(TEMPERS, u("temper")))
-    return spark.range(n).select("id", text.alias("message"), team.alias("team"), (1 - refund).alias("refund"), temper.alias("temper"))

@@ -27,18 +27,6 @@ class Stage:
         return json.dumps(self.config, sort_keys=True)
 
 
-def flags(options: dict[str, Any]) -> list[str]:
-    """Options as command-line flags: true is bare, false and null are left out, lists repeat the values."""
-    out = []
-    for key, value in options.items():
-        if value is None or value is False:
-            continue
-        out.append("--" + key.replace("_", "-"))
-        if value is not True:
-            out += [str(v) for v in value] if isinstance(value, list | tuple) else [str(value)]
-    return out
-
-
 class Tables:
     """Stage outputs below a folder of any filesystem that Spark knows."""
 

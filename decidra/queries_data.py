@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from decidra.functions import arrays as A
 from decidra.functions import text as X
 from decidra.operators import datasets as D
-from decidra.operators import synthetic as S
 from decidra.plans import pipeline
 from decidra.queries import MD5, query, r6, table
 from decidra.sources import files, hub
@@ -33,6 +32,10 @@ def _length_task(**more) -> D.Task:
     return D.score_task("length", 5, ["How long is this text?"], F.col("text"), value=value, key="doc_id", **more)
 
 
+def _quality_task() -> D.Task:
+    return D.bool_task("doc_quality", ["Is this text of good quality?"], F.col("text"), F.col("quality") == 1, key="doc_id")
+
+
 @query("""SELECT doc_id AS id, 'choice' AS qtype, list_position(['de', 'en', 'fr'], lang) - 1 AS label_index, 'de,en,fr' AS keys, 1.0::DOUBLE AS mass FROM documents
  WHERE lang IN ('de', 'en', 'fr') AND text IS NOT NULL""")
 def choice_examples(spark, sf_dir):
@@ -153,84 +156,31 @@ def swapped_field(spark, sf_dir):
     return out.select("id", "answerable", F.get_json_object("state", "$.name").alias("name"), F.get_json_object("state", "$.kind").alias("kind"))
 
 
-# --- generators
-
-
-def _pick_sql(values: list, u: str) -> str:
-    shown = ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in values)
-    return f"([{shown}])[floor({u} * {len(values)})::INT + 1]"
-
-
-def _date_sql(day: str, style: str) -> str:
-    forms = ["%Y-%m-%d", "%B %-d, %Y", "%-d %B %Y", "%b %-d, %Y", "%A, %-d %B %Y"]
-    return "CASE floor({u} * 5)::INT {cases} END".format(u=style, cases=" ".join(f"WHEN {i} THEN strftime({day}, '{f}')" for i, f in enumerate(forms)))
-
+# --- releases and layouts
 
-def _deadline_sql(n: int, seed: int) -> str:
-    u = lambda what: _u(seed, what)
-    of = lambda f: f"([{', '.join(repr(f(s)) for s in S.SCENARIOS)}])[scenario + 1]"
-    between = lambda lo, hi, x: f"({lo} + floor({x} * ({hi} - ({lo}) + 1)))::INT"
-    r = u("size")
-    days = f"([{between(-S.MOST_EARLY, -1, r)}, {between(-S.JUST_EARLY, 0, r)}, 0, {between(1, 'grace', r)}, grace, grace + 1, {between('grace + 1', f'grace + {S.MOST_LATE}', r)}])[floor({u('near')} * 7)::INT + 1]"
-    two = f"({of(lambda s: len(s.levels) == 2)})"
-    aside = lambda i: f"replace({_pick_sql(list(S.ASIDES), u(f'aside{i}'))}, '{{n}}', {between(100, 999, u(f'n{i}'))}::VARCHAR)"
-    apart = f"abs(days) || CASE WHEN abs(days) = 1 THEN ' day ' ELSE ' days ' END || CASE WHEN days > 0 THEN 'after' ELSE 'before' END || ' the ' || {of(lambda s: s.anchor)}"
-    told = f"CASE WHEN {u('relative')} < 0.25 AND days <> 0 THEN {apart} ELSE 'on ' || {_date_sql('event', u('s2'))} END"
-    facts = [
-        f"{{'o': {u('o0')}, 't': 'The ' || {of(lambda s: s.anchor)} || ' was ' || {_date_sql('anchor', u('s1'))} || '.'}}",
-        f"{{'o': {u('o1')}, 't': 'The ' || {of(lambda s: s.event)} || ' ' || {told} || '.'}}",
-        f"{{'o': {u('o2')}, 't': {aside(0)}}}",
-        f"{{'o': {u('o3')}, 't': CASE WHEN {u('asides')} < 0.5 THEN {aside(1)} END}}",
-    ]
-    return f"""WITH a AS (SELECT i AS id, floor({_u(seed, "scenario").replace("|| id", "|| i")} * 4)::INT AS scenario FROM range({n}) t(i)),
-b AS (SELECT *, {_pick_sql(S.GRACE, u("grace"))} AS grace, DATE '2024-01-01' + floor({u("anchor")} * 1000)::INT AS anchor, {two} AS two FROM a),
-c AS (SELECT *, {days} AS days FROM b),
-d AS (SELECT *, anchor + days AS event, CASE WHEN two THEN (days > grace)::INT ELSE (days > grace)::INT + (days > 0)::INT END AS level, CASE WHEN {u("kind")} < 0.5 THEN CASE WHEN two THEN 'bool' ELSE 'score' END WHEN {u("kind")} < 0.8 THEN 'bool' ELSE 'choice' END AS qtype FROM c)
-SELECT id, scenario, grace, days, anchor::DATE AS anchor, event::DATE AS event, level, qtype, CASE qtype WHEN 'score' THEN {of(lambda s: s.how)} WHEN 'bool' THEN {of(lambda s: s.whether)} ELSE 'Apply the policy to the case.' END AS instructions,
- CASE WHEN qtype = 'bool' THEN (level > 0)::INT ELSE level END AS label_index, replace({of(lambda s: s.policy)}, '{{grace}}', grace::VARCHAR) AS policy,
- array_to_string(list_transform(list_sort([{", ".join(facts)}]), lambda x: x.t), ' ') AS "case" FROM d"""
 
-
-@query(_deadline_sql(500, 7))
-def generated_deadlines(spark, sf_dir):
-    return S.deadlines(spark, 500, 7).drop("keys")
-
-
-@query()
-def generated_policies(spark, sf_dir):
-    """Rows come from a seeded Python generator; the tests evaluate every rule again."""
-    return S.policies(spark, 300, 11).unionByName(S.policies(spark, 300, 11, hard=True)).drop("rule", "facts")
-
-
-@query("SELECT config, split, CASE split WHEN 'train' THEN 60 ELSE 20 END::BIGINT AS n FROM (VALUES ('policy'), ('policy_hard'), ('dates')) c(config), (VALUES ('train'), ('test')) s(split)")
+@query(f"""WITH ex AS (SELECT lang, row_number() OVER (ORDER BY {MD5.format(seed=13, key="doc_id")}, doc_id) AS rn, count(*) OVER () AS total FROM documents JOIN labels USING (doc_id)),
+sp AS (SELECT *, least(200, least(total, 1700)) AS ne FROM ex WHERE rn <= 1700)
+SELECT coalesce(lang, '') AS config, CASE WHEN rn <= ne // 2 THEN 'calibration' WHEN rn <= ne THEN 'dev' ELSE 'train' END AS split, count(*) AS n FROM sp GROUP BY ALL""")
 def released_sets(spark, sf_dir):
-    """The generated sets as a release folder, by config and split, read back."""
+    """The built splits of labelled documents as a release folder, by language as config and split, read back."""
     folder = files.work_dir(spark, "release")
-    made = S.generated_sets(spark, {"train": 60, "test": 20}, {"train": 21, "test": 22})
-    pipeline.release(spark, folder, {"data": made}, "# Generated sets\n", {"configs": 3})
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    made = D.splits(D.build(docs, _quality_task(), 13), _quality_task(), 13)
+    told = made.join(docs.select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("")).alias("config")), "id")
+    pipeline.release(spark, folder, {"data": told}, "# Document quality\n", {"task": "doc_quality"})
     return spark.read.parquet(f"{folder}/data").groupBy("config", "split").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH t AS (SELECT i AS id, {_pick_sql(list(S.TEAMS.values()), _u(4, "team").replace("|| id", "|| i"))} AS head, floor({_u(4, "team").replace("|| id", "|| i")} * 3)::INT AS team,
- ({_u(4, "refund").replace("|| id", "|| i")} < 0.4)::INT AS r, floor({_u(4, "temper").replace("|| id", "|| i")} * 3)::INT AS temper, {_pick_sql(list(S.TEMPERS), _u(4, "temper").replace("|| id", "|| i"))} AS tail FROM range(400) q(i))
-SELECT id, head || CASE r WHEN 1 THEN ', and I want my money back. ' ELSE '. ' END || tail AS message, team, 1 - r AS refund, temper FROM t""")
-def support_tickets(spark, sf_dir):
-    return S.tickets(spark, 400, 4)
-
-
 @query("SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
 def hub_rows(spark, sf_dir):
-    """Documents laid out as on a hub (a folder for each language as config), read back split by split."""
+    """Documents laid out as on a hub (a folder for each language as config) by one write, and read back split by split; the
+    configs are those that the folder lists, however many."""
     root = files.work_dir(spark, "hub")
     docs = table(spark, sf_dir, "documents").select("lang", "text")
-    langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").limit(20).collect()]
-    out = None
-    for i, lang in enumerate(langs):
-        own = docs.where(F.col("lang").eqNullSafe(F.lit(lang))).select("text")
-        own.write.format("json" if i % 2 else "parquet").save(f"{root}/docs/{lang}/train")
-        back = hub.load_rows(spark, root, "docs", "train", config=lang, schema="text string").withColumn("lang", F.lit(lang))
-        out = back if out is None else out.unionByName(back)
-    return out.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    docs.withColumn("config", F.coalesce("lang", F.lit("none"))).withColumn("split", F.lit("train")).write.partitionBy("config", "split").parquet(f"{root}/docs")
+    back = hub.load_configs(spark, root, "docs", "train", schema="lang string, text string")
+    return back.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("SELECT CASE doc_id % 2 WHEN 0 THEN 'train' ELSE 'test' END AS split, count(*) AS n, count(DISTINCT doc_id) AS ids FROM documents GROUP BY 1")

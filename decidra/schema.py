@@ -17,6 +17,16 @@ class InvalidQuestion(ValueError):
     """A question that breaks the rules of its type."""
 
 
+FIELDS = ("options", "levels", "yes", "no")
+#: The other dialect: its names of types, and which fields its criteria stand for in each.
+OTHER_NAMES = {"noul": "bool"}
+CRITERIA = {
+    "choice": lambda c: {"options": c},
+    "score": lambda c: {"levels": c},
+    "bool": lambda c: {"yes": c.get("true", c.get("yes")), "no": c.get("false", c.get("no"))} if isinstance(c, dict) else {},
+}
+
+
 @dataclass(frozen=True)
 class Question:
     """type: bool, choice or score. options: (key, description or None) in order, choice only. levels: lowest
@@ -62,21 +72,12 @@ class Question:
     @classmethod
     def parse(cls, raw: dict[str, Any]) -> Question:
         """From either dialect: options/levels/yes/no, or criteria; noul is another name of bool."""
-        kind = "bool" if raw["type"] == "noul" else raw["type"]
-        given = raw.get("criteria")
-        options, levels, yes, no = raw.get("options"), raw.get("levels"), raw.get("yes"), raw.get("no")
-        if given is not None:
-            options = levels = yes = no = None
-            if kind == "choice":
-                options = given
-            elif kind == "score":
-                levels = list(given)
-            elif isinstance(given, dict):
-                yes, no = (given.get(a, given.get(b)) for a, b in (("true", "yes"), ("false", "no")))
-        pairs = None
+        kind = OTHER_NAMES.get(raw["type"], raw["type"])
+        given = {k: raw.get(k) for k in FIELDS} if raw.get("criteria") is None else CRITERIA.get(kind, lambda c: {})(raw["criteria"])
+        options, levels = given.get("options"), given.get("levels")
         if options is not None:
-            pairs = tuple(options.items()) if isinstance(options, dict) else tuple((str(k), None) for k in options)
-        return cls(kind, raw["instructions"], pairs, tuple(levels) if levels is not None else None, yes, no)
+            options = tuple(options.items() if isinstance(options, dict) else ((str(k), None) for k in options))
+        return cls(kind, raw["instructions"], options, None if levels is None else tuple(levels), given.get("yes"), given.get("no"))
 
     def to_dict(self) -> dict[str, Any]:
         out: dict[str, Any] = {"type": self.type, "instructions": self.instructions}
@@ -84,7 +85,7 @@ class Question:
         return out | {k: v for k, v in extra.items() if v is not None}
 
     def option_texts(self, with_instructions: bool = False) -> list[str]:
-        """One text for each key, for scorers that embed options."""
+        """One text for each key, for scorers that embed options. The wording is fixed: scorers were trained on it."""
         if self.type == "bool":
             found = [f"Yes: {(self.yes or 'the answer is yes').strip()}", f"No: {(self.no or 'the answer is no').strip()}"]
         elif self.type == "choice":

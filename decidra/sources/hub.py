@@ -6,6 +6,7 @@ import posixpath
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from decidra.sources import files
 
@@ -33,3 +34,17 @@ def load_rows(spark: SparkSession, root: str, dataset: str, split: str, config:
     if reader and data[0].removesuffix(".gz").endswith("csv"):
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
     return (reader.schema(schema) if schema else reader).load(data)
+
+
+def load_configs(spark: SparkSession, root: str, dataset: str, split: str, revision: str | None = None, schema: str | None = None) -> DataFrame:
+    """The Parquet rows of one split of every config of a dataset, with a column config, by one read of all their
+    folders. Folders may be named by their value alone or as partitions are (config=value). Configs without the split are left
+    out; none with it is an error."""
+    folder = "/".join(x for x in (root.rstrip("/"), dataset, revision) if x)
+    value = lambda path: posixpath.basename(path).rpartition("=")[2]
+    found = [inside for config in files.listed(spark, folder) for inside in files.listed(spark, config) if value(inside) == split and inside != config]
+    if not found:
+        raise FileNotFoundError(f"no split {split!r} below {folder}")
+    reader = spark.read.schema(schema) if schema else spark.read
+    config = F.substring_index(F.element_at(F.split("_metadata.file_path", "/"), -3), "=", -1)
+    return reader.parquet(*found).withColumn("config", F.url_decode(config))

@@ -53,6 +53,27 @@ def drain(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -
     return found.select(*df.columns)
 
 
+def in_steps(spark: SparkSession, rows: DataFrame, order: str, steps: int, make: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What make gives for rows as a stream that arrives in steps: each step (an equal range of the column order) is written
+    to a folder, and a query started on it with the state of the one before, so every step is also a restart."""
+    root, low, high = work_dir(spark, name), *rows.agg(F.min(order), F.max(order)).first()
+    arrivals = spark.readStream.schema(rows.schema)
+    rows.limit(0).write.parquet(f"{root}/in")
+    out = make(arrivals.parquet(f"{root}/in"))
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/micro_batch_number={number}")
+
+    for i in range(steps if low is not None else 0):
+        step = F.least(F.floor((F.col(order) - low) * steps / (high - low + 1)), F.lit(steps - 1))
+        rows.where(F.coalesce(step, F.lit(0)) == i).write.mode("append").parquet(f"{root}/in")
+        query = out.writeStream.foreachBatch(put)
+        query.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    if low is None:
+        return spark.createDataFrame([], out.schema)
+    return spark.read.option("basePath", f"{root}/out").schema(out.schema).parquet(f"{root}/out").select(*out.columns)
+
+
 def admit(requests: DataFrame, order: list[str], queue: int = 256) -> DataFrame:
     """requests of a micro-batch with status: accepted for the first queue by order, else rejected (503, to be tried
     again). Only queue + 1 rows are ever sorted together: the place of the first one too many decides for the rest."""

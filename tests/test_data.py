@@ -1,7 +1,5 @@
 import json
 import random
-from collections import Counter
-from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,60 +71,6 @@ def test_teacher_and_resume(spark):
     assert [r.id for r in D.not_done(df, df.where("id < 3"), "id").collect()] == [3]
 
 
-def test_deadlines_are_exact(spark):
-    rows = synthetic.deadlines(spark, 2000, 3).collect()
-    kinds = Counter(r.qtype for r in rows)
-    assert set(kinds) == {"score", "bool", "choice"} and {r.grace for r in rows} == set(synthetic.GRACE) and len({r.scenario for r in rows}) == 4
-    for r in rows:
-        s = synthetic.SCENARIOS[r.scenario]
-        past = (r.event - r.anchor).days
-        level = (past > r.grace) + (len(s.levels) == 3 and past > 0)
-        assert (r.days, r.level) == (past, level) and r["keys"][r.label_index] is not None
-        assert r.label_index == (int(level > 0) if r.qtype == "bool" else level) and (r.qtype != "score" or len(s.levels) == 3)
-        assert str(r.grace) in r.policy and s.anchor in r.case and r.case.count(".") >= 3
-        if f"{abs(past)} day" not in r.case and past:  # given as a date in one of the five styles
-            assert r.event.isoformat() in r.case or f"{r.event.day}" in r.case
-    near = Counter(0 if r.days == 0 else 1 if r.days == r.grace else 2 if r.days == r.grace + 1 else 3 for r in rows)
-    assert min(near[0], near[1], near[2]) > 200  # days cluster at the boundaries
-    shown = [spark.range(1).select(synthetic.format_date(F.lit(date(2025, 11, 9)), F.lit(i))).first()[0] for i in range(5)]
-    assert shown == ["2025-11-09", "November 9, 2025", "9 November 2025", "Nov 9, 2025", "Sunday, 9 November 2025"]
-
-
-@pytest.mark.parametrize("hard", [False, True])
-def test_generated_policies_are_exact(spark, hard):
-    rows = synthetic.policies(spark, 1200, 5, hard).collect()
-    assert [tuple(r) for r in synthetic.policies(spark, 1200, 5, hard).where("id = 7").collect()] == [tuple(r) for r in rows if r.id == 7]
-    kinds = Counter((r.qtype, len(r["keys"])) for r in rows)
-    # a two-way choice without its fact is drawn again, so the others get a little more than their shares
-    assert 0.37 < kinds["bool", 2] / 1200 < 0.48 and 0.22 < kinds["choice", 2] / 1200 < 0.33 and 0.27 < kinds["choice", 3] / 1200 < 0.38
-    assert 0.08 < sum(r.lost is not None for r in rows) / 1200 < 0.2
-    for r in rows:
-        rule, facts = json.loads(r.rule), json.loads(r.facts)
-        assert r.verdict == synthetic.holds(rule, facts)
-        if r.lost is None:
-            assert r.answerable and r["keys"][r.label_index] in (("yes", "approve") if r.verdict else ("no", "reject"))
-            assert all(f.lower() in r.case.lower() for f in facts)
-        else:
-            assert synthetic.is_needed(rule, facts, r.lost) and f"{r.lost}:" not in r.case.lower()
-            assert not r.answerable if r.qtype == "bool" else r["keys"][r.label_index] == synthetic.MISSING and r.answerable
-
-    def depth(rule):
-        if rule[0] in ("all", "any") and isinstance(rule[1], list):
-            return 1 + max(map(depth, rule[1]))
-        return 1 + max(map(depth, rule[1:])) if rule[0] in ("not", "if") else 0
-
-    deepest = max(depth(json.loads(r.rule)) for r in rows)
-    assert deepest == (3 if hard else 2)
-
-
-def test_generated_sets_differ_by_split(spark):
-    sets = synthetic.generated_sets(spark, {"train": 30, "test": 10}, {"train": 1, "test": 2})
-    counts = {(r.config, r.split): r["count"] for r in sets.groupBy("config", "split").count().collect()}
-    assert counts == {(c, s): n for c in ("policy", "policy_hard", "dates") for s, n in (("train", 30), ("test", 10))}
-    state = {(r.config, r.split, r.id): r.state for r in sets.collect()}
-    assert all(state[c, "train", 0] != state[c, "test", 0] for c in ("policy", "policy_hard", "dates"))
-
-
 def test_policies(spark):
     tests = [synthetic.Test("a", "gt", 5), synthetic.Test("b", "in", ("x", "y")), synthetic.Test("a", "between", (1, 3)), synthetic.Test("b", "same", "c"), synthetic.Test("c", "has_word", "x")]
     df = spark.createDataFrame([(a, b, c) for a in range(8) for b in "xyz" for c in ("x", "y w", "z")], "a int, b string, c string")
@@ -140,7 +84,8 @@ def test_policies(spark):
 
     rng = random.Random(4)
     for _ in range(5):
-        rule = synthetic.random_rule(rng, tests, 3)
+        picked = [synthetic.Rule("not", (t,)) if rng.random() < 0.3 else t for t in rng.sample(tests, 4)]
+        rule = synthetic.Rule(rng.choice(["all", "any"]), (synthetic.Rule(rng.choice(["all", "any"]), tuple(picked[:2])), *picked[2:]))
         out = synthetic.policy_cases(df, rule, "a", [0, 2, 7]).collect()
         for r in out:
             d = r.asDict()
@@ -187,7 +132,6 @@ def test_stages_are_skipped_when_done(spark, tmp_path):
     P.run(spark, stages, str(tmp_path))
     assert ran == ["a", "b"]
     assert [(r.stage, r.done, r.rows) for r in P.manifest(spark, stages, str(tmp_path)).collect()] == [("a", True, 3), ("b", True, 2)]
-    assert P.flags({"alpha": 0.1, "fast": True, "slow": False, "none": None, "xs": [1, 2]}) == ["--alpha", "0.1", "--fast", "--xs", "1", "2"]
     with pytest.raises(ValueError):
         P.run(spark, [stages[0], stages[0]], str(tmp_path))
     changed = [P.Stage("a", make("a"), {"n": 2}), stages[1]]
