@@ -657,4 +657,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_summary(spark, sf_dir)
 
 
-from decidra import queries_data, queries_io, queries_service  # noqa: E402, F401
+from decidra import queries_data, queries_io, queries_models, queries_service  # noqa: E402, F401
