@@ -56,7 +56,7 @@ def levels() -> Column:
 def summary(scored: DataFrame) -> DataFrame:
     """One row for each level and key: all metrics; score_mae is null without score items and evidence_auc
     null if no item is unanswerable (NaN if none is answerable)."""
-    items = per_item(scored)
+    items = written(per_item(scored))  # read by the sums, and twice for the ranks
     rolled = binned(items, ECE_BINS, "qtype", "source").withColumn("l", levels())
     totals = [F.sum(c).alias(c) for c in ["n", *SUMS, "n_score"]]
     bins = rolled.groupBy("l.level", "l.key", "bin").agg(*totals)

@@ -5,7 +5,7 @@ A log row is (registry, seq, op, name, body); a registry is one tenant's set of
 state is bounded however long the log is. Rows of a registry are taken by seq, across micro-batches in the order in which they
 arrive: the order is part of the meaning, so one registry is one key. Many registries run beside each other.
 
-`follow` is the stream (state in the checkpoint, so a restart goes on where it was), `replay` the same over a table. What a run
+What a row brought (a run's state) comes back with its answer as given. `follow` is the stream (state in the checkpoint, so a restart goes on where it was), `replay` the same over a table. What a run
 is to do comes back with the agent as registered then; `decide_runs` walks those agents' graphs as tables.
 """
 
@@ -22,7 +22,7 @@ from decidra.operators import graph_tables
 from decidra.operators.agent import Agent
 from decidra.schema import LIMITS
 
-RESULT = "registry string, seq long, op string, name string, status int, agent string, names array<string>, detail string"
+RESULT = "registry string, seq long, op string, name string, status int, agent string, names array<string>, detail string, given string"
 COLUMNS = [c.split(" ")[0] for c in RESULT.split(", ")]
 
 
@@ -55,7 +55,7 @@ def _apply(agents: dict[str, str], rows: pd.DataFrame, most: int) -> pd.DataFram
             status, detail = 404, "no agent of that name"
         else:
             shown = agents.pop(name) if op == "delete" else agents[name]
-        out.append((registry, seq, op, name, status, shown, names, detail))
+        out.append((registry, seq, op, name, status, shown, names, detail, body))
     return pd.DataFrame(out, columns=COLUMNS)
 
 

@@ -223,3 +223,70 @@ def test_windows_keep_the_last_values(spark):
         values = sorted([r[3] for r in good if r[3] is not None][-10:])
         assert (last[route].requests, last[route].errors, last[route].kept) == (len(good), sum(r[0] == route and r[2] != "ok" for r in rows), 10)
         assert [last[route].p50, last[route].p95, last[route].p99] == [values[5], values[9], values[9]]
+
+
+# --- routes
+
+
+def service(spark, rows, **more):
+    from decidra.streaming.routes import respond
+
+    df = spark.createDataFrame([(i, "POST", path, None, body if body is None or isinstance(body, str) else json.dumps(body)) for i, (path, body) in enumerate(rows)], "request long, method string, path string, authorization string, body string")
+    return {r.request: (r.status, json.loads(r.body), r.route) for r in respond(df, answered, "own", **more).collect()}
+
+
+def answered(asked):
+    """The longer the state, the surer of the first option."""
+    p = F.least(F.lit(0.9), F.length("state") / 20)
+    n = F.size("keys")
+    rest = F.transform(F.sequence(F.lit(1), n - 1), lambda _: (1 - p) / (n - 1))
+    return asked.withColumn("probs", F.concat(F.array(p), rest)).withColumn("evidence", F.lit(0.5))
+
+
+QUESTIONS = {"b": {"type": "noul", "instructions": "?"}, "c": {"type": "choice", "instructions": "?", "criteria": {"x": None, "y": "z"}}, "s": {"type": "score", "instructions": "?", "criteria": ["lo", "hi"]}}
+
+
+def test_grouped_and_batched_requests(spark):
+    one = {"state": "x" * 8, "questions": QUESTIONS}
+    bad = {"state": "x", "questions": {"q": {"type": "bool", "instructions": " "}}}
+    many = {"requests": [{"state": "x", "questions": {f"q{i}": ASK for i in range(255)}}] * 3}
+    rows = [
+        ("/v1/decide/grouped", one), ("/v1/decide/grouped", bad), ("/v1/decide/batch", {"requests": [one, bad, {"state": "", "questions": {"c": QUESTIONS["c"]}}]}), ("/v1/decide/batch", {"requests": []}),
+        ("/v1/decide/batch", None), ("/v1/decide/batch", {"requests": [one] * 129}), ("/v1/decide/batch", many), ("/v1/decide/batch", {"requests": [one] * 60}), ("/v1/decide/batch", {"requests": [3, None]}),
+    ]
+    got = service(spark, rows)
+    assert [got[i][0] for i in range(9)] == [200, 422, 200, 422, 422, 422, 422, 200, 200]
+    whole = got[0][1]
+    assert whole["nouls"]["b"]["noul"] == whole["nouls"]["b"]["p_true"] == 0.5 and whole["choices"]["c"]["choice"] == "x" and whole["scores"]["s"]["score"] == 0.5
+    results = got[2][1]["results"]
+    assert results[0] == whole and results[1]["status"] == 422 and "detail" in results[1] and results[2]["choices"]["c"]["probabilities"]["x"] == 0.1
+    assert got[2][1]["usage"] == {"requests": 3, "decisions": 5} and "129 requests" in got[5][1]["detail"] and "765 decisions" in got[6][1]["detail"]
+    assert len(got[7][1]["results"]) == 60 and all(r == whole for r in got[7][1]["results"])
+    assert [r["status"] for r in got[8][1]["results"]] == [422, 422]
+
+
+def test_graph_requests_and_pages(spark):
+    graph = {"start": "a", "nodes": {"a": {"question": ASK, "edges": {"yes": "b"}, "default": "other"}, "b": {"question": QUESTIONS["c"], "edges": {"x": "end"}, "min_probability": 0.8, "fallback": "other"}, **ENDS}}
+    loop = {"start": "a", "nodes": {"a": {"question": ASK, "edges": {"yes": "b", "no": "b"}}, "b": {"question": ASK, "edges": {"yes": "a", "no": "a"}}}}
+    rows = [("/v1/decide_graph", {"state": "x" * n, "graph": graph}) for n in (2, 12, 18)] + [("/v1/decide_graph", {"state": "x", "graph": loop}), ("/v1/decide_graph", None), ("/v1/agents", {}), ("/metrics", None)]
+    got = service(spark, rows, stats={"requests": 3}, metrics="m 1\n")
+    assert [got[i][0] for i in range(7)] == [200, 200, 200, 422, 422, 409, 405] and "cycle" in got[3][1]["detail"]
+    assert json.loads(got[0][1]["outcome"]) == {"a": 1} and [s["node"] for s in got[1][1]["path"]] == ["a", "b"] and got[1][1]["path"][1]["guard"].startswith("probability 0.70")
+    assert got[2][1]["outcome"] == "end" and got[2][1]["path_probability"] == 0.81 and got[2][1]["complete"]
+
+
+def test_agents_through_requests(spark):
+    from decidra.streaming import routes
+
+    raw = json.loads(agent("a", 1))
+    calls = [("POST", "/v1/agents", raw), ("POST", "/v1/agents/a/run", {"state": "x" * 30}), ("GET", "/v1/agents", None), ("POST", "/v1/agents", raw | {"actions": {"y": {"action": "stop", "arguments": {"n": 1}}}}),
+             ("POST", "/v1/agents/a/run", {"state": "x" * 30}), ("DELETE", "/v1/agents/a", None), ("POST", "/v1/agents/a/run", {"state": ""}), ("GET", "/v1/agents/a", None), ("POST", "/v1/agents", {"name": "b"}), ("GET", "/v1/agents/b/c", None)]
+    rows = [(i, t, m, p, None, b and json.dumps(b)) for i, (m, p, b) in enumerate(calls) for t in ("t1",)]
+    df = spark.createDataFrame(rows, "seq long, tenant string, method string, path string, authorization string, body string")
+    log_ = routes.agent_log(df, "tenant", "seq")
+    streamed = in_steps(spark, log_, "seq", 3, registry.follow, "agents")
+    for found in (registry.replay(log_), streamed):
+        got = {r.request: (r.status, json.loads(r.body)) for r in routes.agent_responses(found, answered, "own").collect()}
+        assert {i: s for i, (s, _) in got.items()} == {0: 200, 1: 200, 2: 200, 3: 200, 4: 200, 5: 200, 6: 404, 7: 404, 8: 422}
+        assert got[1][1]["action"] == "go" and got[4][1]["action"] == "stop" and json.loads(got[4][1]["arguments"]) == {"n": 1} and got[1][1]["outcome"] == "y"
+        assert got[2][1] == {"agents": ["a"]} and got[5][1] == {"deleted": "a"}
