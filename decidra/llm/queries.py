@@ -144,13 +144,16 @@ hc AS (SELECT doc_id, count(*) AS n_repeat_words FROM h GROUP BY doc_id),
 c AS (SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(x, '[ \\x09-\\x0D]', '', 'g')) AS word_chars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS n_symbols,
  len({_LINES}) - len(list_distinct({_LINES})) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len({_LINES}) AS n_lines, length(x) - length(regexp_replace(x, '[A-Z]', '', 'g')) AS n_upper FROM d LEFT JOIN hc USING (doc_id)),
 m AS (SELECT lang, source, u.metric, CASE WHEN u.r <= {rules.LEAST} THEN 0 ELSE ceil(ln(u.r / {rules.LEAST}) / {math.log(rules.GAMMA)!r}) END AS bin
- FROM (SELECT lang, source, unnest([{", ".join(f"{{'metric': '{n}', 'r': {r}}}" for n, r in _RATIO.items())}]) AS u FROM c)),
+ FROM (SELECT lang, source, unnest([{", ".join(f"{{'metric': '{n}', 'r': {r}}}" for n, r in (_RATIO | {n: f"{n}::DOUBLE" for n in rules.LENGTHS}).items())}]) AS u FROM c)),
 own AS (SELECT lang, source, metric, bin, count(*) AS n FROM m GROUP BY ALL),
 lv AS (SELECT 0 AS lvl, lang, source, metric, bin, n FROM own UNION ALL SELECT 1, lang, NULL, metric, bin, sum(n) FROM own GROUP BY lang, metric, bin UNION ALL SELECT 2, NULL, NULL, metric, bin, sum(n) FROM own GROUP BY metric, bin),
 cu AS (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lvl, lang, source, metric) AS total FROM lv),
-q AS (SELECT lvl, lang, source, metric, any_value(total)::DOUBLE AS total, min(bin) FILTER (WHERE upto >= 0.5 * total) AS b50, min(bin) FILTER (WHERE upto >= 0.25 * total) AS b25 FROM cu GROUP BY ALL),
-v AS (SELECT *, CASE WHEN b50 = 0 THEN 0 ELSE {rules.LEAST} * {rules.GAMMA}::DOUBLE ** b50 END AS mid, CASE WHEN b25 = 0 THEN 0 ELSE {rules.LEAST} * {rules.GAMMA}::DOUBLE ** b25 END AS low FROM q),
-f AS (SELECT lvl, lang, source, metric, total, (mid + {rules.REACH} * greatest(mid - low, CASE metric {" ".join(f"WHEN '{n}' THEN {s}" for n, _, _, s in rules.METRICS)} END))::DOUBLE AS fence FROM v),
+q AS (SELECT lvl, lang, source, metric, k, any_value(total)::DOUBLE AS total, min(bin) AS bin FROM cu CROSS JOIN range({rules.LEVELS[0]}, {rules.LEVELS[-1] + 1}) r(k) WHERE 100 * upto >= k * total GROUP BY ALL),
+v AS (SELECT lvl, lang, source, metric, any_value(total) AS total, list(CASE WHEN bin = 0 THEN 0 ELSE {rules.LEAST} * {rules.GAMMA}::DOUBLE ** bin END ORDER BY k) AS v FROM q GROUP BY lvl, lang, source, metric),
+gr AS (SELECT a.*, CASE a.metric {" ".join(f"WHEN '{n}' THEN {g}" for n, _, _, g in rules.METRICS)} END / greatest(1.0::DOUBLE, b.v[1]) AS grain FROM v a
+ JOIN v b ON a.lvl = b.lvl AND a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source AND b.metric = CASE a.metric {" ".join(f"WHEN '{n}' THEN '{u}'" for n, _, u, _ in rules.METRICS)} END),
+ju AS (SELECT *, list_filter(range(1, {len(rules.LEVELS)}), lambda i: v[i + 1] - v[i] >= {rules.JUMP} * grain)[1] AS j FROM gr),
+f AS (SELECT lvl, lang, source, metric, total, (CASE WHEN j IS NOT NULL THEN (v[j] + v[j + 1]) / 2 ELSE v[{len(rules.LEVELS)}] + greatest({rules.REACH} * (v[{len(rules.LEVELS)}] - v[1]), {rules.ROOM} * grain) END)::DOUBLE AS fence FROM ju),
 t AS (SELECT a.lang, a.source, a.metric, (a.total * a.fence + {_S} * ((b.total * b.fence + {_S} * e.fence) / (b.total + {_S}))) / (a.total + {_S}) AS fence
  FROM f a JOIN f b ON b.lvl = 1 AND b.metric = a.metric AND b.lang IS NOT DISTINCT FROM a.lang JOIN f e ON e.lvl = 2 AND e.metric = a.metric WHERE a.lvl = 0),
 pv AS (SELECT lang, source, {", ".join(f"max(fence) FILTER (WHERE metric = '{n}') AS t_{n}" for n in _RATIO)} FROM t GROUP BY lang, source),

@@ -6,17 +6,19 @@ a histogram over geometric bins: two sketches merge by adding counts, so partial
 add up to the same result in any order, and the sketch of a language or of the whole corpus is the
 sum of its groups'. A quantile read from it is within ``(GAMMA - 1)`` of the true one, relatively.
 
-fence = median + REACH * max(median - lower quartile, spread of the metric)
+A group's fence comes from its own upper half: the quantiles at 50, 51, ... 99 percent. Junk is apart from the rest, so going up from the
+median the first jump between two of these levels shows where it begins, whatever share of the group it is:
+
+    fence = the middle of the first jump of JUMP grains or more,
+            without one: the 99 percent level + the larger of REACH * (that level - median) and ROOM grains
+
+A grain is the least step that the ratio can take in a document of the group's median length (one symbol, one capital, one line, three
+words), read from the sketches of the lengths; so what counts as a jump is the group's own matter too. A few documents within a jump
+don't hide it, as a level is a percent of the group.
 
-The lower half sets the width because junk lies above the median; it may be up to half of a group.
 The fence of a group of n documents is shrunk towards that of its language's sketch, and the latter towards
 that of all documents: (n * own + SHRINK * wider) / (n + SHRINK). So a group decides for itself in so far
 as it has rows; there is no size at which it stops to count, and no fence lies outside those it is made of.
-
-The least spread of a metric is the width where half of a group or more has the same value. Clean prose
-has no symbols and no repeated lines or windows at all, so for those three metrics that floor, REACH times the
-spread above the median, is what decides in such groups; groups whose own median is above zero (code,
-tables) move it.
 """
 
 from __future__ import annotations
@@ -32,17 +34,21 @@ from .common import cut, packed, unpacked, utf8
 
 GAMMA = 1.02
 LEAST = 1e-4
-REACH = 8.0
+REACH, JUMP, ROOM = 8.0, 32.0, 64.0
+#: Quantile levels in percent.
+LEVELS = range(50, 100)
 #: Documents of its group that weigh as much as the wider fence.
 SHRINK = 20.0
 BROADCAST_GROUPS = 100_000
-#: name, numerator, denominator, least spread
+#: name, numerator, denominator, numerator of a grain
 METRICS = [
-    ("symbols", "n_symbols", "word_chars", 0.005),
-    ("capitals", "n_upper", "word_chars", 0.01),
-    ("lines", "n_dup_lines", "n_lines", 0.05),
-    ("repeats", "n_repeat_words", "n_words", 0.05),
+    ("symbols", "n_symbols", "word_chars", 1),
+    ("capitals", "n_upper", "word_chars", 1),
+    ("lines", "n_dup_lines", "n_lines", 1),
+    ("repeats", "n_repeat_words", "n_words", 3),
 ]
+#: Lengths whose sketches give the grains.
+LENGTHS = ["word_chars", "n_lines", "n_words"]
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
 UPPER = bytes(range(65, 91))
@@ -111,7 +117,8 @@ def _ratio(top: str, under: str) -> Column:
 
 def sketches(counts: DataFrame) -> DataFrame:
     """lang, source, metric, bin, n: the sketch of each group, summed map-side before any shuffle."""
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), _bin(_ratio(a, b)).alias("bin")) for name, a, b, _ in METRICS]))
+    values = [(name, _ratio(a, b)) for name, a, b, _ in METRICS] + [(name, F.col(name).cast("double")) for name in LENGTHS]
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), _bin(value).alias("bin")) for name, value in values]))
     return counts.select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.metric", "x.bin").agg(F.count("*").alias("n"))
 
 
@@ -122,15 +129,21 @@ def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(group))
 
-    def quantile(q: float) -> Column:
-        at = F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin")))
-        return F.when(at == 0, F.lit(0.0)).otherwise(LEAST * F.pow(F.lit(GAMMA), at))
-
-    width = F.create_map(*[F.lit(v) for name, _, _, spread in METRICS for v in (name, spread)])
-    each = ranked.groupBy(*keys, "metric").agg(quantile(0.5).alias("mid"), quantile(0.25).alias("low"), F.first("total").alias("total"))
-    fence = F.col("mid") + REACH * F.greatest(F.col("mid") - F.col("low"), F.element_at(width, F.col("metric")))
-    picked = [F.max(F.when(F.col("metric") == name, fence)).alias(name) for name, *_ in METRICS]
-    return each.groupBy(*keys).agg(F.max("total").cast("double").alias("n_group"), *picked)
+    level = lambda k: F.min(F.when(100 * F.col("upto") >= k * F.col("total"), F.col("bin")))
+    each = ranked.groupBy(*keys, "metric").agg(F.array(*[level(k) for k in LEVELS]).alias("bins"), F.first("total").alias("total"))
+    value = lambda b: F.when(b == 0, F.lit(0.0)).otherwise(LEAST * F.pow(F.lit(GAMMA), b))
+    each = each.withColumn("v", F.transform("bins", value))
+    picked = [F.max(F.when(F.col("metric") == name, F.col("v"))).alias(name) for name in [m[0] for m in METRICS] + LENGTHS]
+    whole = each.groupBy(*keys).agg(F.max("total").cast("double").alias("n_group"), *picked)
+    return whole.select(*keys, "n_group", *[_fence(F.col(name), grain / F.greatest(F.lit(1.0), F.get(under, F.lit(0)))).alias(name) for name, _, under, grain in METRICS])
+
+
+def _fence(v: Column, grain: Column) -> Column:
+    """The fence of a metric from its values at LEVELS."""
+    step = lambda i: F.get(v, i + 1) - F.get(v, i)
+    first = F.get(F.filter(F.sequence(F.lit(0), F.lit(len(LEVELS) - 2)), lambda i: step(i) >= JUMP * grain), F.lit(0))
+    top = F.get(v, F.lit(len(LEVELS) - 1))
+    return F.when(first.isNotNull(), (F.get(v, first) + F.get(v, first + 1)) / 2).otherwise(top + F.greatest(REACH * (top - F.get(v, F.lit(0))), ROOM * grain))
 
 
 def thresholds(counts: DataFrame, shrink: float = SHRINK) -> DataFrame:

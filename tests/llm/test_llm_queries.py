@@ -113,31 +113,38 @@ def brute_rules(docs):
     counts = {d["doc_id"]: dict(zip(rules.COUNTS, rules.count_text((d["text"] or "").encode()))) for d in docs}
     ratio = lambda c, a, b: c[a] / c[b] if c[b] else 0.0
     bin_ = lambda r: 0 if r <= rules.LEAST else math.ceil(math.log(r / rules.LEAST) / math.log(rules.GAMMA))
-    sketch = defaultdict(Counter)
+    groups = defaultdict(list)
     for d in docs:
-        for name, a, b, _ in rules.METRICS:
-            for key in ((d["lang"], d["source"]), (d["lang"],), ()):
-                sketch[key, name][bin_(ratio(counts[d["doc_id"]], a, b))] += 1
-
-    def quantile(s, q):
-        upto, total = 0, sum(s.values())
-        for b in sorted(s):
-            upto += s[b]
-            if upto >= q * total:
-                return 0.0 if b == 0 else rules.LEAST * rules.GAMMA**b
-
-    def fence(keys, name, spread):
-        s, n = sketch[keys[0], name], sum(sketch[keys[0], name].values())
-        own = quantile(s, 0.5) + rules.REACH * max(quantile(s, 0.5) - quantile(s, 0.25), spread)
-        return own if len(keys) == 1 else (n * own + rules.SHRINK * fence(keys[1:], name, spread)) / (n + rules.SHRINK)
+        for key in ((d["lang"], d["source"]), (d["lang"],), ()):
+            groups[key].append(counts[d["doc_id"]])
+
+    def levels(values):
+        bins = sorted(map(bin_, values))
+        found = [bins[-(-k * len(bins) // 100) - 1] for k in rules.LEVELS]
+        return [0.0 if b == 0 else rules.LEAST * rules.GAMMA**b for b in found]
+
+    def own_fence(group, a, b, size):
+        v, grain = levels([ratio(c, a, b) for c in group]), size / max(1.0, levels([float(c[b]) for c in group])[0])
+        for lo, hi in zip(v, v[1:]):
+            if hi - lo >= rules.JUMP * grain:
+                return (lo + hi) / 2
+        return v[-1] + max(rules.REACH * (v[-1] - v[0]), rules.ROOM * grain)
+
+    cache = {}
+
+    def fence(keys, *metric):
+        if (keys[0], metric) not in cache:
+            own, n = own_fence(groups[keys[0]], *metric), len(groups[keys[0]])
+            cache[keys[0], metric] = own if len(keys) == 1 else (n * own + rules.SHRINK * fence(keys[1:], *metric)) / (n + rules.SHRINK)
+        return cache[keys[0], metric]
 
     out = []
     for d in docs:
         c = counts[d["doc_id"]]
         keys = [(d["lang"], d["source"]), (d["lang"],), ()]
         ok = c["n_words"] >= 50 and 100 * c["n_repeat_words"] <= 50 * c["n_words"]
-        for name, a, b, spread in rules.METRICS:
-            ok = ok and ratio(c, a, b) <= fence(keys, name, spread)
+        for _, a, b, grain in rules.METRICS:
+            ok = ok and ratio(c, a, b) <= fence(keys, a, b, grain)
         if ok:
             out.append(d)
     return out
