@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -38,9 +40,36 @@ def option_line(label: Column, key: Column, desc: Column) -> Column:
 
 
 def label_alphabet(n: int) -> list[str]:
-    """The first n display labels: A..Z, then AA, AB, ..."""
+    """The first n display labels: A..Z, then AA, AB, ... There are 702."""
     letters = [chr(65 + i) for i in range(26)]
-    return (letters + [a + b for a in letters for b in letters])[:n]
+    every = letters + [a + b for a in letters for b in letters]
+    if n > len(every):
+        raise ValueError(f"{n} labels, there are {len(every)}")
+    return every[:n]
+
+
+@dataclass(frozen=True)
+class Alphabet:
+    """Display labels that a tokenizer writes as one token each (behind a blank), their ids, and the ids of yes and no."""
+
+    labels: tuple[str, ...]
+    ids: tuple[int, ...]
+    yes: int
+    no: int
+
+    @classmethod
+    def of(cls, encode: Callable[[str], list[int]], size: int = 255) -> Alphabet:
+        """The first ``size`` such labels. A tokenizer that has fewer of them, or needs several tokens for yes or no, is an error."""
+        single = {word: ids[0] for word in [*label_alphabet(702), "yes", "no"] if len(ids := encode(f" {word}")) == 1}
+        lost = {"yes", "no"} - single.keys()
+        labels = [w for w in single if w not in ("yes", "no")][:size]
+        if lost or len(labels) < size:
+            raise ValueError(f"{len(labels)} labels of one token, {size} are needed; more than one for {sorted(lost)}")
+        return cls(tuple(labels), tuple(single[w] for w in labels), single["yes"], single["no"])
+
+    def option_ids(self, qtype: Column, n: Column) -> Column:
+        """The ids whose logits answer a question of n options, for arrays.label_readout."""
+        return F.when(qtype == "bool", F.array(F.lit(self.yes), F.lit(self.no))).otherwise(F.slice(F.array(*[F.lit(i) for i in self.ids]), F.lit(1), n))
 
 
 def _rendered(value) -> str:
