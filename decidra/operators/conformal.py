@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from decidra.functions import arrays as A
 from decidra.sources.files import written
 
+#: Types of questions that thresholds may be given for.
+MOST_TYPES = 256
 ACT_GRID = [round(0.5 + 0.01 * i, 2) for i in range(50)]
 #: Buckets of scores double in width so many times as often as scores do: fine near 0, where confident scores crowd.
 PER_OCTAVE, LEAST_SCORE = 256, 2.0**-40
@@ -122,9 +124,14 @@ def should_act(probs: Column, threshold: Column) -> Column:
 
 
 def decorate(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """scored with pred_set and act; both null for a type that has no thresholds. thresholds: a row a type."""
+    """scored with pred_set and act; both null for a type that has no thresholds. thresholds: a row a type, at most MOST_TYPES
+    (more are an error): they are read once, made a local table and broadcast."""
     small = thresholds.select(F.col("qtype").alias("t_qtype"), "set_threshold", "act_threshold")
-    joined = scored.join(F.broadcast(small), F.col("qtype") == F.col("t_qtype"), "left")
+    rows = small.limit(MOST_TYPES + 1).collect()
+    if len(rows) > MOST_TYPES:
+        raise ValueError(f"thresholds of more than {MOST_TYPES} types")
+    local = scored.sparkSession.createDataFrame(rows, small.schema)
+    joined = scored.join(F.broadcast(local), F.col("qtype") == F.col("t_qtype"), "left")
     known = F.col("t_qtype").isNotNull()
     own_set = F.when(known, prediction_set(F.col("probs"), F.col("set_threshold")))
     return joined.withColumn("pred_set", own_set).withColumn("act", F.when(known, should_act(F.col("probs"), F.col("act_threshold")))).drop("t_qtype", "set_threshold", "act_threshold")

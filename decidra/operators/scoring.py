@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from decidra.functions import arrays as A
 from decidra.schema import LIMITS, check_limits
+from decidra.sources.files import written
 
 COSINE_SCALE = 20.0
 
@@ -113,8 +114,9 @@ def evidence_head(vector: Column, weights: list[float], bias: float) -> Column:
 
 
 def encode_distinct(df: DataFrame, text: str, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Every distinct text is encoded once and joined back. encode adds columns to a table of that one column."""
-    coded = encode(df.select(F.col(text).alias("_text")).distinct())
+    """Every distinct text is encoded once and joined back. encode adds columns to a table of that one column. What it gives is
+    written, so that Spark can split the join at a text that very many rows have."""
+    coded = written(encode(df.select(F.col(text).alias("_text")).distinct()))
     return df.join(coded, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
 
 

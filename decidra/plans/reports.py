@@ -13,6 +13,7 @@ from decidra.plans.pipeline import cell, markdown
 from decidra.sources import files
 from decidra.sources.records import write_scored
 
+MOST_KEYS = 10_000
 COLUMNS = ["level", "key", "count", "accuracy", "brier", "nll", "ece", "mean_confidence"]
 
 
@@ -22,8 +23,11 @@ def scored_path(report: str) -> str:
 
 
 def report(scored: DataFrame) -> dict[str, Any]:
-    """overall, by_type, by_source and reliability. Bounded by types, sources and bins, not by items."""
-    rows = [r.asDict() for r in metrics.summary(scored).orderBy("level", "key").collect()]
+    """overall, by_type, by_source and reliability. A report has a row a type and source, MOST_KEYS at most; more are an error:
+    metrics.summary gives them as a table."""
+    rows = [r.asDict() for r in metrics.summary(scored).orderBy("level", "key").limit(MOST_KEYS + 1).collect()]
+    if len(rows) > MOST_KEYS:
+        raise ValueError(f"a report of more than {MOST_KEYS} types and sources")
     by = lambda level: {r["key"]: {k: v for k, v in r.items() if k not in ("level", "key")} for r in rows if r["level"] == level}
     overall = by("overall")
     return {"overall": overall.get("", {"count": 0}), "by_type": by("type"), "by_source": by("source"), "reliability": [r.asDict() for r in metrics.reliability(scored).orderBy("bin").collect()]}

@@ -8,19 +8,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from decidra.sources import files
 from decidra.sources.files import work_dir
 
 
+#: Parts that a failing micro-batch is cut into, and how often.
+PARTS, CUTS = 8, 3
+
+
 def decide(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, dead: str, once: bool = True) -> StreamingQuery:
-    """Answer every micro-batch and append it to out. A batch that fails goes to dead with its reason, and the
-    stream goes on. Batch ids name the folders, so a batch that is run again replaces its own output."""
+    """Answer every micro-batch and append it to out. Of a batch that fails the parts that don't fail are answered: it is cut by a
+    hash into PARTS parts, a failing part again, CUTS times or down to one row; what still fails goes to dead with its reason,
+    and the stream goes on. Batch ids name the folders, so a batch that is run again replaces its own output."""
 
     def run(batch: DataFrame, number: int) -> None:
+        target, lost = f"{out}/batch={number}", f"{dead}/batch={number}"
         held = batch.persist()
+        plain = [f.name for f in batch.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+        for folder in (target, lost):
+            files.drop(batch.sparkSession, folder)
+
+        def attempt(rows: DataFrame, cuts: int) -> None:
+            try:
+                answer(rows).write.mode("append").parquet(target)
+            except Exception as problem:  # bad rows must not stop the stream
+                if cuts == CUTS or rows.count() <= 1:
+                    rows.withColumn("problem", F.lit(str(problem)[:500])).write.mode("append").parquet(lost)
+                    return
+                part = F.pmod(F.xxhash64(F.lit(cuts), *[F.col(f"`{c}`") for c in plain]), F.lit(PARTS))
+                for i in range(PARTS):
+                    attempt(rows.where(part == i), cuts + 1)
+
         try:
-            answer(held).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        except Exception as problem:  # one bad batch must not stop the stream
-            held.withColumn("problem", F.lit(str(problem)[:500])).write.mode("overwrite").parquet(f"{dead}/batch={number}")
+            attempt(held, 0)
         finally:
             held.unpersist()
 

@@ -205,6 +205,12 @@ def test_streams(spark, tmp_path):
     lost = spark.read.parquet(dead)
     assert lost.count() == 20 and lost.first().problem == "no model"
 
+    bad = F.when(F.col("id") == 13, F.raise_error(F.lit("unlucky"))).otherwise(F.col("id"))
+    RQ.decide(stream, lambda df: df.withColumn("answer", bad.cast("long")), out + "3", str(tmp_path / "c3"), dead + "3").awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(out + "3").collect()) == [i for i in range(20) if i != 13]
+    lost = spark.read.parquet(dead + "3").collect()
+    assert [r.id for r in lost] == [13] and "unlucky" in lost[0].problem
+
 
 def test_turns(spark, tmp_path):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (1, 2, "user", "again"), (2, 0, "user", None)]
@@ -238,7 +244,7 @@ def test_routes(spark):
     df = spark.createDataFrame(rows, "request long, method string, path string, authorization string, body string")
     answer = lambda t: t.withColumn("probs", F.array(F.lit(3.0), F.lit(1.0))).withColumn("evidence", F.lit(1.0))
     got = {r.request: r for r in respond(df, answer, 'm"', {"t": '{"name": "t"}'}, "k").collect()}
-    assert {k: r.status for k, r in got.items()} == {1: 200, 2: 401, 3: 422, 4: 422, 5: 200, 6: 405, 7: 404, 8: 404, 9: 200, 10: 404, 11: 404, 12: 422}
+    assert {k: r.status for k, r in got.items()} == {1: 200, 2: 401, 3: 422, 4: 422, 5: 200, 6: 405, 7: 404, 8: 404, 9: 200, 10: 405, 11: 404, 12: 422}
     body = json.loads(got[1].body)
     assert body["model"] == 'm"' and body["answers"]["b"]["p_true"] == 0.75 and body["answers"]['a "']["score"] == 0.25
     assert all(json.loads(r.body) for r in got.values()) and json.loads(got[9].body) == {"name": "t"}
