@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release_memory
 
 #: Edges that a task contracts at once, and that a task of a round has on average at least.
-EDGES = 1 << 19
+EDGES = 1 << 18
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -63,6 +63,8 @@ def _star_batches(size: int):
                     held, n = [found], len(found[0])
         if n:
             yield pa.record_batch([pa.array(x) for x in out()], _PAIR)
+        held = []
+        release_memory()
 
     return run
 

@@ -148,7 +148,7 @@ def test_a_run_over_many_batches_is_passed_on_whole():
         assert all(r["free"] != -1 for r in rows if r["key"] is not None)
 
 
-@pytest.mark.parametrize("edges", [40, 1 << 19])
+@pytest.mark.parametrize("edges", [40, 1 << 18])
 def test_components_over_many_tasks(spark, monkeypatch, edges):
     """A giant component with a hub, long chains that cross tasks, loops and repeats; small tasks need several rounds."""
     from decidra.llm import components as C
