@@ -149,7 +149,8 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 
 
 def digest(turns: DataFrame) -> DataFrame:
-    """What can be read back from format_blocks(), by conversation."""
+    """What can be read back from format_blocks(), by conversation. Null ids are one conversation, null texts and roles
+    empty; repeated rows stay, equal turns go by role and text; an empty table gives no rows."""
     read = format_blocks(turns).select("conv_id", "block", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     parts = read.select(
         "conv_id",

@@ -193,7 +193,8 @@ def fold(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, seed: int = 11, filter_steps: int = 600, chunks_per_row: int = 8, epochs: int = 150) -> Model:
-    """Fit on labelled rows outside fold 0: the max_rows with the smallest hash of their id.
+    """Fit on labelled rows outside fold 0: the max_rows with the smallest hash of their id. An id that has several labels, or several
+    texts, gives a row for each; rows with a null id or label are left out.
 
     The sample is taken from the narrow label table, so only its documents' texts move; with
     max_rows ids it is broadcast whatever the size of the corpus. Whole texts are written once to the
@@ -236,7 +237,8 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The documents that score at least least, with all columns of docs."""
+    """The documents that score at least least, with all columns of docs. Null texts count as empty, repeated rows are
+    scored one by one, of equal scores all stay or none; an empty table gives no rows."""
     return unpacked(with_score(packed(docs, "text"), model).where(F.col("score") >= least))
 
 

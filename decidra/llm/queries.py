@@ -15,12 +15,18 @@ KEEP_SCORE = 0.3
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's shard and slot (law rows). Null texts have size 1; rows that repeat, ties and null ids are placed one by one
+    (see sharding.assign); an empty table gives no rows.
+    """
     ring = sharding.Ring(shards=8, epsilon=0)
     placed = sharding.assign(read_table(spark, sf_dir, "documents"), ring, load="rows")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every whole text. Null texts count as empty, repeated rows are scored one by one, a null id is never held
+    out; without labels of both kinds all scores are one constant; an empty table gives no rows.
+    """
     docs = read_table(spark, sf_dir, "documents")
     model = quality_cnn.fit(docs, read_table(spark, sf_dir, "labels"))
     scored = quality_cnn.with_score(docs.select("doc_id", "text"), model)
@@ -29,6 +35,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of conversation -1. Null texts and roles count as empty, null ids are one
+    conversation, repeated rows stay, equal turns go by role and text; empty tables leave conversation -1 alone.
+    """
     said = "<|im_end|><|im_start|>assistant ok"
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
@@ -37,16 +46,23 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page. A null url, and one without ://, has empty host and path; repeated rows are judged one by
+    one; of equally long rules the later one counts; an empty table gives no rows.
+    """
     model = urls.fit(urls.generated_labelled(spark))
     judged = urls.judge(read_table(spark, sf_dir, "pages"), URL_RULES, model)
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row; see simhash.near_duplicates for nulls, empty texts, repeats and empty tables."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, read back from the archives. Null payloads are empty; null ids never are what others refer to unless
+    there is no other; repeated rows give a record each; an empty table gives no rows.
+    """
     path = shared_dir(spark, "warc")
     warc.write_warc(warc.page_records(read_table(spark, sf_dir, "pages")), path)
     # responses are read whole and hashed; of revisits only headers, their neighbours' payloads are passed over
@@ -62,17 +78,24 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every row; see rules.judge for nulls, empty texts, repeats, small groups and empty tables."""
     judged = rules.judge(read_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words of every row. Null and empty texts have no words and are clean; repeated rows are judged alike; ids that repeat
+    with other texts apart; an empty benchmark hits nothing; an empty table gives no rows.
+    """
     judged = decontaminate.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     items = F.col("items")
     return judged.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and notices of every whole text. Null texts count as empty; repeated rows are scanned one by one; of equally good
+    matches the first counts; an empty table gives no rows.
+    """
     found = licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.transform("licence.spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"], s["edits"]))
     digest = [F.size("licence.spans").cast("long").alias("n_spans"), F.array_join(spans, ",").alias("spans")]
@@ -81,6 +104,9 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every whole text, one where there is no second. Null texts count as empty; rows of equal id
+    and text get equal samples, a null id is a key like any other; an empty table gives no rows.
+    """
     found = pieces.sampled(read_table(spark, sf_dir, "documents"), k=2)
     ids = F.sha2(F.array_join(F.col("ids"), ","), 256)
     return found.select("doc_id", "rank", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), "log_prob", "log_inclusion", "decoded")

@@ -192,7 +192,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that judge() keeps, with all columns of docs. Texts are counted twice, once for the
-    sketches and once to decide, so that no text is shuffled."""
+    sketches and once to decide, so that no text is shuffled. Nulls, repeats and an empty table are as in judge()."""
     fences = thresholds(text_counts(docs))
     counted = with_counts(packed(docs, "lang", "source", "text")).drop("text")
     return unpacked(_with_fences(counted, fences).where(_clean("_counts.")))
