@@ -25,7 +25,9 @@ written; only keys and lengths are shuffled until the last join brings the piece
 from __future__ import annotations
 
 import functools
+import gc
 import itertools
+import re
 import zlib
 
 import numpy as np
@@ -33,17 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release_memory
+from .common import cut, release_memory, shared_dir
 
 SIZE = 4096
 UNIT = 16
 END = 2
-BUCKET = 8192
+BUCKET = 2048
 BLOCK = SIZE * 64
-#: Words whose ids a worker remembers at most; beyond it starts anew.
-REMEMBERED = 200_000
-#: Words with more characters are not remembered.
-LONG_WORD = 64
+#: Words whose ids a worker remembers at most; beyond them it starts anew.
+REMEMBERED = 500_000
+#: New words that are encoded at once, and characters of texts whose new words are gathered.
+LEARNED_AT_ONCE, AT_ONCE = 1000, 1 << 21
 
 
 def default_tokenizer() -> str:
@@ -55,31 +57,78 @@ def default_tokenizer() -> str:
 # --- tokens
 
 
+#: Texts of these characters only are parted here: ASCII, Latin letters and common punctuation, which no normal form changes and whose
+#: lower case does not depend on their neighbours. Dotted capital I (two characters when lowered) is left out.
+PLAIN = re.compile(r"[\x00-\x7f\u00a1-\u012f\u0131-\u017f\u2010-\u2027\u20ac]*")
+_LETTER, _NUMBER = r"a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: The tokenizer's own pattern for words (fixed value), for the lower-case characters of PLAIN. Letters stand first as most words are
+#: letters; no other alternative starts with one.
+WORD = re.compile(rf"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r {_LETTER}{_NUMBER}]+")
+
+
 class WordIds:
-    """Ids of texts as little-endian 32-bit integers. The tokenizer drops white space and never joins what it parts, so the
-    ids of a text are those of its words between blanks, and words are remembered."""
+    """Ids of texts as little-endian integers of ``width`` bytes. Plain texts are parted into the tokenizer's words here, whose ids
+    are remembered; new words are encoded many at once, each word's last id being one that ends words. All other
+    texts, and those with a special token's string, go through the tokenizer whole."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.whole.get_vocab_size(), dtype=bool)
+        for token, i in self.whole.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.known: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, found)}
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        known = self.known
-        new = {w for w in words if w not in known}
+        out: dict[str, bytes] = {}
+        for at in range(0, len(words), LEARNED_AT_ONCE):
+            some = words[at : at + LEARNED_AT_ONCE]
+            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some):
+                found = [ids[a:b].tobytes() for a, b in zip([0, *last[:-1].tolist()], last.tolist())]
+            else:  # a word whose ids don't end one
+                found = [np.array(self.words.encode(w, add_special_tokens=False).ids, dtype=self.kind).tobytes() for w in some]
+            out.update(zip(some, found))
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. The collector of cycles rests meanwhile: there are none, and it would walk all words."""
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        known, new, parts, found = self.known, set(), [], []
+        for text in texts:
+            plain = PLAIN.fullmatch(text) and not any(x in text for x in self.special)
+            words = WORD.findall(text.lower()) if plain else None
+            ids = list(map(known.get, words)) if plain else None
+            if plain and None in ids:
+                new.update([w for w, i in zip(words, ids) if i is None])
+                ids = None
+            parts.append(words)
+            found.append(ids)
         if new:
             extra = self._learn(list(new))
-            if len(known) > REMEMBERED:
-                known = self.known = {"": b""}
-            known.update((w, i) for w, i in extra.items() if len(w) <= LONG_WORD)
-            return b"".join([i if (i := known.get(w)) is not None else extra[w] if w in extra else self._learn([w])[w] for w in words])
-        return b"".join([known[w] for w in words])
+            if len(known) + len(extra) > REMEMBERED:
+                self.known, known = extra, known | extra
+            else:
+                known.update(extra)
+        out = []
+        for text, words, ids in zip(texts, parts, found):
+            if words is None:
+                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes())
+            else:
+                out.append(b"".join(ids if ids is not None else map(known.__getitem__, words)))
+        return out
 
 
 @functools.cache
@@ -88,16 +137,28 @@ def _word_ids(path: str) -> WordIds:
 
 
 def tokenised(docs: DataFrame, tokenizer: str | None = None, end: int = END) -> DataFrame:
-    """_key (one a row), doc_id, ids (the text's ids and the end id, little-endian 32-bit) and n, written once."""
-    path, last = tokenizer or default_tokenizer(), np.array([end], dtype="<u4").tobytes()
+    """_key (one a row), doc_id, x (width: bytes of an id; ids: those of the text and the end id) and n, written once to the shared
+    folder by columns, so that what needs lengths only doesn't read the ids."""
+    path = tokenizer or default_tokenizer()
 
     def run(texts: pa.Array) -> pa.Array:
-        encode = _word_ids(path)
-        return pa.array([encode(x.as_py() or "") + last for x in texts], pa.binary())
+        words, ids, held, chars = _word_ids(path), [], [], 0
+        last = np.array([end], dtype=words.kind).tobytes()
+        for i, x in enumerate(texts):
+            held.append(x.as_py() or "")
+            chars += len(held[-1])
+            if chars >= AT_ONCE or i == len(texts) - 1:
+                ids += [found + last for found in words.encode(held)]
+                held, chars = [], 0
+        release_memory()
+        return pa.StructArray.from_arrays([pa.array([words.kind.itemsize] * len(ids), pa.int32()), pa.array(ids, pa.binary())], ["width", "ids"])
 
-    ids = F.arrow_udf(run, returnType="binary").asNondeterministic()(F.coalesce("text", F.lit("")))
-    found = docs.select("doc_id", ids.alias("ids"))
-    return cut(found.select(F.monotonically_increasing_id().alias("_key"), "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n")))
+    ids = F.arrow_udf(run, returnType="width int, ids binary").asNondeterministic()(F.coalesce("text", F.lit("")))
+    found = docs.select("doc_id", ids.alias("x"))
+    named = found.select(F.monotonically_increasing_id().alias("_key"), "doc_id", "x", (F.octet_length("x.ids") / F.col("x.width")).cast("long").alias("n"))
+    at = shared_dir(docs.sparkSession, "tokens")
+    named.write.parquet(at)
+    return docs.sparkSession.read.schema(named.schema).parquet(at)
 
 
 # --- the plan, from a histogram
@@ -304,13 +365,13 @@ _PIECES = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("s
 
 
 def _cut_up(with_ids: bool):
-    def run(ids: pa.Array, pieces: pa.Array) -> pa.Array:
+    def run(texts: pa.Array, pieces: pa.Array) -> pa.Array:
         out = []
-        for body, rows in zip(ids, pieces):
-            data, here = memoryview(body.as_buffer()), []
+        for width, body, rows in zip(texts.field("width").to_pylist(), texts.field("ids"), pieces):
+            ids, here = np.frombuffer(body.as_buffer(), dtype=f"<u{width}").astype("<u4"), []
             for r in rows.as_py():
-                part = data[4 * r["start"] : 4 * (r["start"] + r["length"])]
-                here.append(r | {"ids_crc32": zlib.crc32(part), "ids": np.frombuffer(part, dtype="<u4").tolist() if with_ids else None})
+                part = ids[r["start"] : r["start"] + r["length"]]
+                here.append(r | {"ids_crc32": zlib.crc32(part), "ids": part.tolist() if with_ids else None})
             out.append(here)
         release_memory()
         return pa.array(out, _PIECES)
@@ -331,5 +392,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, unit:
     if pieces is None:
         pieces = docs.sparkSession.createDataFrame([], "_key long, start long, length long, sequence_id long, offset long")
     by_doc = pieces.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
-    whole = found.join(by_doc, "_key").select("doc_id", "n", F.explode(_cut_up(with_ids)("ids", "pieces")).alias("x"))
+    whole = found.join(by_doc, "_key").select("doc_id", "n", F.explode(_cut_up(with_ids)("x", "pieces")).alias("x"))
     return whole.select("doc_id", "x.start", "x.length", "x.ids_crc32", F.col("n").alias("doc_tokens"), "x.sequence_id", "x.offset", *(["x.ids"] if with_ids else []))

@@ -78,10 +78,27 @@ def test_patterns_hold_the_demand_exactly(seed):
     assert sum(k for _, k in plan) <= x.sum() + (demand > 0).sum() + 1
 
 
-def test_words_give_the_ids_of_the_text():
-    encode = packing.WordIds(packing.default_tokenizer())
-    for text in ["", " ", "Ein Haus\n\tam  See", "it's <|endoftext|>x y", "École ́a", "x" * 300 + " y", "naïve—  word", "ΑΣ ΑΣΑ"] * 2:
-        assert encode(text) == np.array(plain_ids(text)[:-1], dtype="<u4").tobytes()
+SAYINGS = ["", " ", "Ein Haus\n\tam  See", "it's 'sun don't <|endoftext|>x y", "École ́a", "x" * 300 + " y", "naïve—  word", "ΑΣ ΑΣΑ", "a\x1cb\x00c", "1²³ ½x", "İstanbul ſ ß", "漢字 kana", "ﬁne ﬂow"]
+
+
+@pytest.mark.parametrize("remembered", [3, 500_000])
+def test_words_give_the_ids_of_the_text(monkeypatch, remembered):
+    monkeypatch.setattr(packing, "REMEMBERED", remembered)
+    words = packing.WordIds(packing.default_tokenizer())
+    plain = [np.array(plain_ids(t)[:-1], dtype="<u2").tobytes() for t in SAYINGS]
+    for _ in range(2):
+        assert words.encode(SAYINGS) == plain
+    assert [words.encode([t])[0] for t in SAYINGS] == plain
+
+
+def test_plain_characters_are_parted_as_the_tokenizer_does():
+    """Every character that PLAIN lets through, between and beside letters, digits and signs."""
+    words = packing.WordIds(packing.default_tokenizer())
+    shown = [chr(c) for c in range(0x2100) if packing.PLAIN.fullmatch(chr(c))]
+    assert len(shown) > 370
+    texts = [f"a{c}b {c}{c} 1{c}2 .{c}! {c}'s A{c.upper()}" for c in shown]
+    texts = [t for t in texts if packing.PLAIN.fullmatch(t)]
+    assert words.encode(texts) == [np.array(plain_ids(t)[:-1], dtype="<u2").tobytes() for t in texts]
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
