@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from decidra.functions import attention as T
 from decidra.operators import passes as P
-from decidra.queries import query, r6, table
+from decidra.queries import query, r6, shown6, table
 
 D = 16
 
@@ -55,7 +55,7 @@ def compiled_decision(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", _chunks(F.col("embedding")).alias("t"))
     mask = F.transform("t", lambda _, i: (i < 3) | (F.col("vec_id") % 3 > 0))
     out = e.select("vec_id", T.compiled_decision(F.col("t"), mask, QUERY, OPTIONS, READER, BILINEAR, BIAS, EVIDENCE).alias("d"))
-    shown = F.concat(F.lit("["), F.array_join(F.transform("d.logits", lambda x: F.round(x, 6).cast("string")), ", "), F.lit("]"))
+    shown = F.concat(F.lit("["), F.array_join(F.transform("d.logits", shown6), ", "), F.lit("]"))
     return out.select("vec_id", shown.alias("logits"), r6(F.col("d.evidence")).alias("evidence"))
 
 
