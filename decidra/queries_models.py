@@ -96,9 +96,9 @@ p AS (SELECT lane, pass, count(*) AS n, any_value(width) AS w, sum(length) AS t
 SELECT count(*) AS passes, sum(n)::BIGINT AS rows, sum(t)::BIGINT AS tokens, sum(n * w - t)::BIGINT AS padded FROM p""")
 def runner_passes(spark, sf_dir):
     """Passes over all documents, longest first in four lanes: how many, and how much of them is padding."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    passed = P.run_passes(docs, F.col("doc_id"), F.length("text"), F.col("text"), lambda texts: [len(t or "") for t in texts], "long", LANES, ROWS, BUDGET)
-    return P.padding(passed, F.coalesce(F.length("text"), F.lit(0)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    passed = P.run_passes(docs, F.col("doc_id"), F.col("n"), F.col("text"), lambda texts: [len(t or "") for t in texts], "long", LANES, ROWS, BUDGET, ["n"])
+    return P.padding(passed, F.col("n"))
 
 
 def _asked(spark, sf_dir):

@@ -147,3 +147,26 @@ def test_masks(spark):
     row = spark.createDataFrame([([True, True, False], 2)], "real array<boolean>, n int").select(T.suffix_mask(F.col("real"), F.col("n")).alias("s"), T.causal_mask(F.col("n")).alias("c"), T.causal_mask(F.lit(0)).alias("z")).first()
     assert row.s == [[True, True, True, False, False], [True, True, True, True, False], [True, True, True, True, True]]
     assert row.c == [[True, False], [True, True]] and row.z == []
+
+
+@pytest.mark.parametrize(("most", "budget", "part"), [(3, 10**9, 100), (7, 60, 1), (4, 80, 300), (5, 5000, 700)])
+def test_a_lane_is_cut_into_parts_that_keep_its_passes(spark, most, budget, part):
+    rng = random.Random(part)
+    rows = [(i, rng.choice([0, 1, 5, 5, 5, 20, 100])) for i in range(400)]
+    df = spark.createDataFrame([(i, "x" * n) for i, n in rows], "id long, text string").repartition(3)
+    tasks = lambda texts: [len(texts)] * len(texts)
+    out = P.run_passes(df, F.col("id"), F.length("text"), F.col("text"), tasks, "long", 2, most, budget, ["id"], part)
+    found = out.withColumn("task", F.spark_partition_id()).collect()
+    want = plain_passes(rows, 2, most, budget)
+    assert {r.id: (r.lane, r["pass"], r.width) for r in found} == want and len(found) == 400
+    held = {}
+    for lane, number, _ in want.values():
+        held[lane, number] = held.get((lane, number), 0) + 1
+    assert all(r.result == held[r.lane, r["pass"]] for r in found)  # a pass is still one call of the model
+    assert len({r.task for r in found}) > 2  # more tasks than lanes
+
+
+def test_repeated_keys_stay_in_one_part(spark):
+    df = spark.createDataFrame([("k", "abc")] * 50 + [(None, "de")] * 20, "id string, text string")
+    out = P.run_passes(df, F.col("id"), F.length("text"), F.col("text"), lambda ts: [len(ts)] * len(ts), "long", 2, 4, 1000, part=1).collect()
+    assert len(out) == 70 and sorted({(r.id or "", r["pass"]) for r in out}) == [("", i) for i in range(5)] + [("k", i) for i in range(13)]
