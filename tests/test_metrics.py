@@ -171,3 +171,17 @@ def test_scorers_agree(spark):
         scoring.ask(spark.range(1), spark.range(256))
     e = spark.range(1).select(scoring.evidence_head(F.array(F.lit(1.0), F.lit(3.0)), [0.0, 0.0], 0.0)).first()[0]
     assert e == 0.5
+
+
+def test_losses_of_odd_rows(spark):
+    rows = [([0.2, 0.8], [0.0, 1.0]), ([0.0, 0.3, 0.7], [0.5, 0.25, 0.25]), (None, [1.0]), ([1.0], None), ([0.5, None], [1.0, 0.0]), ([0.5, 0.5], [1.0]), ([0.5], [0.5, 0.25, 0.25]), ([0.5, 0.5], [None, 1.0]), ([], []), ([1.0, 0.0], [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "probs array<double>, target array<double>").repartition(3)
+    temperatures = [0.25, 1.0, 5.0, 1.0]
+    t = F.explode(F.array(*[F.lit(x) for x in temperatures]))
+    loss = A.nll(A.rescale(F.col("probs"), F.col("t")), F.col("target"))
+    want = {r.t: r.x for r in df.select("*", t.alias("t")).groupBy("t").agg(F.avg(loss).alias("x")).collect()}
+    got = {r.temperature: r.nll for r in calibrate.nll_grid(df, temperatures).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    plan = calibrate.nll_grid(df, temperatures)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # rows are not multiplied by the temperatures
+    assert calibrate.nll_grid(df.limit(0), temperatures).collect() == []
