@@ -34,17 +34,21 @@ def states_scan(spark, sf_dir):
     return out.select("id", F.col("file").cast("long").alias("line"), said.alias("said"), "expected")
 
 
+SPLITS = 256
+
+
 @query("SELECT doc_id AS id, line, md5(t) AS text_md5 FROM (SELECT doc_id, text AS t, row_number() OVER (ORDER BY doc_id) - 1 AS line FROM documents WHERE text IS NOT NULL)")
 def numbered_lines(spark, sf_dir):
-    """One file of JSON lines, read in splits of 64 KB: numbers go on across them."""
+    """JSON lines in the order of their ids, written in pieces by ranges of ids and read in splits of 64 KB, or of SPLITS to the whole
+    where that is more: numbers go on across splits and pieces."""
     path = files.work_dir(spark, "lines")
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.to_json(F.struct("doc_id", "text")).alias("value"), "doc_id")
-    docs.coalesce(1).sortWithinPartitions("doc_id").select("value").write.text(path)
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
     held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(1 << 16, files.size(spark, path) // SPLITS)))
     spark.conf.set("spark.sql.files.openCostInBytes", "1k")
     try:
-        out = files.written(R.lines(spark, path))
+        out = files.written(R.lines(spark, path, across=True))
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)

@@ -22,8 +22,9 @@ QUESTION = "type string, instructions string, options string, levels string, cri
 SPLITS = 500_000
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (number within its file, from 0), file and value of every line that isn't blank.
+def lines(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
+    """line (number within its file, from 0), file and value of every line that isn't blank. across: the files of a folder are one
+    file in pieces, in the order of their names, and numbers go on from one to the next.
 
     Files are split as Spark splits them: a first pass counts the lines of each split, whose table (a row a split)
     gives the second pass the number of its first line. It is broadcast up to SPLITS rows, joined by a shuffle beyond.
@@ -31,11 +32,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id")]
     each = spark.read.text(path, lineSep="\n").select("value", *place)
     counts = each.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    order = Window.orderBy("file", "_at") if across else Window.partitionBy("file").orderBy("_at")  # a row a split
+    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     starts = written(counts.select(F.col("file").alias("_file"), F.col("_at").alias("_from"), (F.coalesce(upto, F.lit(0)) - F.col("_first")).alias("_start")))
     small = starts.limit(SPLITS + 1).count() <= SPLITS
     joined = each.join(F.broadcast(starts) if small else starts, (F.col("file") == F.col("_file")) & (F.col("_at") == F.col("_from")))
-    return joined.select("file", (F.col("_id") + F.col("_start")).cast("int").alias("line"), "value").where(F.trim("value") != "")
+    number = (F.col("_id") + F.col("_start")).cast("long" if across else "int")
+    return joined.select("file", number.alias("line"), "value").where(F.trim("value") != "")
 
 
 def state_json(value: Column) -> Column:

@@ -131,3 +131,11 @@ def test_scored_and_answers(spark, tmp_path):
     assert got["score"] == 0.8765 and got["level"] == 1 and got["legend"] == {"0": 'lo"w', "1": "high"} and got["confidence"] == 0.7531
     meta = df.select(R.record_json(F.lit('{"a": 1}'), F.array(F.struct(F.lit('q"').alias("name"), F.lit('{"type": "bool"}').alias("json"))), F.lit("{}"))).first()[0]
     assert json.loads(meta) == {"state": {"a": 1}, "questions": {'q"': {"type": "bool"}}, "meta": {}}
+
+
+def test_line_numbers_go_on_across_the_pieces_of_a_folder(spark, tmp_path):
+    where = str(tmp_path / "pieces")
+    spark.range(0, 3000).repartitionByRange(5, "id").sortWithinPartitions("id").select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("é"), (F.col("id") % 60).cast("int"))).alias("value")).write.text(where)
+    got = R.lines(spark, where, across=True).collect()
+    assert len({r.file for r in got}) == 5 and len(got) == 3000
+    assert all(r.value.startswith(str(r.line)) and r.value.rstrip("é") == str(r.line) for r in got)
