@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from decidra.operators import graph_tables
 from decidra.operators.agent import Agent
 from decidra.schema import LIMITS
+from decidra.sources.files import written
 
 RESULT = "registry string, seq long, op string, name string, status int, agent string, names array<string>, detail string, given string"
 COLUMNS = [c.split(" ")[0] for c in RESULT.split(", ")]
@@ -82,8 +83,9 @@ def follow(log: DataFrame, most: int = LIMITS["agents"]) -> DataFrame:
 
 def decide_runs(answered: DataFrame, answers: DataFrame, act: dict[str, float] | None = None) -> DataFrame:
     """request, status, outcome, action, arguments and complete of the runs in answered (rows of follow or replay with a
-    column request). answers: request, node, probs and evidence. A run of an agent that was not there is 404."""
-    runs = answered.where("op = 'run'").select("request", "status", "agent")
+    column request). answers: request, node, probs and evidence. A run of an agent that was not there is 404. The runs are written,
+    as they are read several times and the log should be replayed once."""
+    runs = written(answered.where("op = 'run'").select("request", "status", "agent"))
     known = runs.where("status = 200").withColumn("body", F.get_json_object("agent", "$.graph"))
     walked = graph_tables.decide(known.select("request", "body"), answers, act)
     told = F.try_element_at(F.from_json(F.get_json_object("agent", "$.actions"), "map<string, string>"), F.col("outcome"))
