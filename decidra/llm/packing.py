@@ -32,6 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ BLOCK = SIZE * 64
 #: Words whose ids a worker remembers at most; beyond them it starts anew.
 REMEMBERED = 500_000
 #: New words that are encoded at once, and characters of texts whose new words are gathered.
-LEARNED_AT_ONCE, AT_ONCE = 1000, 1 << 21
+LEARNED_AT_ONCE, AT_ONCE = 16_000, 1 << 21
 
 
 def default_tokenizer() -> str:
@@ -68,7 +69,8 @@ WORD = re.compile(rf"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r {_LE
 
 class WordIds:
     """Ids of texts as little-endian integers of ``width`` bytes. Plain texts are parted into the tokenizer's words here, whose ids
-    are remembered; new words are encoded many at once, each word's last id being one that ends words. All other
+    are remembered; what stands between white space is looked up once a batch of texts, and joined in Arrow by its places. New words
+    are encoded many at once, each word's last id being one that ends words. All other
     texts, and those with a special token's string, go through the tokenizer whole."""
 
     def __init__(self, path: str) -> None:
@@ -86,15 +88,17 @@ class WordIds:
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
-        for at in range(0, len(words), LEARNED_AT_ONCE):
-            some = words[at : at + LEARNED_AT_ONCE]
+        groups = [words[at : at + LEARNED_AT_ONCE] for at in range(0, len(words), LEARNED_AT_ONCE)]
+        while groups:
+            some = groups.pop()
             ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.kind)
             last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(some):
-                found = [ids[a:b].tobytes() for a, b in zip([0, *last[:-1].tolist()], last.tolist())]
+            if len(last) == len(some) or len(some) == 1:
+                ends = (last if len(some) > 1 else np.array([len(ids)])) * self.kind.itemsize
+                body, ends = ids.tobytes(), ends.tolist()
+                out.update(zip(some, map(body.__getitem__, map(slice, [0, *ends[:-1]], ends))))
             else:  # a word whose ids don't end one
-                found = [np.array(self.words.encode(w, add_special_tokens=False).ids, dtype=self.kind).tobytes() for w in some]
-            out.update(zip(some, found))
+                groups += [some[: len(some) // 2], some[len(some) // 2 :]]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -106,29 +110,38 @@ class WordIds:
             gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        known, new, parts, found = self.known, set(), [], []
-        for text in texts:
-            plain = PLAIN.fullmatch(text) and not any(x in text for x in self.special)
-            words = WORD.findall(text.lower()) if plain else None
-            ids = list(map(known.get, words)) if plain else None
-            if plain and None in ids:
-                new.update([w for w, i in zip(words, ids) if i is None])
-                ids = None
-            parts.append(words)
-            found.append(ids)
+        plain = [bool(PLAIN.fullmatch(text)) and not any(x in text for x in self.special) for text in texts]
+        parted = iter(self._parted([text.lower() for text, own in zip(texts, plain) if own]))
+        whole = lambda text: np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        return [next(parted) if own else whole(text) for text, own in zip(texts, plain)]
+
+    def _parted(self, texts: list[str]) -> list[bytes]:
+        """The ids of plain texts in lower case. What stands between white space is looked up once, however often it comes."""
+        if not texts:
+            return []
+        each = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        chunks = each.flatten().dictionary_encode()
+        found = self._chunks(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        taken = pa.array(found, pa.large_binary()).take(chunks.indices)
+        _, ends, body = taken.buffers()
+        ends = np.frombuffer(ends, dtype=np.int64, count=len(taken) + 1)[each.offsets.to_numpy()].tolist()
+        body = body.to_pybytes() if body else b""
+        return [body[a:b] for a, b in zip(ends, ends[1:])]
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks without white space: a word, or several that meet there."""
+        known = self.known
+        found = list(map(known.get, chunks))
+        odd = [i for i, ids in enumerate(found) if ids is None]
+        words = [WORD.findall(chunks[i]) for i in odd]
+        new = {w for own in words for w in own if w not in known}
         if new:
-            extra = self._learn(list(new))
-            if len(known) + len(extra) > REMEMBERED:
-                self.known, known = extra, known | extra
-            else:
-                known.update(extra)
-        out = []
-        for text, words, ids in zip(texts, parts, found):
-            if words is None:
-                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes())
-            else:
-                out.append(b"".join(ids if ids is not None else map(known.__getitem__, words)))
-        return out
+            known.update(extra := self._learn(list(new)))
+            if len(known) > REMEMBERED:  # what is in use stays
+                self.known = extra | {c: ids for c, ids in zip(chunks, found) if ids is not None}
+        for i, own in zip(odd, words):
+            found[i] = known[own[0]] if len(own) == 1 else b"".join(map(known.__getitem__, own))
+        return found
 
 
 @functools.cache

@@ -143,3 +143,29 @@ def test_odd_rows(spark):
     assert [r.ids for r in out if r.doc_id in (1, 2)] == [[2], [2]]
     assert sum(r.length for r in out) == sum(len(plain_ids(t)) for _, t in rows)
     assert packing.pack(docs.limit(0)).collect() == []
+
+
+def test_a_batch_looks_up_each_chunk_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    words = packing.WordIds(packing.default_tokenizer())
+    words.known = Counted()
+    texts = ["the same words, " * 500, "The SAME words", ""]
+    found = words.encode(texts)
+    assert [np.frombuffer(x, dtype=words.kind).tolist() + [packing.END] for x in found] == [plain_ids(t) for t in texts]
+    assert words.known.asked <= 10
+
+
+def test_odd_texts_in_a_batch_and_words_that_stay(monkeypatch):
+    words = packing.WordIds(packing.default_tokenizer())
+    odd = ["", " \n", "A B\x1cC d\x1f", "it's we'll 'd", "x² 3½", "İstanbul", "日本", "<|endoftext|> a", " lead  trail ", "a\x0bb\x0cc\rd\te", "\x00\x01", "’s —--", "€9"]
+    for batch in (odd, odd[5:7], odd[::-1]):
+        assert [np.frombuffer(x, dtype=words.kind).tolist() + [packing.END] for x in words.encode(batch)] == [plain_ids(t) for t in batch]
+    monkeypatch.setattr(packing, "REMEMBERED", len(words.known) + 3)
+    words.encode(["lead new1x new2y new3z new4w"])
+    assert "lead" in words.known and len(words.known) <= 20
