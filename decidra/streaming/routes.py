@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from decidra.functions import arrays as A
 from decidra.operators import graph_tables as G
 from decidra.schema import LIMITS
+from decidra.sources.files import written
 from decidra.sources.forms import parse_requests
 from decidra.sources.records import answer_json, state_json
 
@@ -89,7 +90,7 @@ def decided(requests: DataFrame, answer: Callable[[DataFrame], DataFrame], model
     parsed = parse_requests(requests)
     unsound = ~F.coalesce(F.col("qtype").isin("bool", "choice", "score") & (F.trim("instructions") != "") & F.size("keys").between(2, F.when(F.col("qtype") == "score", 10).otherwise(255)), F.lit(False))
     problem = F.coalesce(F.col("problem"), F.when(unsound, F.concat(F.lit("unsound question "), F.coalesce("name", F.lit("")))))
-    parsed = parsed.withColumn("problem", problem)
+    parsed = written(parsed.withColumn("problem", problem))  # read twice
     bad = parsed.groupBy("request").agg(F.min("problem").alias("why")).where("why IS NOT NULL")
     asked = parsed.drop("problem").join(bad.select("request"), "request", "left_anti")
     scored = answer(asked).withColumn("probs", A.checked_probabilities(F.col("probs"), F.size("keys")))
@@ -191,12 +192,14 @@ def respond(
 
     agents: the registered ones as JSON by name, at most LIMITS["agents"]. An agent that is not among them gives 404. Requests
     that register, delete or run agents depend on those before them: they go through agent_log and agent_responses, and give 409
-    here. stats and metrics: what those pages show (serving.snapshot, serving.prometheus). An empty table gives no rows.
+    here. stats and metrics: what those pages show (serving.snapshot, serving.prometheus). An empty table gives no rows. The
+    requests with their routes are written once, and only what some request asks for is planned.
     """
     agents = agents or {}
     if len(agents) > LIMITS["agents"]:
         raise ValueError(f"{len(agents)} agents, the limit is {LIMITS['agents']}")
-    rows = routed(requests, api_key)
+    # a request takes far longer to answer than to read, so requests are spread over tasks first; routes are found once
+    rows = written(routed(requests.repartition("request"), api_key).select("request", "path", "body", "route", "status"))
     name = F.substring_index(F.substring_index("path", "?", 1), "/", -1)
     found = F.lit(None).cast("string")
     if agents:
@@ -219,7 +222,10 @@ def respond(
     }
     ask = F.col("status").isNull() & F.coalesce(F.col("route").isin(*makers), F.lit(False))
     out = rows.where(~ask).select("request", "route", status.alias("status"), F.when(status == 200, fixed).otherwise(_detail(reason)).alias("body"))
+    asked = {r["route"] for r in rows.where(ask).select("route").distinct().collect()}  # one of makers each
     for route, make in makers.items():
+        if route not in asked:
+            continue
         own = rows.where(ask & (F.col("route") == route)).select("request", "body")
         out = out.unionByName(make(own).select("request", F.lit(route).alias("route"), "status", "body"))
     return out

@@ -290,3 +290,17 @@ def test_agents_through_requests(spark):
         assert {i: s for i, (s, _) in got.items()} == {0: 200, 1: 200, 2: 200, 3: 200, 4: 200, 5: 200, 6: 404, 7: 404, 8: 422}
         assert got[1][1]["action"] == "go" and got[4][1]["action"] == "stop" and json.loads(got[4][1]["arguments"]) == {"n": 1} and got[1][1]["outcome"] == "y"
         assert got[2][1] == {"agents": ["a"]} and got[5][1] == {"deleted": "a"}
+
+
+def test_routes_are_found_once_and_requests_of_one_task_are_spread(spark):
+    """Routes stood in the plan of every answer, whose generated code did not compile; and one task answered a small file."""
+    from decidra.streaming.routes import respond
+
+    bodies = "concat('{\"state\": \"', id, '\", \"questions\": {\"a\": {\"type\": \"bool\", \"instructions\": \"Is it?\"}}}')"
+    some = spark.range(0, 4000, 1, 1).selectExpr("id AS request", "'POST' AS method", "if(id % 2 = 0, '/v1/decide', '/nowhere') AS path", "'' AS authorization", f"{bodies} AS body")
+    answer = lambda asked: asked.selectExpr("*", "array(0.5D, 0.5D) AS probs", "0.5D AS evidence")
+    out = respond(some, answer, "m")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "/v1/" not in plan and "from_json" not in plan
+    assert {(r["route"], r["status"], r["count"]) for r in out.groupBy("route", "status").count().collect()} == {("decide", 200, 2000), (None, 404, 2000)}
+    assert out.rdd.getNumPartitions() > 1
